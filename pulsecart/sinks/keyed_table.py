@@ -197,8 +197,4 @@ class KeyedTable:
 
     def _glob(self, pattern: str) -> list[str]:
         statuses = self._files().globStatus(self._path(pattern)) or []
-        if not len(statuses):
-            return []
-        # One call for all names instead of one per name.
-        paths = self.spark._jvm.org.apache.hadoop.fs.FileUtil.stat2Paths(statuses)
-        return self.spark._jvm.java.util.Arrays.deepToString(paths)[1:-1].split(", ")
+        return [s.getPath().toString() for s in statuses]
