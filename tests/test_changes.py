@@ -1,0 +1,44 @@
+from pulsecart.functions import parse_records, split_corrupt
+from pulsecart.operators.routing import as_messages, routed
+from pulsecart.schemas import CHANGE_RECORD, ORDER_INFO
+from pulsecart.sinks.topics import write_topics
+from pulsecart.sources.topics import read_topic
+from pulsecart.workspace import run_folder
+
+
+def record(table, event, *rows, entry="ROWDATA"):
+    return (table, entry, event, [[(k, v) for k, v in r.items()] for r in rows])
+
+
+RECORDS = [
+    record("order_info", "INSERT", {"id": "o1", "total_amount": "12.50", "user_id": "u"}, {"id": "o2"}),
+    record("order_info", "UPDATE", {"id": "o3"}),
+    record("order_info", "DELETE", {"id": "o4"}),
+    record("order_detail", "INSERT", {"id": "d1"}),
+    record("order_detail", "UPDATE", {"id": "d2"}),
+    record("user_info", "INSERT", {"id": "u1"}),
+    record("user_info", "UPDATE", {"id": "u2"}),
+    record("user_info", "DELETE", {"id": "u3"}),
+    record("sku_info", "INSERT", {"id": "s1"}),
+    record("order_info", "INSERT", {"id": "o5"}, entry="TRANSACTIONEND"),
+    record("user_info", "INSERT"),
+]
+
+
+def test_routing_table(spark):
+    rows = routed(spark.createDataFrame(RECORDS, CHANGE_RECORD)).collect()
+    assert sorted((r["topic"], r["after"][0]["value"]) for r in rows) == [
+        ("order_detail", "d1"), ("order_info", "o1"), ("order_info", "o2"), ("user_info", "u1"),
+        ("user_info", "u2"),
+    ]
+
+
+def test_messages_through_a_topic(spark):
+    folder = run_folder(spark, "topics")
+    write_topics(as_messages(routed(spark.createDataFrame(RECORDS, CHANGE_RECORD))), folder)
+    good, bad = split_corrupt(parse_records(read_topic(spark, folder, "order_info"), ORDER_INFO))
+    assert bad.count() == 0
+    rows = {r["id"]: r for r in good.collect()}
+    assert rows["o1"]["total_amount"] == 12.5 and rows["o1"]["user_id"] == "u"
+    assert rows["o2"]["total_amount"] == 0.0 and rows["o2"]["user_id"] is None
+    assert all(r["ingest_time"] for r in rows.values())
