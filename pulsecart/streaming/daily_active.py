@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from pulsecart.functions import seconds_in
 from pulsecart.operators.activity import DEVICE_DAY, newly_active
 from pulsecart.schemas import DAILY_ACTIVE_COLUMNS
 from pulsecart.sinks.keyed_table import KeyedTable
@@ -52,11 +53,12 @@ def at_day_end(startup: DataFrame, delay: str, tie: Sequence[str] = ()) -> DataF
 
 def _first_batch_processor(columns: list[str], order: list[str], keep_ms: int) -> StatefulProcessor:
     class FirstBatch(StatefulProcessor):
-        """State of one device and day: only that it was seen."""
+        """State of one device and day: only that it was seen, until the timer clears it."""
 
         def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
             seen = T.StructType([T.StructField("seen", T.BooleanType())])
-            self.seen = handle.getValueState("seen", seen, keep_ms)
+            self.seen = handle.getValueState("seen", seen)
 
         def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
             best = None
@@ -65,30 +67,34 @@ def _first_batch_processor(columns: list[str], order: list[str], keep_ms: int) -
                 best = chunk.sort_values(order, kind="stable").head(1)
             if best is not None:
                 self.seen.update((True,))
+                self.handle.registerTimer(int(best["ts"].iloc[0]) + keep_ms)
                 yield best[columns]
 
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            self.seen.clear()
+            return iter([])
+
         def close(self) -> None:
             pass
 
     return FirstBatch()
 
 
-def first_batch(startup: DataFrame, tie: Sequence[str] = (), keep_hours: int = 48) -> DataFrame:
+def first_batch(startup: DataFrame, tie: Sequence[str] = (), keep: str = "48 hours") -> DataFrame:
     """The earliest row of the first batch in which a device shows up on a day.
 
-    A device that was seen on a day is never passed again while its state lives, even when an
-    earlier row arrives later. Needs Python state; :func:`first_batch_sink` gives the same rows
-    from built-in operators.
+    A device that was seen on a day is not passed again, even when an earlier row arrives later.
+    ``keep`` is how late rows may be, and how long state lives. Needs Python state;
+    :func:`first_batch_sink` gives the same rows from built-in operators.
     """
-    rows = startup.select(*DAILY_ACTIVE_COLUMNS, *tie)
+    rows = startup.withWatermark("event_time", keep).select(*DAILY_ACTIVE_COLUMNS, "event_time", *tie)
     order = ["ts", *tie] if tie else ["ts", *[c for c in DAILY_ACTIVE_COLUMNS if c != "ts"]]
+    keep_ms = seconds_in(keep) * 1000
     return rows.groupBy(*DEVICE_DAY).transformWithStateInPandas(
-        statefulProcessor=_first_batch_processor(
-            DAILY_ACTIVE_COLUMNS, order, keep_hours * 3_600_000
-        ),
+        statefulProcessor=_first_batch_processor(DAILY_ACTIVE_COLUMNS, order, keep_ms),
         outputStructType=T.StructType.fromDDL(DAILY_ACTIVE),
         outputMode="Append",
-        timeMode="ProcessingTime",
+        timeMode="EventTime",
     )
 
 
