@@ -20,13 +20,10 @@ def parse_records(df: DataFrame, schema: str | T.StructType, value: str = "value
         + [T.StructField(_BROKEN, T.StringType())]
     )
     rest = [c for c in df.columns if c != value]
-    parsed = df.select(
-        *rest,
-        F.col(value),
-        F.from_json(
-            value, as_text, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BROKEN}
-        ).alias("_r"),
-    )
+    record = F.from_json(value, as_text, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BROKEN})
+    # As a generated column the record is parsed once; a plain one would be parsed again for
+    # every filter that is pushed below it.
+    parsed = df.select(*rest, F.col(value), F.explode(F.array(record)).alias("_r"))
     columns, bad = [], F.col("_r").isNull() | F.col(f"_r.{_BROKEN}").isNotNull()
     for f in fields:
         text = F.col(f"_r.`{f.name}`")
@@ -53,10 +50,12 @@ def after_image_json(columns: Column | str) -> Column:
     """
     cells = F.col(columns) if isinstance(columns, str) else columns
     names = F.transform(cells, lambda c: c["name"])
-    last = F.filter(
+    last_only = F.filter(
         cells,
         lambda c, i: ~F.array_contains(F.slice(names, i + 2, F.size(names)), c["name"]),
     )
+    unique = F.size(F.array_distinct(names)) == F.size(names)
+    last = F.when(unique, cells).otherwise(last_only)
     filled = F.transform(
         last,
         lambda c: F.struct(c["name"].alias("key"), F.coalesce(c["value"], F.lit("")).alias("value")),

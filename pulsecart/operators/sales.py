@@ -24,16 +24,48 @@ def within_tolerance(tolerance: str) -> Column:
 
 
 def pair_within(
-    orders: DataFrame, details: DataFrame, tolerance: str = JOIN_TOLERANCE, how: str = "inner"
+    orders: DataFrame,
+    details: DataFrame,
+    tolerance: str = JOIN_TOLERANCE,
+    how: str = "inner",
+    salts: int = 1,
 ) -> DataFrame:
     """Order and detail pairs as ``o_`` and ``d_`` columns, whichever side came first.
 
     For batches and, with both sides watermarked, for streams. In a batch, an order with very many
-    details is split by the adaptive skew join.
+    details is split by the adaptive skew join. A stream cannot do that: there ``salts`` spreads
+    the details of every order over that many tasks, at the price of as many copies of the orders.
     """
-    return _marked(orders.select(*_ORDER_FIELDS), "o_").join(
-        _marked(details, "d_"), within_tolerance(tolerance), how
-    )
+    left = _marked(orders.select(*_ORDER_FIELDS), "o_")
+    right = _marked(details, "d_")
+    condition = within_tolerance(tolerance)
+    if salts == 1:
+        return left.join(right, condition, how)
+    if how != "inner":
+        raise ValueError("salted copies of an order would count as unmatched in an outer join")
+    copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    left = left.withColumn("o_salt", copies)
+    right = right.withColumn("d_salt", F.pmod(F.xxhash64("d_id"), F.lit(salts)).cast("int"))
+    paired = left.join(right, condition & (F.col("o_salt") == F.col("d_salt")))
+    return paired.drop("o_salt", "d_salt")
+
+
+def pairs_and_alone(
+    orders: DataFrame, details: DataFrame, tolerance: str = JOIN_TOLERANCE
+) -> DataFrame:
+    """The full outer join of a batch: pairs, and rows of either side without a partner.
+
+    Put together from joins that can be split on a hot order, which a full outer join cannot.
+    """
+    columns = [f"o_{c}" for c in _ORDER_FIELDS] + [f"d_{c}" for c in details.columns]
+    pairs = pair_within(orders, details, tolerance).select(*columns)
+    alone = [
+        _marked(_orders_alone(orders, details, tolerance).select(*_ORDER_FIELDS), "o_"),
+        _details_alone(orders, details, tolerance),
+    ]
+    for side in alone:
+        pairs = pairs.unionByName(side, allowMissingColumns=True)
+    return pairs
 
 
 def wide_rows(pairs: DataFrame) -> DataFrame:
@@ -65,7 +97,7 @@ def one_per_detail(sales: DataFrame) -> DataFrame:
     return last_by(sales, ["order_detail_id"], order)
 
 
-def unmatched_orders(orders: DataFrame, details: DataFrame, tolerance: str = JOIN_TOLERANCE) -> DataFrame:
+def _orders_alone(orders: DataFrame, details: DataFrame, tolerance: str) -> DataFrame:
     """Order deliveries that no detail met.
 
     The inner join, which can be split on a hot order, is reduced to the orders it found; the
@@ -76,18 +108,33 @@ def unmatched_orders(orders: DataFrame, details: DataFrame, tolerance: str = JOI
         .select(F.col("o_id").alias("id"), F.col("o_ingest_time").alias("ingest_time"))
         .distinct()
     )
-    return orders.join(found, ["id", "ingest_time"], "left_anti").select(
+    return orders.join(found, ["id", "ingest_time"], "left_anti")
+
+
+def _details_alone(orders: DataFrame, details: DataFrame, tolerance: str) -> DataFrame:
+    """Details that no order delivery met, as ``d_`` columns."""
+    left = _marked(details, "d_")
+    right = _marked(orders.select("id", "ingest_time"), "o_")
+    return left.join(right, within_tolerance(tolerance), "left_anti")
+
+
+def unmatched_orders(
+    orders: DataFrame, details: DataFrame, tolerance: str = JOIN_TOLERANCE
+) -> DataFrame:
+    """Orders that would expire without a detail."""
+    return _orders_alone(orders, details, tolerance).select(
         F.lit("order").alias("side"),
         F.col("id").alias("order_id"),
         F.lit(None).cast("string").alias("order_detail_id"),
     )
 
 
-def unmatched_details(orders: DataFrame, details: DataFrame, tolerance: str = JOIN_TOLERANCE) -> DataFrame:
-    """Details that no order delivery met."""
-    left = _marked(details.select("id", "order_id", "ingest_time"), "d_")
-    right = _marked(orders.select("id", "ingest_time"), "o_")
-    return left.join(right, within_tolerance(tolerance), "left_anti").select(
+def unmatched_details(
+    orders: DataFrame, details: DataFrame, tolerance: str = JOIN_TOLERANCE
+) -> DataFrame:
+    """Details that would expire without their order."""
+    narrow = details.select("id", "order_id", "ingest_time")
+    return _details_alone(orders, narrow, tolerance).select(
         F.lit("detail").alias("side"),
         F.col("d_order_id").alias("order_id"),
         F.col("d_id").alias("order_detail_id"),

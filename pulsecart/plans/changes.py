@@ -114,12 +114,24 @@ def upsert_table(spark, sf):
     return _flat_lines(table.read())
 
 
-def daily_active_scan(spark, sf):
-    """The daily-active table stored by day, and one day of it read."""
+def _daily_active_table(spark: SparkSession, sf: str) -> KeyedTable:
     table = daily_active_table(spark, run_folder(spark, "daily-active"))
     startup = adapters.startup_log(read_table(spark, sf, "events"))
-    table.write(first_rows(startup, TIE).select(*DAILY_ACTIVE_COLUMNS), "daily", 0)
-    return table.read(days=[DAY], columns=FILLED).select(*FILLED)
+    table.write(first_rows(startup, TIE).select(*DAILY_ACTIVE_COLUMNS), "daily", 0, unique=True)
+    return table
+
+
+def daily_active_scan(spark, sf):
+    """The daily-active table stored by day, and one day of it read."""
+    return _daily_active_table(spark, sf).read(days=[DAY], columns=FILLED).select(*FILLED)
+
+
+def daily_active_sql(spark, sf):
+    """The stored table under a name, asked in SQL."""
+    _daily_active_table(spark, sf).read().createOrReplaceTempView("daily_active")
+    return spark.sql(
+        f"select loghour lh, count(*) ct from daily_active where logdate = '{DAY}' group by loghour"
+    )
 
 
 def seen_set(spark, sf):
@@ -140,6 +152,7 @@ QUERIES = {
     "upsert_merge": upsert_merge,
     "upsert_table": upsert_table,
     "daily_active_scan": daily_active_scan,
+    "daily_active_sql": daily_active_sql,
     "seen_set": seen_set,
 }
 
@@ -189,6 +202,8 @@ SQL = {
     "upsert_merge": _MERGED,
     "upsert_table": _MERGED,
     "daily_active_scan": f"SELECT * FROM ({FIRST_ROWS}) WHERE logdate = '{DAY}'",
+    "daily_active_sql": f"""SELECT loghour AS lh, count(*) AS ct FROM ({FIRST_ROWS})
+        WHERE logdate = '{DAY}' GROUP BY loghour""",
     "seen_set": """SELECT DISTINCT user_id::VARCHAR AS mid, strftime(ts, '%Y-%m-%d') AS logdate
         FROM events""",
 }

@@ -47,7 +47,7 @@ def sale_detail_interval(spark, sf):
 
 
 def sale_detail_full_outer(spark, sf):
-    pairs = SD.pair_within(_orders(spark, sf), _details(spark, sf), TOLERANCE, "full_outer")
+    pairs = SD.pairs_and_alone(_orders(spark, sf), _details(spark, sf), TOLERANCE)
     return pairs.select(
         F.col("o_id").alias("order_id"),
         F.col("d_id").alias("order_detail_id"),

@@ -44,16 +44,22 @@ class KeyedTable:
     # -- write ---------------------------------------------------------------------------------
 
     def write(
-        self, rows: DataFrame, writer: str, batch_id: int, order: Sequence[str] = ()
+        self,
+        rows: DataFrame,
+        writer: str,
+        batch_id: int,
+        order: Sequence[str] = (),
+        unique: bool = False,
     ) -> bool:
         """Upsert a batch; the last row of a key by ``order`` wins inside it.
 
-        Returns False when ``writer`` has already published ``batch_id``.
+        ``unique`` tells that the batch has each key once already. Returns False when ``writer``
+        has already published ``batch_id``.
         """
         done = f"{self.path}/batches/{writer}/{batch_id:012d}"
         if self._exists(done):
             return False
-        self._append(last_by(rows, self._row_keys(), order) if order else self._one_per_key(rows))
+        self._append(rows if unique else last_by(rows, self._row_keys(), order))
         self._touch(done)
         return True
 
@@ -126,9 +132,6 @@ class KeyedTable:
         extra = [self.day_column] if self.day_column and self.day_column not in self.keys else []
         return self.keys + extra
 
-    def _one_per_key(self, rows: DataFrame) -> DataFrame:
-        return last_by(rows, self._row_keys(), [])
-
     def _append(self, rows: DataFrame) -> None:
         token = self._next_token()
         part = F.col(self.day_column) if self.day_column else F.lit(_WHOLE)

@@ -30,13 +30,17 @@ DAILY_ACTIVE = (
 SEEN_FOR = "24 hours"
 
 
-def on_arrival(startup: DataFrame, keep: str = SEEN_FOR) -> DataFrame:
-    """Pass the first row of each device and day that shows up; forget it after ``keep``."""
-    return (
-        startup.withWatermark("event_time", keep)
-        .dropDuplicatesWithinWatermark(DEVICE_DAY)
-        .select(*DAILY_ACTIVE_COLUMNS)
-    )
+def on_arrival(startup: DataFrame, keep: str = SEEN_FOR, salts: int = 1) -> DataFrame:
+    """Pass the first row of each device and day that shows up; forget it after ``keep``.
+
+    With ``salts`` above 1, the rows of each device are first thinned out in that many tasks. Use
+    it when a single device can hold a large part of all rows.
+    """
+    rows = startup.withWatermark("event_time", keep)
+    if salts > 1:
+        salt = F.pmod(F.xxhash64(*DAILY_ACTIVE_COLUMNS), F.lit(salts))
+        rows = rows.withColumn("salt", salt).dropDuplicatesWithinWatermark([*DEVICE_DAY, "salt"])
+    return rows.dropDuplicatesWithinWatermark(DEVICE_DAY).select(*DAILY_ACTIVE_COLUMNS)
 
 
 def at_day_end(startup: DataFrame, delay: str, tie: Sequence[str] = ()) -> DataFrame:
@@ -117,7 +121,7 @@ def first_batch_sink(
         try:
             touched = [r[0] for r in startup.select("logdate").distinct().collect()]
             seen = table.written_keys(touched)
-            table.write(newly_active(startup, seen, tie), writer, batch_id)
+            table.write(newly_active(startup, seen, tie), writer, batch_id, unique=True)
         finally:
             startup.unpersist()
 

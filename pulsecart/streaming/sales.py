@@ -27,16 +27,25 @@ def live_pairs(
     tolerance: str = JOIN_TOLERANCE,
     delay: str = "0 seconds",
     how: str = "inner",
+    salts: int = 1,
 ) -> DataFrame:
-    """Order and detail pairs from two streams; state older than the tolerance is dropped."""
-    return pair_within(_watermarked(orders, delay), _watermarked(details, delay), tolerance, how)
+    """Order and detail pairs from two streams; state older than the tolerance is dropped.
+
+    Set ``salts`` when single orders can hold a large part of the details.
+    """
+    sides = _watermarked(orders, delay), _watermarked(details, delay)
+    return pair_within(*sides, tolerance, how, salts)
 
 
 def live_sale_details(
-    orders: DataFrame, details: DataFrame, tolerance: str = JOIN_TOLERANCE, delay: str = "0 seconds"
+    orders: DataFrame,
+    details: DataFrame,
+    tolerance: str = JOIN_TOLERANCE,
+    delay: str = "0 seconds",
+    salts: int = 1,
 ) -> DataFrame:
     """Sale details, still without the user, as soon as both sides have arrived."""
-    return wide_rows(live_pairs(orders, details, tolerance, delay))
+    return wide_rows(live_pairs(orders, details, tolerance, delay, salts=salts))
 
 
 def live_unmatched(

@@ -285,3 +285,14 @@ def test_batch_join_of_the_live_rows(spark, tmp_path):
     table = KeyedTable(spark, run_folder(spark, "b"), "order_detail_id string", ["order_detail_id"])
     table.write(SD.sale_details(o, d).select("order_detail_id"), "b", 0)
     assert sorted(r[0] for r in table.read().collect()) == ["d1", "d2", "d3", "d4"]
+
+
+def test_salted_streams_give_the_same_rows(spark, tmp_path):
+    feed = Feed(tmp_path / "in")
+    for batch in BATCHES:
+        feed.add(startups(*batch))
+    stream = daily_active.on_arrival(as_startup(raw_stream(spark, feed.folder)), salts=3)
+    assert [w[:2] for w in winners(to_table(spark, stream, "salted")())] == [w[:2] for w in FIRST_BATCH]
+    o, d = live_sides(spark, *feed_sales(tmp_path))
+    pairs = to_table(spark, sales.live_sale_details(o, d, salts=3), "salted-join")()
+    assert sorted({r["order_detail_id"] for r in pairs.collect()}) == ["d1", "d2", "d3", "d4"]
