@@ -88,9 +88,12 @@ def stream_sale_detail(spark, sf):
 
 
 def stream_sale_table(spark, sf):
-    """The same into the keyed table by order day, with the buyers read anew for every batch."""
+    """The same into the keyed table, with the buyers read anew for every batch.
+
+    These orders are few a day over years, so the table is stored by month.
+    """
     folder = run_folder(spark, "stream-sale-table")
-    table = sales.sale_table(spark, f"{folder}/table")
+    table = sales.sale_table(spark, f"{folder}/table", part_length=7)
     sink = sales.enriching_sink(table, lambda: _users(spark, sf), AS_OF, "sales")
     drain(_live_sales(spark, sf).writeStream.foreachBatch(sink), f"{folder}/checkpoint")
     return table.read()

@@ -23,8 +23,9 @@ class KeyedTable:
     file is ever changed. Tokens sort in write order; a reader lets the latest one win per key.
     ``fold`` rewrites a day into a single folder, after which reading it is a plain scan.
 
-    Keys are unique per day when ``day_column`` is set, as with one index per day. One writer at
-    a time. A micro-batch that is replayed after it was published is skipped.
+    Keys are unique per day when ``day_column`` is set, as with one index per day. A table with
+    few rows a day can take one folder per month instead, with ``part_length=7``. One writer at a
+    time. A micro-batch that is replayed after it was published is skipped.
     """
 
     def __init__(
@@ -34,12 +35,14 @@ class KeyedTable:
         schema: str | T.StructType,
         keys: Sequence[str],
         day_column: str | None = None,
+        part_length: int = 10,
     ):
         self.spark = spark
         self.path = path.rstrip("/")
         self.schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
         self.keys = list(keys)
         self.day_column = day_column
+        self.part_length = part_length
 
     # -- write ---------------------------------------------------------------------------------
 
@@ -81,7 +84,7 @@ class KeyedTable:
         older = {p: t for p, t in self._layout().items() if day is None or p == day}
         if all(len(tokens) < 2 for tokens in older.values()):
             return
-        self._append(self.read([day] if day else None))
+        self._append(self._current([day] if day else None, self.schema.names))
         for part, tokens in older.items():
             for token in tokens:
                 self._delete(self._folder(part, token))
@@ -95,24 +98,32 @@ class KeyedTable:
         later writes are reduced to their last rows, which replace rows of the first write.
         """
         wanted = list(columns or self.schema.names)
+        if days is None or self.part_length >= 10:
+            return self._current(self._parts(days), wanted)
+        rows = self._current(self._parts(days), list(dict.fromkeys([*wanted, self.day_column])))
+        return rows.filter(F.col(self.day_column).isin(list(days))).select(*wanted)
+
+    def _current(self, parts: Sequence[str] | None, wanted: list[str]) -> DataFrame:
         first, later = [], []
         for part, tokens in self._layout().items():
-            if days is None or part in days:
+            if parts is None or part in parts:
                 first.append((part, tokens[0]))
                 later += [(part, token) for token in tokens[1:]]
-        if days is None:
+        if parts is None:
             first, later = self._folders(first, later), self._folders(later, first)
         else:
             first, later = ([self._folder(*f) for f in fs] for fs in (first, later))
         base = self._load(first, wanted)
         if not later:
             return base.select(*wanted)
-        latest = last_by(self._load(later, wanted), self._row_keys(), [_WRITE])
-        kept = base.join(latest.select(*self._row_keys()), self._row_keys(), "left_anti")
+        keys = self._row_keys()
+        kept = base.join(self._load(later, keys).select(*keys), keys, "left_anti")
+        latest = last_by(self._load(later, wanted), keys, [_WRITE])
         return kept.select(*wanted).unionByName(latest.select(*wanted))
 
     def written_keys(self, days: Sequence[str] | None = None) -> DataFrame:
         """Keys of the given days as they were written, for membership tests; may repeat."""
+        days = self._parts(days)
         rows = [
             (part, token)
             for part, tokens in self._layout().items()
@@ -122,8 +133,8 @@ class KeyedTable:
         folders = self._folders(rows, []) if days is None else [self._folder(*r) for r in rows]
         return self._load(folders, self._row_keys()).select(*self._row_keys())
 
-    def days(self) -> list[str]:
-        """Days with published rows."""
+    def parts(self) -> list[str]:
+        """Days, or months, with published rows."""
         return sorted(self._layout())
 
     # -- layout --------------------------------------------------------------------------------
@@ -132,9 +143,14 @@ class KeyedTable:
         extra = [self.day_column] if self.day_column and self.day_column not in self.keys else []
         return self.keys + extra
 
+    def _parts(self, days: Sequence[str] | None) -> list[str] | None:
+        return None if days is None else sorted({d[: self.part_length] for d in days})
+
     def _append(self, rows: DataFrame) -> None:
         token = self._next_token()
-        part = F.col(self.day_column) if self.day_column else F.lit(_WHOLE)
+        part = F.lit(_WHOLE)
+        if self.day_column:
+            part = F.substring(self.day_column, 1, self.part_length)
         placed = rows.select(*self.schema.names, F.lit(token).alias(_WRITE), part.alias(_PART))
         if self.day_column:
             # Few files per day, and several for a day that is too large for one task.

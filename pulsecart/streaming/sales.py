@@ -61,9 +61,11 @@ def live_unmatched(
     )
 
 
-def sale_table(spark: SparkSession, path: str) -> KeyedTable:
-    """The sale-detail table: one row per detail, stored by order day."""
-    return KeyedTable(spark, path, SALE_DETAIL, ["order_detail_id"], day_column="dt")
+def sale_table(spark: SparkSession, path: str, part_length: int = 10) -> KeyedTable:
+    """The sale-detail table: one row per detail, stored by order day, or by month with 7."""
+    return KeyedTable(
+        spark, path, SALE_DETAIL, ["order_detail_id"], day_column="dt", part_length=part_length
+    )
 
 
 def enriching_sink(

@@ -46,7 +46,7 @@ def write(table, batch, *data, writer="w", order=("seq",)):
 
 
 def test_table_starts_empty(table):
-    assert rows(table.read()) == [] and table.days() == []
+    assert rows(table.read()) == [] and table.parts() == []
 
 
 def test_table_last_write_wins(table):
@@ -97,15 +97,35 @@ def test_daily_table(spark):
     put(0, ("2024-01-14", "1", "a"), ("2024-01-15", "1", "b"))
     put(1, ("2024-01-15", "1", "c"), ("2024-01-15", "2", "d"))
     put(2, ("2024-01-16", "1", "e"))
-    assert table.days() == ["2024-01-14", "2024-01-15", "2024-01-16"]
+    assert table.parts() == ["2024-01-14", "2024-01-15", "2024-01-16"]
     assert rows(table.read(["2024-01-15"])) == [("2024-01-15", "1", "c"), ("2024-01-15", "2", "d")]
     everything = rows(table.read())
     assert len(everything) == 4
     table.fold("2024-01-15")
     assert rows(table.read()) == everything
-    assert {p: len(t) for p, t in table._layout().items()} == dict.fromkeys(table.days(), 1)
+    assert {p: len(t) for p, t in table._layout().items()} == dict.fromkeys(table.parts(), 1)
     assert sorted(tuple(r) for r in table.written_keys(["2024-01-14"]).collect()) == [("1", "2024-01-14")]
 
 
+def test_monthly_parts_still_key_and_read_by_day(spark):
+    table = KeyedTable(spark, run_folder(spark, "monthly"), DAILY, ["id"], day_column="dt", part_length=7)
+    put = lambda batch, *data: table.write(spark.createDataFrame(list(data), DAILY), "w", batch)
+    put(0, ("2024-01-14", "1", "a"), ("2024-01-15", "1", "b"), ("2024-02-01", "1", "x"))
+    put(1, ("2024-01-15", "1", "c"))
+    assert table.parts() == ["2024-01", "2024-02"]
+    assert rows(table.read(["2024-01-15"])) == [("2024-01-15", "1", "c")]
+    everything = rows(table.read())
+    table.fold("2024-01")
+    assert rows(table.read()) == everything == [
+        ("2024-01-14", "1", "a"), ("2024-01-15", "1", "c"), ("2024-02-01", "1", "x"),
+    ]
+
+
+def test_single_document_upsert(table):
+    write(table, 0, ("1001", "first", 0))
+    write(table, 1, ("1001", "second", 0))
+    assert rows(table.read()) == [("1001", "second", 0)]
+
+
 def test_shared_folder_is_the_cluster_setting(spark):
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
