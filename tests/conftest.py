@@ -14,10 +14,11 @@ def spark(tmp_path_factory):
     session = build_session(
         "pulsecart-tests",
         master="local[8]",
-        shuffle_partitions=4,
+        shuffle_partitions=2,
         **{
             "spark__checkpoint__dir": str(tmp_path_factory.mktemp("shared")),
             "spark__driver__memory": "6g",
+            "spark__ui__showConsoleProgress": "false",
         },
     )
     session.sparkContext.setLogLevel("ERROR")

@@ -104,6 +104,7 @@ def test_hot_order_is_split_and_no_row_is_lost(spark):
     ).count()
     with settings(
         spark,
+        spark__sql__shuffle__partitions="6",
         spark__sql__autoBroadcastJoinThreshold="-1",
         spark__sql__adaptive__autoBroadcastJoinThreshold="-1",
         spark__sql__adaptive__skewJoin__skewedPartitionThresholdInBytes="20KB",
