@@ -130,7 +130,8 @@ def daily_active_sql(spark, sf):
     """The stored table under a name, asked in SQL."""
     _daily_active_table(spark, sf).read().createOrReplaceTempView("daily_active")
     return spark.sql(
-        f"select loghour lh, count(*) ct from daily_active where logdate = '{DAY}' group by loghour"
+        "SELECT loghour AS hour, count(*) AS devices FROM daily_active "
+        f"WHERE logdate = '{DAY}' GROUP BY loghour"
     )
 
 
@@ -202,7 +203,7 @@ SQL = {
     "upsert_merge": _MERGED,
     "upsert_table": _MERGED,
     "daily_active_scan": f"SELECT * FROM ({FIRST_ROWS}) WHERE logdate = '{DAY}'",
-    "daily_active_sql": f"""SELECT loghour AS lh, count(*) AS ct FROM ({FIRST_ROWS})
+    "daily_active_sql": f"""SELECT loghour AS hour, count(*) AS devices FROM ({FIRST_ROWS})
         WHERE logdate = '{DAY}' GROUP BY loghour""",
     "seen_set": """SELECT DISTINCT user_id::VARCHAR AS mid, strftime(ts, '%Y-%m-%d') AS logdate
         FROM events""",

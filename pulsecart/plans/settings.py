@@ -8,6 +8,6 @@ TIE = ["event_id"]
 ALERT_WINDOW, ALERT_SLIDE, ALERT_BUCKET = "6 hours", "1 hour", "3 hours"
 TOLERANCE = "30 days"
 
-SALE_DAY = "1995-12-12"
+SALE_DAY = "2000-11-10"
 KEYWORD = "ring"
 BRAND = "Brand#19"

@@ -73,7 +73,9 @@ def enriching_sink(
 ) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` function that adds the buyer and upserts by detail id.
 
-    ``users`` is called for every batch, so it can return the user snapshot as it is then.
+    ``users`` is called for every batch, so it can return the user snapshot as it is then. A
+    snapshot that is too large to scan that often is better persisted by the caller and read anew
+    at longer intervals.
     """
 
     def sink(sales: DataFrame, batch_id: int) -> None:
