@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsecart.llm import bpe, language, secrets, toxicity
+from pulsecart.llm import bpe, decontaminate, language, licenses, neardup, search, secrets, toxicity, urls
 from pulsecart.llm.common import fold, table
 
 
@@ -49,6 +49,20 @@ def op3_language(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    """License phrases and blocks of every document."""
+    found = licenses.scan(table(spark, folder, "documents", "doc_id", "text"))
+    at = F.transform("places", lambda p: p["at"].cast("long"))
+    base = F.array_distinct(F.transform("places", lambda p: p["label"]))
+    return found.select(
+        "doc_id", "n_words", F.size("places").cast("long").alias("n_base"),
+        F.array_min(at).alias("first_word"), F.array_max(at).alias("last_word"),
+        F.array_join(F.array_sort(base), ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_union(base, F.col("template_labels"))), ",").alias("labels"),
+        F.greatest("score", F.when(F.size("places") > 0, 0.5).otherwise(0.0)).alias("score"),
+    )
+
+
 def vocabulary() -> tuple[str, str]:
     """Vocabulary file and pattern of the encoding queries."""
     import public_tokenizers
@@ -67,5 +81,84 @@ def op6_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_secrets, op3_language, op6_bpe)}
-SQL: dict[str, str] = {}
+def op7_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark items that documents hold, within a fifth of their words."""
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    return decontaminate.find_items(docs, table(spark, folder, "benchmark", "item_id", "text"))
+
+
+def op8_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    """Classes of documents whose sets of 4-word shingles have a Jaccard similarity of 0.8."""
+    return neardup.classes(table(spark, folder, "documents", "doc_id", "text"), words=4, percent=80)
+
+
+def op9_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    """The 10 best vectors for each vector whose id is divisible by 100."""
+    vectors = table(spark, folder, "embeddings", "vec_id", "embedding")
+    return search.top_k(vectors, F.col("vec_id") % 100 == 0, k=10)
+
+
+TOP_K_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS (
+  SELECT vec_id, unnest(x) AS c, generate_subscripts(x, 1) AS i FROM v
+), scores AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(sum(q.c * c.c) AS BIGINT) AS score
+  FROM parts q JOIN parts c ON q.i = c.i AND q.vec_id <> c.vec_id
+  WHERE q.vec_id % 100 = 0
+  GROUP BY ALL
+), ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+  FROM scores
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+BLOCK_RULES = [("net", "/"), ("example.com", "/de/")]
+ALLOW_RULES = [("example.net", "/en/"), ("org", "/fr/")]
+# Words that, alone or between hyphens in a label, put a host on the list of unwanted hosts.
+UNWANTED = ["adult", "ads", "bets", "casino", "pills", "spam", "warez", "xxx"]
+_UNWANTED = rf"(^|[.-])({'|'.join(UNWANTED)})([.-]|$)"
+
+
+def op10_urls(spark: SparkSession, folder: str) -> DataFrame:
+    """Verdict on every page's url."""
+    pages = table(spark, folder, "pages", "page_id", "url")
+    block = spark.createDataFrame(BLOCK_RULES, "host string, path string")
+    allow = spark.createDataFrame(ALLOW_RULES, "host string, path string")
+    judged = urls.judge(pages, block, allow, F.col("host").rlike(_UNWANTED))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+URLS_SQL = f"""
+WITH rest AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), parts AS (
+  SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM rest
+), ruled AS (
+  SELECT *, CASE
+    WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/en/%' THEN 'example.net/en/'
+    WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/de/%' THEN 'example.com/de/'
+    WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/'
+    WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/%' THEN 'net/'
+    END AS rule
+  FROM parts
+)
+SELECT page_id, host, path, rule,
+  CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+    WHEN regexp_matches(host, '{_UNWANTED}') THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled
+"""
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_toxicity, op2_secrets, op3_language, op5_licenses, op6_bpe, op7_decontaminate, op8_near_duplicates, op9_top_k, op10_urls)
+}
+SQL: dict[str, str] = {"op9_top_k": TOP_K_SQL, "op10_urls": URLS_SQL}
