@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsecart.llm import bpe, decontaminate, language, licenses, neardup, search, secrets, toxicity, urls
+from pulsecart.llm import bpe, decontaminate, language, licenses, neardup, search, secrets, substrings, toxicity, urls
 from pulsecart.llm.common import fold, table
 
 
@@ -49,6 +49,15 @@ def op3_language(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_substrings(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the bytes of repeated strings of 100 bytes, as digests."""
+    cut = substrings.remove(substrings.find(table(spark, folder, "documents", "doc_id", "text")))
+    return cut.select(
+        "doc_id", F.col("cut.n_bytes").alias("n_bytes"), F.col("cut.n_removed").alias("n_removed"),
+        F.col("cut.n_spans").alias("n_spans"), F.sha2("cut.kept", 256).alias("kept_sha256"),
+    )
+
+
 def op5_licenses(spark: SparkSession, folder: str) -> DataFrame:
     """License phrases and blocks of every document."""
     found = licenses.scan(table(spark, folder, "documents", "doc_id", "text"))
@@ -159,6 +168,6 @@ FROM ruled
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_toxicity, op2_secrets, op3_language, op5_licenses, op6_bpe, op7_decontaminate, op8_near_duplicates, op9_top_k, op10_urls)
+    for f in (op1_toxicity, op2_secrets, op3_language, op4_substrings, op5_licenses, op6_bpe, op7_decontaminate, op8_near_duplicates, op9_top_k, op10_urls)
 }
 SQL: dict[str, str] = {"op9_top_k": TOP_K_SQL, "op10_urls": URLS_SQL}
