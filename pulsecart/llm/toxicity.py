@@ -187,7 +187,7 @@ def fit(
     rows = (
         documents.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
         .where(F.col("_text").isNotNull())
-        .join(chosen, "_key")
+        .join(F.broadcast(chosen), "_key")  # about cap rows of each label
         .select("_key", "_label", F.array_join(pieces(F.col("_text"), piece, most_pieces), " ").alias("_text"))
         .toPandas().drop_duplicates("_text").sort_values("_key")
     )
