@@ -26,14 +26,14 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the first document of each class of near-duplicates (five words, similarity 0.8)."""
     dropped = neardup.classes(docs, words=5, percent=80).where(~F.col("kept")).select("doc_id")
-    return docs.join(materialise(dropped, "duplicates"), "doc_id", "left_anti").select(COLUMNS)
+    dropped = materialise(dropped, "duplicates").hint("merge")  # grows with the documents: never broadcast
+    return docs.join(dropped, "doc_id", "left_anti").select(COLUMNS)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a benchmark item."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
-    found = decontaminate.find_items(docs, items).select("doc_id").distinct()
-    return docs.join(materialise(found, "contaminated"), "doc_id", "left_anti").select(COLUMNS)
+    return docs.where(~decontaminate.holding(docs, items)).select(COLUMNS)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsecart.llm.common import small_batches
@@ -288,6 +288,44 @@ def _pieces(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
         yield first, texts[first:]
 
 
+def _blocks(items: DataFrame, similarity: float, recall: float, item_key: str, item_text: str) -> Iterator[Index]:
+    """Indexes of blocks of items, each of bounded size."""
+    own = items.select(F.col(item_key).alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null").distinct()
+    size = own.agg(F.count("*").alias("n"), F.sum(F.octet_length("t")).alias("b")).first()
+    blocks = max(1, math.ceil(size["n"] / BLOCK_ITEMS), math.ceil((size["b"] or 0) / BLOCK_CHARS))
+    part = F.pmod(F.xxhash64("t", "i"), F.lit(blocks))
+    for b in range(blocks):
+        yield Index(sorted((r["i"], r["t"]) for r in own.where(part == b).collect()), similarity, recall)
+
+
+def holding(
+    documents: DataFrame, items: DataFrame, similarity: float = 0.8, recall: float = 0.998,
+    text: str = "text", item_key: str = "item_id", item_text: str = "text",
+) -> Column:
+    """Condition that is true for documents that hold any item; made without a shuffle."""
+    spark = documents.sparkSession
+    small_batches(spark)
+
+    def condition(index: Index) -> Column:
+        shared = spark.sparkContext.broadcast(index)
+
+        @F.pandas_udf("boolean")
+        def holds(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for texts in batches:
+                own, hit = [t or "" for t in texts], np.zeros(len(texts), dtype=bool)
+                for first, piece in _pieces(own) if shared.value.items else ():
+                    for doc, *_ in shared.value.find(piece):
+                        hit[first + doc] = True
+                yield pd.Series(hit)
+
+        return holds(F.col(text))
+
+    found = F.lit(False)
+    for index in _blocks(items, similarity, recall, item_key, item_text):
+        found = found | condition(index)
+    return found
+
+
 def find_items(
     documents: DataFrame, items: DataFrame, similarity: float = 0.8, recall: float = 0.998,
     key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text",
@@ -295,10 +333,6 @@ def find_items(
     """One row per document and item found: doc_id, item_id, start_word, n_words, distance, similarity."""
     spark = documents.sparkSession
     small_batches(spark)
-    own = items.select(F.col(item_key).alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null").distinct()
-    size = own.agg(F.count("*").alias("n"), F.sum(F.octet_length("t")).alias("b")).first()
-    blocks = max(1, math.ceil(size["n"] / BLOCK_ITEMS), math.ceil((size["b"] or 0) / BLOCK_CHARS))
-    part = F.pmod(F.xxhash64("t", "i"), F.lit(blocks))
     kind, item_kind = documents.schema[key].dataType, items.schema[item_key].dataType
     schema = (
         f"`{key}` {kind.simpleString()}, `{item_key}` {item_kind.simpleString()}, start_word bigint, n_words bigint, "
@@ -306,8 +340,7 @@ def find_items(
     )
     rows = documents.select(F.col(key), F.col(text).alias("_text")).where(F.length("_text") > 0)
     out = None
-    for b in range(blocks):
-        index = Index(sorted((r["i"], r["t"]) for r in own.where(part == b).collect()), similarity, recall)
+    for index in _blocks(items, similarity, recall, item_key, item_text):
         shared = spark.sparkContext.broadcast(index)
 
         def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
