@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 
 def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -32,9 +32,17 @@ def _extreme(df, keys, order, pick) -> DataFrame:
     return row.select(*columns)
 
 
-def with_generated_ids(df: DataFrame, id_column: str) -> DataFrame:
-    """Give rows without an id a generated one, so that none of them replaces another."""
-    return df.withColumn(id_column, F.coalesce(F.col(id_column), F.uuid()))
+def with_generated_ids(df: DataFrame, id_column: str, *source: str) -> DataFrame:
+    """Give rows without an id a generated one, so that none of them replaces another.
+
+    The id is a digest of ``source`` (such as the writer and its batch), the row, and a number among
+    equal rows. So a batch that is computed again gives its rows the same ids.
+    """
+    content = F.sha2(F.concat_ws("|", *[F.lit(x) for x in source], F.to_json(F.struct("*"))), 256)
+    alone = df.filter(F.col(id_column).isNull()).withColumn("_content", content)
+    number = F.row_number().over(Window.partitionBy("_content").orderBy("_content"))
+    named = alone.withColumn(id_column, F.concat_ws("-", "_content", number.cast("string")))
+    return df.filter(F.col(id_column).isNotNull()).unionByName(named.drop("_content"))
 
 
 def upsert(base: DataFrame, changes: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -215,14 +215,28 @@ def by_province(orders: DataFrame, provinces: DataFrame) -> DataFrame:
     )
 
 
+def by_province_of_buyer(orders: DataFrame, buyers: DataFrame, provinces: DataFrame) -> DataFrame:
+    """The same for orders without a province; ``buyers`` maps ``user_id`` to ``province_id``.
+
+    Orders are summed by buyer before the join, so one row per buyer is shuffled, not all orders.
+    """
+    own = orders.groupBy("user_id").agg(
+        F.sum(F.col("total_amount").cast("decimal(18,2)")).alias("sales"), F.count("*").alias("orders")
+    )
+    sums = own.join(buyers, "user_id", "left").groupBy("province_id").agg(
+        F.sum("sales").cast("double").alias("sales"), F.sum("orders").alias("orders")
+    )
+    return sums.join(provinces, "province_id", "left").select("province_id", "province", "sales", "orders")
+
+
 # The legend has six bands of this width, from 0 up.
 BAND_WIDTH = 100
 BANDS = 6
 
 
-def with_value_band(df: DataFrame, value: str) -> DataFrame:
-    """Legend band of a value: 0 for 0 to under 100, up to 5 for 500 to 600; null outside."""
+def with_value_band(df: DataFrame, value: str, width: float = BAND_WIDTH, bands: int = BANDS) -> DataFrame:
+    """Legend band of a value: 0 for 0 to under ``width`` and so on; the last band is open above.
+    Negative values and nulls have none."""
     v = F.col(value)
-    top = BAND_WIDTH * BANDS
-    band = F.when((v >= 0) & (v < top), F.floor(v / BAND_WIDTH)).when(v == top, BANDS - 1)
+    band = F.when(v >= 0, F.least(F.floor(v / width), F.lit(bands - 1)))
     return df.withColumn("band", band.cast("int"))

@@ -25,8 +25,8 @@ def _startup(spark: SparkSession, sf: str) -> DataFrame:
 def _daily(spark: SparkSession, sf: str, first: str | None = None, last: str | None = None):
     """Daily-active rows in the narrow form; with days given, only their events are scanned."""
     events = _events(spark, sf)
-    if first is not None:
-        events = events.filter(within_days("ts", first, last))
+    if last is not None:
+        events = events.filter(within_days("ts", first or "0001-01-01", last))
     return A.as_log_rows(A.first_times(adapters.startup_log(events)))
 
 
@@ -82,7 +82,7 @@ def dau_stage_counts(spark, sf):
 
 
 def dau_kpis(spark, sf):
-    return A.kpis(_daily(spark, sf), DAY)
+    return A.kpis(_daily(spark, sf, None, DAY), DAY)
 
 
 def dau_new_devices(spark, sf):

@@ -9,7 +9,7 @@ from pulsecart.operators import keyed
 from pulsecart.operators.activity import DEVICE_DAY, first_rows
 from pulsecart.operators.routing import ORDER_TOPIC, as_messages, routed
 from pulsecart.plans.activity import FILLED
-from pulsecart.plans.settings import AS_OF, DAY, TIE
+from pulsecart.plans.settings import AS_OF, BEFORE, DAY, TIE
 from pulsecart.schemas import DAILY_ACTIVE_COLUMNS, ORDER_INFO, STARTUP_LOG
 from pulsecart.sinks.keyed_table import KeyedTable
 from pulsecart.sinks.topics import write_topics
@@ -67,6 +67,31 @@ def startup_json(spark, sf):
     return good.select("event_id", "mid", "type", "ts")
 
 
+def topic_corrupt(spark, sf):
+    """Startup texts of which some are cut short: good records, and texts for the dead-letter output."""
+    startup = adapters.startup_log(read_table(spark, sf, "events"))
+    fields = [f.split()[0] for f in STARTUP_LOG.split(", ")]
+    text = F.to_json(F.struct(*fields))
+    cut = F.when(F.col("event_id") % 13 == 0, F.expr("left(value, length(value) - 1)")).otherwise(F.col("value"))
+    texts = startup.select("event_id", text.alias("value"))
+    good, broken = split_corrupt(parse_records(texts.select(cut.alias("value")), STARTUP_LOG))
+    count = lambda rows, name: rows.agg(F.lit(name).alias("output"), F.count("*").alias("rows"))
+    return count(good, "records").unionByName(count(broken, "dead_letters"))
+
+
+def upsert_null_ids(spark, sf):
+    """Signups come without an id and are all kept; other events of a user replace each other. Two
+    batches, and the first sent once more."""
+    events = read_table(spark, sf, "events").select(
+        F.when(F.col("event_type") != "signup", F.col("user_id").cast("string")).alias("id"),
+        (F.col("event_type") == "signup").alias("generated"), F.col("event_id").cast("bigint").alias("event_id"),
+    )
+    table = KeyedTable(spark, run_folder(spark, "null-ids"), events.schema, ["id"])
+    for batch, n in ((0, 0), (1, 1), (0, 0)):
+        table.write(events.filter(F.col("event_id") % 2 == n), "events", batch, ["event_id"])
+    return table.read().groupBy("generated").agg(F.count("*").alias("rows"), F.count_distinct("id").alias("ids"))
+
+
 def user_latest(spark, sf):
     changes = adapters.user_changes(read_table(spark, sf, "events"))
     return keyed.last_by(changes, ["id"], ["event_time", "event_id"]).select("id", "user_level")
@@ -127,11 +152,18 @@ def daily_active_scan(spark, sf):
 
 
 def daily_active_sql(spark, sf):
-    """The stored table under a name, asked in SQL."""
-    _daily_active_table(spark, sf).read().createOrReplaceTempView("daily_active")
+    """The stored table asked in SQL: a day and the one before for all hours, with a total."""
+    stored = _daily_active_table(spark, sf).read(days=[BEFORE, DAY])
     return spark.sql(
-        "SELECT loghour AS hour, count(*) AS devices FROM daily_active "
-        f"WHERE logdate = '{DAY}' GROUP BY loghour"
+        """
+        WITH clock AS (SELECT lpad(id, 2, '0') AS hour FROM range(24)),
+        seen AS (
+          SELECT loghour, count_if(logdate = {day}) AS today, count_if(logdate = {before}) AS yesterday
+          FROM {stored} WHERE logdate IN ({day}, {before}) GROUP BY loghour)
+        SELECT coalesce(hour, 'all') AS hour, sum(coalesce(today, 0)) AS today, sum(coalesce(yesterday, 0)) AS yesterday
+        FROM clock LEFT JOIN seen ON loghour = hour GROUP BY ROLLUP (hour)
+        """,
+        stored=stored, day=DAY, before=BEFORE,
     )
 
 
@@ -146,6 +178,8 @@ QUERIES = {
     "cdc_after_image": cdc_after_image,
     "cdc_topic_store": cdc_topic_store,
     "startup_json": startup_json,
+    "topic_corrupt": topic_corrupt,
+    "upsert_null_ids": upsert_null_ids,
     "user_latest": user_latest,
     "user_ages": user_ages,
     "minute_ids": minute_ids,
@@ -191,6 +225,13 @@ SQL = {
         FROM orders WHERE {_ORDER_KEPT}""",
     "startup_json": """SELECT event_id, user_id::VARCHAR AS mid, event_type AS type, (epoch_us(ts) // 1000) AS ts
         FROM events""",
+    "topic_corrupt": """SELECT CASE WHEN event_id % 13 = 0 THEN 'dead_letters' ELSE 'records' END AS output,
+        count(*) AS rows FROM events GROUP BY 1""",
+    "upsert_null_ids": """WITH rows AS (
+          SELECT event_type = 'signup' AS generated,
+                 CASE WHEN event_type = 'signup' THEN 'e' || event_id::VARCHAR ELSE 'u' || user_id::VARCHAR END AS id
+          FROM events)
+        SELECT generated, count(DISTINCT id) AS rows, count(DISTINCT id) AS ids FROM rows GROUP BY generated""",
     "user_latest": USER_LATEST,
     "user_ages": """WITH u AS (SELECT c_custkey::VARCHAR AS id,
           DATE '1955-01-01' + (c_custkey * 37 % 20000)::INTEGER AS d FROM customer)
@@ -203,8 +244,13 @@ SQL = {
     "upsert_merge": _MERGED,
     "upsert_table": _MERGED,
     "daily_active_scan": f"SELECT * FROM ({FIRST_ROWS}) WHERE logdate = '{DAY}'",
-    "daily_active_sql": f"""SELECT loghour AS hour, count(*) AS devices FROM ({FIRST_ROWS})
-        WHERE logdate = '{DAY}' GROUP BY loghour""",
+    "daily_active_sql": f"""WITH first_rows AS ({FIRST_ROWS}),
+        filled AS (
+          SELECT lpad(h::VARCHAR, 2, '0') AS hour, count(*) FILTER (logdate = '{DAY}') AS today,
+                 count(*) FILTER (logdate = '{BEFORE}') AS yesterday
+          FROM range(24) AS clock(h) LEFT JOIN first_rows ON loghour::INTEGER = h GROUP BY h)
+        SELECT * FROM filled
+        UNION ALL SELECT 'all', sum(today)::BIGINT, sum(yesterday)::BIGINT FROM filled""",
     "seen_set": """SELECT DISTINCT user_id::VARCHAR AS mid, strftime(ts, '%Y-%m-%d') AS logdate
         FROM events""",
 }

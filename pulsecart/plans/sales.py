@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from pulsecart.operators import sales as SD
 from pulsecart.operators import search as S
-from pulsecart.plans.settings import AS_OF, KEYWORD, SALE_DAY, TOLERANCE
+from pulsecart.functions import gender_label, price, within_days
+from pulsecart.plans.settings import AS_OF, SALE_DAY, SALE_WORD, TOLERANCE
 from pulsecart.sources import adapters
 from pulsecart.sources.tables import read_table
 
@@ -25,17 +26,25 @@ def _users(spark: SparkSession, sf: str) -> DataFrame:
     return adapters.user_info(read_table(spark, sf, "customer"))
 
 
+def with_product_fields(pairs: DataFrame, part: DataFrame) -> DataFrame:
+    """Product fields for the few pairs the interval join leaves, not for every detail."""
+    named = adapters.with_product(pairs, part, "d_sku_id")
+    return named.withColumnsRenamed({"sku_name": "d_sku_name", "order_price": "d_order_price"})
+
+
+def _pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return SD.pair_within(_orders(spark, sf), _details(spark, sf), TOLERANCE)
+
+
 def _sales(spark: SparkSession, sf: str) -> DataFrame:
-    """Sale details without the user.
+    """Sale details without the user."""
+    return SD.wide_rows(with_product_fields(_pairs(spark, sf), read_table(spark, sf, "part")))
 
-    Product fields are attached to the few pairs the interval join leaves, not to every detail.
-    """
-    pairs = SD.pair_within(_orders(spark, sf), _details(spark, sf), TOLERANCE)
-    part = read_table(spark, sf, "part")
-    named = adapters.with_product(pairs, part, "d_sku_id")
-    return SD.wide_rows(
-        named.withColumnsRenamed({"sku_name": "d_sku_name", "order_price": "d_order_price"})
-    )
+
+def _unnamed(spark: SparkSession, sf: str) -> DataFrame:
+    """Sale details without user and product, for results that need neither or only few of them."""
+    none = F.lit(None).cast("string")
+    return SD.wide_rows(_pairs(spark, sf).withColumns({"d_sku_name": none, "d_order_price": none}))
 
 
 def _enriched(spark: SparkSession, sf: str) -> DataFrame:
@@ -64,22 +73,32 @@ def sale_detail_enriched(spark, sf):
 
 
 def sale_gender_split(spark, sf):
-    return SD.gender_split(_enriched(spark, sf))
+    split = SD.gender_split(SD.with_user(_unnamed(spark, sf), _users(spark, sf), AS_OF))
+    return split.withColumn("label", gender_label("user_gender"))
 
 
 def sale_age_bands(spark, sf):
-    return SD.age_split(_enriched(spark, sf))
+    return SD.age_split(SD.with_user(_unnamed(spark, sf), _users(spark, sf), AS_OF))
 
 
 def sale_by_keyword(spark, sf):
-    return S.sales_of(_sales(spark, sf), SALE_DAY, KEYWORD).select(
-        "order_detail_id", "sku_name", "dt"
-    )
+    """The day is a range on the raw times, so it reaches both scans: a detail of an order of the
+    day lies within the tolerance of it."""
+    orders = read_table(spark, sf, "orders").filter(within_days("o_orderdate", SALE_DAY, SALE_DAY))
+    reach = F.expr(f"interval {TOLERANCE}")
+    day = F.lit(SALE_DAY).cast("timestamp")
+    near = F.col("l_shipdate").between(day - reach, day + F.expr("interval 1 day") + reach)
+    lines = read_table(spark, sf, "lineitem").filter(near)
+    pairs = SD.pair_within(adapters.order_info(orders), adapters.order_detail_keys(lines), TOLERANCE)
+    sales = SD.wide_rows(with_product_fields(pairs, read_table(spark, sf, "part")))
+    return S.sales_of(sales, SALE_DAY, SALE_WORD).select("order_detail_id", "sku_name", "dt")
 
 
 def sale_page(spark, sf):
-    found = _enriched(spark, sf)
-    return S.page(found, ["dt", "order_detail_id"], PAGE_NUMBER, PAGE_SIZE)
+    """The page is taken first, as its order needs neither product nor user; then its rows get both."""
+    found = S.page(_unnamed(spark, sf), ["dt", "order_detail_id"], PAGE_NUMBER, PAGE_SIZE)
+    named = adapters.with_product(found.drop("sku_name", "sku_price"), read_table(spark, sf, "part"))
+    return SD.with_user(named.withColumn("sku_price", price("order_price")), _users(spark, sf), AS_OF)
 
 
 def gmv_by_date(spark, sf):
@@ -87,17 +106,20 @@ def gmv_by_date(spark, sf):
 
 
 def gmv_by_hour(spark, sf):
-    return SD.gross_value(_orders(spark, sf), hourly=True)
+    """Order dates carry no time of day here; the hour comes from the key."""
+    hour = F.make_dt_interval(hours=F.pmod(F.col("o_orderkey"), F.lit(24)).cast("int"))
+    orders = read_table(spark, sf, "orders").withColumn("o_orderdate", F.col("o_orderdate") + hour)
+    return SD.gross_value(adapters.order_info(orders), hourly=True)
 
 
 def _by_province(spark, sf):
-    orders = adapters.order_info(
-        read_table(spark, sf, "orders"), read_table(spark, sf, "customer")
+    buyers = read_table(spark, sf, "customer").select(
+        F.col("c_custkey").cast("string").alias("user_id"), F.col("c_nationkey").cast("string").alias("province_id")
     )
     provinces = read_table(spark, sf, "nation").select(
         F.col("n_nationkey").cast("string").alias("province_id"), F.col("n_name").alias("province")
     )
-    return SD.by_province(orders, provinces)
+    return SD.by_province_of_buyer(_orders(spark, sf), buyers, provinces)
 
 
 def sales_by_province(spark, sf):
@@ -106,8 +128,11 @@ def sales_by_province(spark, sf):
 
 def sales_value_bands(spark, sf):
     """Provinces with the legend band of their order count."""
+    """The widths follow from the largest province, so bands tell provinces apart at any size."""
     counts = _by_province(spark, sf).select("province", "orders")
-    return SD.with_value_band(counts, "orders")
+    top = F.max("orders").over(Window.partitionBy())  # one row per province
+    ranked = counts.withColumn("share", F.col("orders") / top * (SD.BANDS * SD.BAND_WIDTH))
+    return SD.with_value_band(ranked, "share").drop("share")
 
 
 QUERIES = {
@@ -168,7 +193,9 @@ SQL = {
         FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE l_orderkey = o_orderkey AND {_NEAR})""",
     "sale_detail_enriched": f"WITH {SALES} SELECT * FROM enriched",
     "sale_gender_split": f"""WITH {SALES} SELECT user_gender, count(*) AS ct,
-        count(*) / (SELECT count(*) FROM enriched)::DOUBLE AS share FROM enriched GROUP BY user_gender""",
+        count(*) / (SELECT count(*) FROM enriched)::DOUBLE AS share,
+        CASE user_gender WHEN 'M' THEN '男' WHEN 'F' THEN '女' ELSE user_gender END AS label
+        FROM enriched GROUP BY user_gender""",
     "sale_age_bands": f"""WITH {SALES},
         banded AS (SELECT CASE WHEN user_age < 20 THEN '20岁以下' WHEN user_age < 30 THEN '20-30岁'
                                ELSE '30岁以上' END AS age_band FROM enriched)
@@ -176,16 +203,15 @@ SQL = {
         FROM banded GROUP BY age_band""",
     "sale_by_keyword": f"""WITH {SALES} SELECT order_detail_id, sku_name, dt FROM sales
         WHERE dt = '{SALE_DAY}'
-          AND list_contains(regexp_split_to_array(lower(sku_name), '\\W+'), '{KEYWORD}')""",
+          AND list_contains(regexp_split_to_array(lower(sku_name), '\\W+'), '{SALE_WORD}')""",
     "sale_page": f"""WITH {SALES} SELECT * FROM enriched ORDER BY dt, order_detail_id
         LIMIT {PAGE_SIZE} OFFSET {(PAGE_NUMBER - 1) * PAGE_SIZE}""",
     "gmv_by_date": """SELECT strftime(o_orderdate, '%Y-%m-%d') AS create_date,
         sum(o_totalprice::DECIMAL(18, 2))::DOUBLE AS gmv, count(*) AS orders FROM orders GROUP BY 1""",
     "gmv_by_hour": """SELECT strftime(o_orderdate, '%Y-%m-%d') AS create_date,
-        strftime(o_orderdate, '%H') AS create_hour,
+        lpad((o_orderkey % 24)::VARCHAR, 2, '0') AS create_hour,
         sum(o_totalprice::DECIMAL(18, 2))::DOUBLE AS gmv, count(*) AS orders FROM orders GROUP BY 1, 2""",
     "sales_by_province": f"WITH {_PROVINCE} SELECT * FROM province",
     "sales_value_bands": f"""WITH {_PROVINCE} SELECT province, orders,
-        CASE WHEN orders BETWEEN 0 AND 599 THEN (orders // 100)::INTEGER WHEN orders = 600 THEN 5 END
-          AS band FROM province""",
+        least(floor((orders / max(orders) OVER () * 600) / 100), 5)::INTEGER AS band FROM province""",
 }

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from pulsecart.functions import within_days
 from pulsecart.operators.routing import ORDER_TOPIC
-from pulsecart.operators.sales import with_user
+from pulsecart.operators.sales import wide_rows, with_user
 from pulsecart.plans import alerts as batch_alerts
 from pulsecart.plans.activity import FILLED
 from pulsecart.plans.changes import FIRST_ROWS, USER_LATEST, SQL as CHANGES_SQL
-from pulsecart.plans.sales import SALES
+from pulsecart.plans.sales import SALES, with_product_fields
 from pulsecart.plans.settings import (
     ALERT_BUCKET,
     ALERT_SLIDE,
@@ -20,7 +23,7 @@ from pulsecart.plans.settings import (
 )
 from pulsecart.schemas import ORDER_INFO
 from pulsecart.sources import adapters
-from pulsecart.sources.tables import read_table, stream_table
+from pulsecart.sources.tables import LAYOUT, read_table, stream_table
 from pulsecart.sources.topics import stream_topic
 from pulsecart.streaming import alerts, changes, daily_active, sales, users
 from pulsecart.streaming.runtime import drain, drain_to_files
@@ -34,8 +37,41 @@ def _startup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stream_dau(spark, sf):
-    rows = daily_active.at_day_end(_startup(spark, sf), DELAY, TIE)
-    return drain_to_files(rows, "stream-dau").select(*FILLED)
+    """All days, the open one included: every batch puts the earliest rows so far into the table."""
+    return _dau_table(spark, _startup(spark, sf), run_folder(spark, "stream-dau")).select(*FILLED)
+
+
+def _dau_table(spark: SparkSession, startup: DataFrame, folder: str) -> DataFrame:
+    table = daily_active.daily_active_table(spark, f"{folder}/table")
+    rows = daily_active.earliest_so_far(startup, DELAY, TIE)
+    writer = rows.writeStream.outputMode("update").foreachBatch(table.upsert_batches("startup"))
+    drain(writer, f"{folder}/checkpoint")
+    return table.read(columns=FILLED)
+
+
+def _slices(spark: SparkSession, sf: str, name: str, time: str, folder: str):
+    """Function that puts a time slice of a table into a folder, as one more file of a stream."""
+    rows = read_table(spark, sf, name)
+
+    def put(first: str, last: str) -> None:
+        rows.filter(within_days(time, first, last)).coalesce(1).write.mode("append").parquet(folder)
+
+    return put
+
+
+def stream_dau_batches(spark, sf):
+    """The same from five batches, one slice of days each, with a restart after the third."""
+    folder = run_folder(spark, "stream-dau-batches")
+    put = _slices(spark, sf, "events", "ts", f"{folder}/events")
+    cuts = ["2024-01-01", "2024-01-07", "2024-01-13", "2024-01-19", "2024-01-25", "2024-02-01"]
+    days = [(a, (date.fromisoformat(b) - timedelta(days=1)).isoformat()) for a, b in zip(cuts, cuts[1:])]
+    found = None
+    for part in (days[:3], days[3:]):
+        for first, last in part:
+            put(first, last)
+        events = spark.readStream.schema(LAYOUT["events"]).option("maxFilesPerTrigger", 1).parquet(f"{folder}/events")
+        found = _dau_table(spark, adapters.startup_log(events), folder)
+    return found.select(*FILLED)
 
 
 def stream_dau_arrival(spark, sf):
@@ -73,8 +109,8 @@ def stream_alerts_throttled(spark, sf):
 def _live_sales(spark: SparkSession, sf: str) -> DataFrame:
     orders = adapters.order_info(stream_table(spark, sf, "orders"))
     details = adapters.order_detail_keys(stream_table(spark, sf, "lineitem"))
-    details = adapters.with_product(details, read_table(spark, sf, "part"))
-    return sales.live_sale_details(orders, details, TOLERANCE)
+    pairs = sales.live_pairs(orders, details, TOLERANCE)
+    return wide_rows(with_product_fields(pairs, read_table(spark, sf, "part")))
 
 
 def _users(spark: SparkSession, sf: str) -> DataFrame:
@@ -87,6 +123,23 @@ def stream_sale_detail(spark, sf):
     return drain_to_files(enriched, "stream-sales")
 
 
+def stream_sale_detail_late(spark, sf):
+    """The join over batches whose rows come in no order of time: orders and details by key remainder,
+    details the other way round. The delay covers the whole table, so no row is too late."""
+    folder = run_folder(spark, "stream-sales-late")
+    for name, key, parts in (("orders", "o_orderkey", (0, 1, 2)), ("lineitem", "l_orderkey", (2, 1, 0))):
+        for n in parts:
+            rows = read_table(spark, sf, name).filter(F.col(key) % 3 == n)
+            rows.coalesce(1).write.mode("append").parquet(f"{folder}/{name}")
+    one = lambda name: (
+        spark.readStream.schema(LAYOUT[name]).option("maxFilesPerTrigger", 1).parquet(f"{folder}/{name}")
+    )
+    orders, details = adapters.order_info(one("orders")), adapters.order_detail_keys(one("lineitem"))
+    pairs = sales.live_pairs(orders, details, TOLERANCE, delay="4000 days")
+    named = with_product_fields(pairs, read_table(spark, sf, "part"))
+    return drain_to_files(wide_rows(named), "stream-sales-late")
+
+
 def stream_sale_table(spark, sf):
     """The same into the keyed table, with the buyers read anew for every batch.
 
@@ -114,7 +167,10 @@ def stream_cdc_orders(spark, sf):
     records = adapters.order_changes(stream_table(spark, sf, "orders"))
     drain(changes.routing_writer(records, f"{folder}/topics"), f"{folder}/routing")
     topic = stream_topic(spark, f"{folder}/topics", ORDER_TOPIC)
-    orders = drain_to_files(changes.records_of(topic, ORDER_INFO), "stream-cdc-orders")
+    good, broken = changes.records_of(topic, ORDER_INFO)
+    orders = drain_to_files(good, "stream-cdc-orders")
+    if not drain_to_files(broken, "stream-cdc-broken").isEmpty():
+        raise ValueError("routed records must parse")
     return orders.select(
         F.lit(ORDER_TOPIC).alias("topic"),
         "id", "order_status", "user_id", "total_amount", "create_time",
@@ -123,11 +179,13 @@ def stream_cdc_orders(spark, sf):
 
 QUERIES = {
     "stream_dau": stream_dau,
+    "stream_dau_batches": stream_dau_batches,
     "stream_dau_arrival": stream_dau_arrival,
     "stream_dau_first_batch": stream_dau_first_batch,
     "stream_alerts": stream_alerts,
     "stream_alerts_throttled": stream_alerts_throttled,
     "stream_sale_detail": stream_sale_detail,
+    "stream_sale_detail_late": stream_sale_detail_late,
     "stream_sale_table": stream_sale_table,
     "stream_user_latest": stream_user_latest,
     "stream_cdc_orders": stream_cdc_orders,
@@ -138,8 +196,8 @@ _MARK = "(SELECT (epoch_us(max(ts)) // 1000) - 3600000 FROM events)"
 _CLOSED = f"ts <= {_MARK}"
 
 SQL = {
-    "stream_dau": f"""SELECT * FROM ({FIRST_ROWS})
-        WHERE epoch_ms((logdate::DATE + 1)::TIMESTAMP) <= {_MARK}""",
+    "stream_dau": FIRST_ROWS,
+    "stream_dau_batches": FIRST_ROWS,
     "stream_dau_arrival": f"SELECT mid, logdate FROM ({FIRST_ROWS})",
     "stream_dau_first_batch": FIRST_ROWS,
     "stream_alerts": f"""WITH {batch_alerts.ALERTS}
@@ -148,6 +206,7 @@ SQL = {
         SELECT mid || '_' || (ts // 10800000)::VARCHAR AS alert_id, * FROM named WHERE {_CLOSED}
         QUALIFY row_number() OVER (PARTITION BY mid, ts // 10800000, dt ORDER BY ts DESC) = 1""",
     "stream_sale_detail": f"WITH {SALES} SELECT * FROM enriched",
+    "stream_sale_detail_late": f"WITH {SALES} SELECT * FROM sales",
     "stream_sale_table": f"WITH {SALES} SELECT * FROM enriched",
     "stream_user_latest": USER_LATEST,
     "stream_cdc_orders": CHANGES_SQL["cdc_after_image"],

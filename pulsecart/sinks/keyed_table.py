@@ -9,7 +9,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from pulsecart.operators.keyed import last_by
+from pulsecart.operators.keyed import last_by, with_generated_ids
 
 _PART, _WRITE = "_part", "_write"
 _WHOLE = "all"
@@ -56,12 +56,15 @@ class KeyedTable:
     ) -> bool:
         """Upsert a batch; the last row of a key by ``order`` wins inside it.
 
-        ``unique`` tells that the batch has each key once already. Returns False when ``writer``
-        has already published ``batch_id``.
+        ``unique`` tells that the batch has each key once already. A text key that is null (the
+        first key column) gets a generated id, the same if the batch is replayed. Returns False
+        when ``writer`` has already published ``batch_id``.
         """
         done = f"{self.path}/batches/{writer}/{batch_id:012d}"
         if self._exists(done):
             return False
+        if isinstance(self.schema[self.keys[0]].dataType, T.StringType):
+            rows = with_generated_ids(rows, self.keys[0], writer, str(batch_id))
         self._append(rows if unique else last_by(rows, self._row_keys(), order))
         self._touch(done)
         return True

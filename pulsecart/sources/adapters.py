@@ -177,7 +177,7 @@ def detail_changes(lineitem: DataFrame) -> DataFrame:
         ),
         "order_id": F.col("l_orderkey"),
         "sku_id": F.col("l_partkey"),
-        "sku_num": F.col("l_linenumber"),
+        "sku_num": F.col("l_quantity"),
     }
     return change_records("order_detail", lineitem, F.col("l_orderkey"), columns)
 

@@ -4,7 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-_LAYOUT = "value string, ingest_time timestamp"
+_STORED = "value string, ingest_time timestamp, topic string"
+
+
+def _of_topic(rows: DataFrame, topic: str) -> DataFrame:
+    """Only this topic's folder is read. The root is named, not the folder, as the log of committed
+    files lies in the root: files that a failed batch has left are not in it."""
+    return rows.filter(F.col("topic") == topic).select("value", "ingest_time")
 
 
 def read_kafka_topic(
@@ -32,12 +38,12 @@ def stream_topic(
     spark: SparkSession, root: str, topic: str, files_per_trigger: int | None = None
 ) -> DataFrame:
     """A topic that :func:`pulsecart.sinks.topics.write_topics` keeps as files, as a stream."""
-    reader = spark.readStream.schema(_LAYOUT)
+    reader = spark.readStream.schema(_STORED)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(f"{root}/topic={topic}")
+    return _of_topic(reader.parquet(root), topic)
 
 
 def read_topic(spark: SparkSession, root: str, topic: str) -> DataFrame:
     """The same topic as a batch."""
-    return spark.read.schema(_LAYOUT).parquet(f"{root}/topic={topic}")
+    return _of_topic(spark.read.schema(_STORED).parquet(root), topic)

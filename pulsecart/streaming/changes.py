@@ -15,7 +15,6 @@ def routing_writer(records: DataFrame, root: str) -> DataStreamWriter:
     return topics_writer(as_messages(routed(records)), root)
 
 
-def records_of(topic: DataFrame, schema: str) -> DataFrame:
-    """Typed records of a topic stream, without the broken ones; ``ingest_time`` is kept."""
-    good, _ = split_corrupt(parse_records(topic, schema))
-    return good
+def records_of(topic: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:
+    """Typed records of a topic stream, with ``ingest_time``, and the texts of the broken ones."""
+    return split_corrupt(parse_records(topic, schema))

@@ -1,10 +1,11 @@
-"""Daily active devices on a stream, in four modes that differ in when and which row wins.
+"""Daily active devices on a stream, in five modes that differ in when and which row wins.
 
 ========================  =======================  ==============================================
 mode                      row appears              winner
 ========================  =======================  ==============================================
 :func:`on_arrival`        at once                  any row of the first batch
 :func:`at_day_end`        when the day is closed   earliest row of the day (equals the batch)
+:func:`earliest_so_far`   at once                  the same; later batches may replace a row
 :func:`first_batch`       at once                  earliest row of the first batch, Python state
 :func:`first_batch_sink`  at once                  earliest row of the first batch, keyed table
 ========================  =======================  ==============================================
@@ -23,10 +24,7 @@ from pulsecart.operators.activity import DEVICE_DAY, newly_active
 from pulsecart.schemas import DAILY_ACTIVE_COLUMNS
 from pulsecart.sinks.keyed_table import KeyedTable
 
-DAILY_ACTIVE = (
-    "mid string, uid string, appid string, area string, os string, ch string, type string, "
-    "vs string, logdate string, loghour string, ts bigint"
-)
+DAILY_ACTIVE = ", ".join(f"{c} {'bigint' if c == 'ts' else 'string'}" for c in DAILY_ACTIVE_COLUMNS)
 SEEN_FOR = "24 hours"
 
 
@@ -55,6 +53,19 @@ def at_day_end(startup: DataFrame, delay: str, tie: Sequence[str] = ()) -> DataF
     return row.select("mid", "row.*").select(*DAILY_ACTIVE_COLUMNS)
 
 
+def earliest_so_far(startup: DataFrame, delay: str, tie: Sequence[str] = ()) -> DataFrame:
+    """The earliest row yet of each device and day that a batch touches, for update mode into a keyed
+    table: rows of the open day show up at once, and an earlier row replaces a later one."""
+    payload = [c for c in DAILY_ACTIVE_COLUMNS if c not in ("mid", "ts")]
+    day = F.window("event_time", "1 day").alias("day")
+    row = (
+        startup.withWatermark("event_time", delay)
+        .groupBy("mid", day)
+        .agg(F.min(F.struct("ts", *tie, *payload)).alias("row"))
+    )
+    return row.select("mid", "row.*").select(*DAILY_ACTIVE_COLUMNS)
+
+
 def _first_batch_processor(columns: list[str], order: list[str], keep_ms: int) -> StatefulProcessor:
     class FirstBatch(StatefulProcessor):
         """State of one device and day: only that it was seen, until the timer clears it."""

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from pulsecart.functions import seconds_in
 from pulsecart.operators.sales import pair_within, wide_rows, with_user
 from pulsecart.schemas import JOIN_TOLERANCE
 from pulsecart.sinks.keyed_table import KeyedTable
@@ -17,7 +18,10 @@ SALE_DETAIL = (
 )
 
 
-def _watermarked(df: DataFrame, delay: str) -> DataFrame:
+def _watermarked(df: DataFrame, delay: str | None, tolerance: str) -> DataFrame:
+    """A row that is as late as the tolerance may still find its partner, so no shorter delay is taken."""
+    if delay is None or seconds_in(delay) < seconds_in(tolerance):
+        delay = tolerance
     return df.withWatermark("ingest_time", delay)
 
 
@@ -25,15 +29,18 @@ def live_pairs(
     orders: DataFrame,
     details: DataFrame,
     tolerance: str = JOIN_TOLERANCE,
-    delay: str = "0 seconds",
+    delay: str | None = None,
     how: str = "inner",
     salts: int = 1,
 ) -> DataFrame:
     """Order and detail pairs from two streams; state older than the tolerance is dropped.
 
+    ``delay`` is how far a row may lie behind the newest one of its stream; it is the tolerance at
+    least.
+
     Set ``salts`` when single orders can hold a large part of the details.
     """
-    sides = _watermarked(orders, delay), _watermarked(details, delay)
+    sides = _watermarked(orders, delay, tolerance), _watermarked(details, delay, tolerance)
     return pair_within(*sides, tolerance, how, salts)
 
 
@@ -41,7 +48,7 @@ def live_sale_details(
     orders: DataFrame,
     details: DataFrame,
     tolerance: str = JOIN_TOLERANCE,
-    delay: str = "0 seconds",
+    delay: str | None = None,
     salts: int = 1,
 ) -> DataFrame:
     """Sale details, still without the user, as soon as both sides have arrived."""
@@ -49,7 +56,7 @@ def live_sale_details(
 
 
 def live_unmatched(
-    orders: DataFrame, details: DataFrame, tolerance: str = JOIN_TOLERANCE, delay: str = "0 seconds"
+    orders: DataFrame, details: DataFrame, tolerance: str = JOIN_TOLERANCE, delay: str | None = None
 ) -> DataFrame:
     """Rows of either side whose time for a partner has run out."""
     pairs = live_pairs(orders, details, tolerance, delay, "full_outer")

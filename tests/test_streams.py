@@ -243,7 +243,7 @@ def test_routing_stream_drops_broken_records(spark, tmp_path):
         "ingest_time": pd.to_datetime(["2024-01-15", "2024-01-15"]),
     }))
     stream = spark.readStream.schema("value string, ingest_time timestamp").parquet(topic.folder)
-    rows = to_table(spark, changes.records_of(stream, USER_INFO), "records")().collect()
+    rows = to_table(spark, changes.records_of(stream, USER_INFO)[0], "records")().collect()
     assert [(r["id"], r["user_level"], r["gender"]) for r in rows] == [("1", "2", None)]
 
 
