@@ -1,0 +1,67 @@
+"""The registered queries: SQL where there is some, and what SQL cannot say on the small tables."""
+
+import hashlib
+import zlib
+
+import pytest
+
+import __spark_entry__ as entry_points
+import corpus_pipeline
+from oracle import check, connect
+from pulsecart.llm import queries
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def db():
+    return connect(FOLDER)
+
+
+@pytest.fixture(scope="module")
+def texts(spark):
+    return {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
+
+
+def test_all_are_registered():
+    assert entry_points.queries().keys() >= {*queries.QUERIES, "pipeline"}
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_query_with_sql(spark, db, name):
+    check(queries.QUERIES[name](spark, FOLDER), db, queries.SQL[name])
+
+
+def test_language_on_the_held_out_fold(spark):
+    lang = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
+    got = queries.op3_language(spark, FOLDER).collect()
+    assert len(got) == len(lang)
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in got)
+    held = [r for r in got if r["held_out"]]
+    assert sum(r["lang_pred"] == lang[r["doc_id"]] for r in held) >= 0.97 * len(held)
+
+
+def test_encoding_round_trip(spark, texts):
+    for r in queries.op6_bpe(spark, FOLDER).collect():
+        assert r["decoded_sha256"] == hashlib.sha256((texts[r["doc_id"]] or "").encode()).hexdigest()
+
+
+def test_pipeline_keeps_clean_documents_once(spark, texts):
+    rows = corpus_pipeline.run(spark, FOLDER).collect()
+    ids = [r["doc_id"] for r in rows]
+    assert len(ids) == len(set(ids)) and all(r["round_trip"] for r in rows)
+    near = {r["doc_id"] for r in queries.neardup.classes(spark.read.parquet(f"{FOLDER}/documents.parquet")).where("not kept").collect()}
+    leaks = {r["doc_id"] for r in queries.op7_decontaminate(spark, FOLDER).collect()}
+    assert set(ids) >= set(texts) - near - leaks - {d for d, t in texts.items() if len(t or "") < 40}
+
+
+def test_pipeline_on_odd_rows(spark, make):
+    rows = [(1, None, "en", "s", 0), (2, "", None, None, None), (None, "some words here in the text", "en", "s", 27)]
+    docs = make(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    for _, stage in corpus_pipeline.STAGES[1:]:
+        docs = stage(spark, docs, FOLDER)
+        assert docs.count() == 3
+    empty = make([], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    for _, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, empty, FOLDER)
+    assert empty.count() == 0
