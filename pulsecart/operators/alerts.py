@@ -39,16 +39,21 @@ def _account() -> Column:
     return F.when(_is_coupon(), F.col("uid"))
 
 
-def pane_activity(events: DataFrame, window: str, slide: str) -> DataFrame:
-    """Events counted per tile, device, event, account and item.
+def pane_votes(events: DataFrame, window: str, slide: str) -> DataFrame:
+    """Coupon accounts per tile and device, and whether the device browsed; only these events count.
 
     Repeats collapse before rows are copied into overlapping windows, and one device's rows are
     spread over many keys.
     """
-    return events.groupBy(
-        F.window("event_time", pane_length(window, slide)).alias("pane"),
-        "mid", "evid", "uid", "itemid",
-    ).agg(F.count("*").alias("n"))
+    return (
+        events.filter(F.col("evid").isin(COUPON_EVENT, BROWSE_EVENT))
+        .groupBy(
+            F.window("event_time", pane_length(window, slide)).alias("pane"),
+            "mid",
+            _account().alias("account"),
+        )
+        .agg(F.max(_is_browse()).alias("browsed"))
+    )
 
 
 def qualifying_windows(
@@ -62,17 +67,8 @@ def qualifying_windows(
     Reads only coupon and browse events, and counts distinct accounts without gathering them, so
     a device with a large part of all events never has to fit in one task.
     """
-    votes = (
-        events.filter(F.col("evid").isin(COUPON_EVENT, BROWSE_EVENT))
-        .groupBy(
-            F.window("event_time", pane_length(window, slide)).alias("pane"),
-            "mid",
-            _account().alias("account"),
-        )
-        .agg(F.max(_is_browse()).alias("browsed"))
-    )
     return (
-        votes.groupBy(F.window("pane", window, slide).alias("window"), "mid")
+        pane_votes(events, window, slide).groupBy(F.window("pane", window, slide).alias("window"), "mid")
         .agg(F.count_distinct("account").alias("accounts"), F.max("browsed").alias("browsed"))
         .filter((F.col("accounts") >= min_accounts) & ~F.col("browsed"))
         .select("mid", "window")
@@ -156,25 +152,26 @@ def coupon_alerts(
     return describe_windows(events, windows, window, slide, bucket or BUCKET)
 
 
-def alert_stream(
+def qualifying_stream(
     events: DataFrame,
     window: str = ALERT_WINDOW,
     slide: str = SLIDE,
     min_accounts: int = ALERT_MIN_ACCOUNTS,
-    bucket: str = BUCKET,
 ) -> DataFrame:
-    """Alerts of a watermarked event stream, each once its window is closed.
+    """:func:`qualifying_windows` of a watermarked event stream, each once its window is closed.
 
-    The first aggregate keeps small counters per tile; closed tiles feed the windows they belong
-    to. A later window in the same bucket carries the same ``alert_id``, and the keyed sink keeps
-    the later one.
+    State holds one flag for each account of a device and tile or window, and one counter for each
+    device and window; no list, and nothing of events that are neither coupons nor browses.
     """
-    panes = pane_activity(events, window, slide)
-    found = panes.groupBy(F.window("pane", window, slide).alias("window"), "mid").agg(
-        *_alert_columns(), F.max(_is_browse()).alias("browsed")
+    voters = pane_votes(events, window, slide).groupBy(
+        F.window("pane", window, slide).alias("window"), "mid", "account"
+    ).agg(F.max("browsed").alias("browsed"))
+    return (
+        voters.groupBy("window", "mid")
+        .agg(F.count("account").alias("accounts"), F.max("browsed").alias("browsed"))
+        .filter((F.col("accounts") >= min_accounts) & ~F.col("browsed"))
+        .select("mid", "window")
     )
-    qualified = found.filter((F.size("uids") >= min_accounts) & ~F.col("browsed"))
-    return _named(qualified, bucket)
 
 
 def throttle(alerts: DataFrame) -> DataFrame:

@@ -88,22 +88,23 @@ def stream_dau_first_batch(spark, sf):
     return table.read(columns=FILLED).select(*FILLED)
 
 
-def _alerts(spark: SparkSession, sf: str, bucket: str) -> DataFrame:
+def _alerts(spark: SparkSession, sf: str, bucket: str, label: str) -> DataFrame:
+    folder = run_folder(spark, label)
     events = adapters.event_log(stream_table(spark, sf, "events"))
-    return alerts.live_alerts(events, DELAY, ALERT_WINDOW, ALERT_SLIDE, bucket=bucket)
+    windows = alerts.live_windows(events, DELAY, ALERT_WINDOW, ALERT_SLIDE)
+    table = alerts.alert_table(spark, f"{folder}/table")
+    stored = lambda: adapters.event_log(read_table(spark, sf, "events"))
+    sink = alerts.describing_sink(table, stored, "alerts", ALERT_WINDOW, ALERT_SLIDE, bucket)
+    drain(windows.writeStream.foreachBatch(sink), f"{folder}/checkpoint")
+    return batch_alerts.flat(table.read())
 
 
 def stream_alerts(spark, sf):
-    found = drain_to_files(_alerts(spark, sf, "1 minute"), "stream-alerts")
-    return batch_alerts.flat(found)
+    return _alerts(spark, sf, "1 minute", "stream-alerts")
 
 
 def stream_alerts_throttled(spark, sf):
-    folder = run_folder(spark, "stream-alerts-throttled")
-    table = alerts.alert_table(spark, f"{folder}/table")
-    sink = table.upsert_batches("alerts", order=["ts"])
-    drain(_alerts(spark, sf, ALERT_BUCKET).writeStream.foreachBatch(sink), f"{folder}/checkpoint")
-    return batch_alerts.flat(table.read())
+    return _alerts(spark, sf, ALERT_BUCKET, "stream-alerts-throttled")
 
 
 def _live_sales(spark: SparkSession, sf: str) -> DataFrame:

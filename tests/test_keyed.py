@@ -125,3 +125,11 @@ def test_single_document_upsert(table):
 
 def test_shared_folder_is_the_cluster_setting(spark):
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_null_keys_are_kept_and_named_alike_on_replay(table):
+    write(table, 0, (None, "a", 1), (None, "a", 1), (None, "b", 2), ("1", "c", 3))
+    assert sorted(r["name"] for r in table.read().collect()) == ["a", "a", "b", "c"]
+    df = table.spark.createDataFrame([(None, "a", 1), (None, "a", 1), (None, "b", 2)], SCHEMA)
+    once, again = (rows(keyed.with_generated_ids(df.repartition(n), "id", "w", "0")) for n in (1, 3))
+    assert once == again and len({r[0] for r in once}) == 3

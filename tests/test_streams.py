@@ -15,7 +15,9 @@ from pulsecart.schemas import ALERT_COLUMNS, DAILY_ACTIVE_COLUMNS, USER_INFO
 from pulsecart.sinks.keyed_table import KeyedTable
 from pulsecart.sinks.preview import console_writer, counted, observed_counts
 from pulsecart.sources import adapters
+from pulsecart.sinks.topics import topics_writer
 from pulsecart.sources.tables import LAYOUT
+from pulsecart.sources.topics import read_topic
 from pulsecart.streaming import alerts, changes, daily_active, sales, users
 from pulsecart.streaming.runtime import drain, start
 from pulsecart.workspace import run_folder
@@ -141,12 +143,20 @@ def test_daily_active_stream_equals_batch_with_a_restart_between(spark, feed):
     assert key_rows(got, DAILY_ACTIVE_COLUMNS) == key_rows(closed, DAILY_ACTIVE_COLUMNS)
 
 
+def stored_alerts(spark, feed, bucket):
+    folder = run_folder(spark, "alerts")
+    table = alerts.alert_table(spark, f"{folder}/table")
+    stream = alerts.live_windows(adapters.event_log(event_stream(spark, feed)), "1 hour", "6 hours", "1 hour")
+    stored = lambda: adapters.event_log(spark.read.schema(LAYOUT["events"]).parquet(feed.folder))
+    sink = alerts.describing_sink(table, stored, "alerts", "6 hours", "1 hour", bucket)
+    drain(stream.writeStream.foreachBatch(sink), f"{folder}/checkpoint")
+    return table.read(), stored()
+
+
 def test_alert_stream_equals_batch(spark, feed):
     events = event_files(feed, 4)
-    shape = dict(window="6 hours", slide="1 hour")
-    stream = alerts.live_alerts(adapters.event_log(event_stream(spark, feed)), "1 hour", **shape)
-    got = to_table(spark, stream, "alerts")()
-    batch = AL.coupon_alerts(adapters.event_log(spark.read.schema(LAYOUT["events"]).parquet(feed.folder)), **shape)
+    got, stored = stored_alerts(spark, feed, "1 minute")
+    batch = AL.coupon_alerts(stored, window="6 hours", slide="1 hour")
     mark = int(events["ts"].max().value // 1_000_000) - HOUR
     closed = batch.filter(F.col("ts") <= mark)
     assert key_rows(got, ALERT_COLUMNS) == key_rows(closed, ALERT_COLUMNS)
@@ -155,13 +165,7 @@ def test_alert_stream_equals_batch(spark, feed):
 
 def test_stored_alerts_are_throttled(spark, feed):
     event_files(feed, 3)
-    folder = run_folder(spark, "throttled")
-    table = alerts.alert_table(spark, f"{folder}/table")
-    stream = alerts.live_alerts(
-        adapters.event_log(event_stream(spark, feed)), "1 hour", "6 hours", "1 hour", bucket="3 hours"
-    )
-    drain(stream.writeStream.foreachBatch(table.upsert_batches("alerts", ["ts"])), f"{folder}/checkpoint")
-    stored = table.read().collect()
+    stored = stored_alerts(spark, feed, "3 hours")[0].collect()
     assert len({r["alert_id"] for r in stored}) == len(stored) > 15
 
 
@@ -296,3 +300,26 @@ def test_salted_streams_give_the_same_rows(spark, tmp_path):
     o, d = live_sides(spark, *feed_sales(tmp_path))
     pairs = to_table(spark, sales.live_sale_details(o, d, salts=3), "salted-join")()
     assert sorted({r["order_detail_id"] for r in pairs.collect()}) == ["d1", "d2", "d3", "d4"]
+
+
+def test_a_stray_topic_file_is_not_read(spark, tmp_path):
+    root = str(tmp_path / "topics")
+    source = str(tmp_path / "source")
+    spark.createDataFrame([("order_info", "{}")] * 2, "topic string, value string").write.parquet(source)
+    messages = spark.readStream.schema("topic string, value string").parquet(source)
+    drain(topics_writer(messages, root), str(tmp_path / "checkpoint"))
+    stray = spark.createDataFrame([("{}", None)] * 2, "value string, ingest_time timestamp")
+    stray.write.mode("append").parquet(f"{root}/topic=order_info")
+    assert read_topic(spark, root, "order_info").count() == 2
+
+
+def test_a_late_order_within_the_tolerance_is_joined(spark, tmp_path):
+    orders, details = Feed(tmp_path / "o"), Feed(tmp_path / "d")
+    for stamp in (300_000, 600_000):
+        orders.add(pd.DataFrame({"id": [f"o{stamp}"], "user_id": ["u"], "ts": [stamp]}))
+        details.add(pd.DataFrame({"id": [f"x{stamp}"], "order_id": ["none"], "order_price": ["1"], "ts": [stamp]}))
+    orders.add(pd.DataFrame({"id": ["late"], "user_id": ["u"], "ts": [550_000]}))
+    details.add(pd.DataFrame({"id": ["d"], "order_id": ["late"], "order_price": ["1"], "ts": [610_000]}))
+    o, d = live_sides(spark, orders, details)
+    got = to_table(spark, sales.live_sale_details(o, d), "late")()
+    assert [r["order_detail_id"] for r in got.collect()] == ["d"]
