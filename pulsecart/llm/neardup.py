@@ -7,15 +7,16 @@
    node, 1 / similarity of them on average, and a document goes to one child for each, named by its
    token there. A node of one document ends. A node of up to ``SMALL`` documents is compared
    exhaustively by signatures. A larger one branches again, up to ``DEEPEST`` times; what is still
-   large then is dealt into blocks of ``SMALL``, other ones in each tree, and each block also gets the
-   same about 64 documents of the node, so that blocks meet.
+   large then is compared in blocks of ``SMALL``, other ones in each tree.
 3. Documents of a node that may be linked (by signature, with a wide margin) form a group. Groups are
    confirmed on the full sets, made again from the texts: documents not yet connected are compared,
    and one link per merge is kept.
-4. Links give components; copies take their representative's.
+4. Links give components. In a node that stayed large, documents outside its main component then meet
+   all its documents, in blocks, by 3; so no link is lost to the blocks.
+5. Copies take their representative's component.
 
-A pair at the threshold shares a small node in one tree with probability 0.84 or more, and 0.6 or more
-three levels down; with ``TREES`` trees it is missed with probability below 1e-6 and 1e-3.
+A pair at the threshold shares a node in one tree with probability 0.84, and 0.6 three levels down; with
+``TREES`` trees it is missed with a probability below 1e-6, and below 1e-3 three levels down.
 
 Edge cases: null and empty texts and texts without words have an empty set and are linked with
 nothing. With fewer words than a shingle has, the whole sequence is the one shingle. Rows with a null
@@ -37,7 +38,7 @@ from pulsecart.llm.common import small_batches
 from pulsecart.llm.components import components
 from pulsecart.workspace import materialise
 
-TOKENS, TREES, SMALL, DEEPEST, LEADERS, OWN_GROUP = 64, 8, 800, 6, 64, 256
+TOKENS, TREES, SMALL, DEEPEST, OWN_GROUP = 64, 8, 800, 4, 256
 _MARGIN = 0.2
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x100000001B3
@@ -120,11 +121,12 @@ def _children(node: Column, similarity: float) -> Column:
     return F.when(second, F.array_distinct(F.array(child(1), child(2)))).otherwise(F.array(child(1)))
 
 
-def _nodes(points: DataFrame, similarity: float) -> DataFrame:
-    """Rows of doc and node for all nodes of 2 to SMALL documents, and blocks of larger ones."""
+def _nodes(points: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of doc and node for all nodes of 2 to SMALL documents and for blocks of larger ones; and
+    rows of doc, node and size for the larger ones, if there are any."""
     roots = F.array(*[F.xxhash64(F.lit("tree"), F.lit(t)) for t in range(TREES)])
     active = points.select("doc", "tokens", F.explode(roots).alias("node"))
-    ended = []
+    ended, large = [], None
     for depth in range(1, DEEPEST + 1):
         below = active.select("doc", F.explode(_children(F.col("node"), similarity)).alias("node")).distinct()
         below = materialise(below, "nodes")
@@ -133,23 +135,39 @@ def _nodes(points: DataFrame, similarity: float) -> DataFrame:
         ended.append(sized.where(F.col("size") <= SMALL).select("doc", "node"))
         large = sized.where(F.col("size") > SMALL)
         if large.isEmpty():
+            large = None
             break
-        if depth < DEEPEST:
-            active = large.select("doc", "node").join(points, "doc")
-        else:
-            blocks = F.ceil(F.col("size") / (SMALL - LEADERS)).cast("int")
-            leader = F.pmod(F.xxhash64("doc", F.lit("leader")), F.ceil(F.col("size") / LEADERS)) == 0
-            own = F.array(F.pmod(F.xxhash64("doc", "node"), blocks).cast("int"))
-            dealt = F.when(leader, F.sequence(F.lit(0), blocks - 1)).otherwise(own)
-            ended.append(
-                large.select("doc", "node", F.explode(dealt).alias("block")).select(
-                    "doc", F.xxhash64("node", "block").alias("node")
-                )
-            )
+        active = large.select("doc", "node").join(points, "doc")
+    if large is not None:
+        block = F.pmod(F.xxhash64("doc", "node"), F.ceil(F.col("size") / SMALL))
+        ended.append(large.select("doc", F.xxhash64("node", block).alias("node")))
     out = ended[0]
     for more in ended[1:]:
         out = out.union(more)
-    return out
+    return out, large
+
+
+def _across(large: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of doc and node that bring together what blocks of a large node have kept apart.
+
+    In each large node, one component has most documents. Those of other components are the queries:
+    in blocks of a quarter of SMALL they meet all documents of the node in blocks of three quarters,
+    so no node is larger than SMALL. Documents of the main component need not meet each other.
+    """
+    known = large.join(found.withColumnRenamed("node", "doc"), "doc", "left").select(
+        "doc", "node", "size", F.coalesce("component", "doc").alias("component")
+    )
+    counts = known.groupBy("node", "component").agg(F.count("*").alias("n"))
+    main = counts.groupBy("node").agg(F.max(F.struct("n", "component")).alias("m"), F.sum("n").alias("all")).select(
+        "node", F.col("m.component").alias("main"), (F.col("all") - F.col("m.n")).alias("others")
+    )
+    rows = known.join(main, "node").where("others > 0")
+    ask, all_ = F.ceil(F.col("others") / (SMALL // 4)).cast("int"), F.ceil(F.col("size") / (3 * SMALL // 4)).cast("int")
+    every = lambda n: F.sequence(F.lit(0), n - 1)
+    mine = lambda n, seed: F.pmod(F.xxhash64("doc", "node", F.lit(seed)), n).cast("int")
+    asking = rows.where("component <> main").select("doc", "node", mine(ask, 1).alias("a"), F.explode(every(all_)).alias("b"))
+    asked = rows.select("doc", "node", F.explode(every(ask)).alias("a"), mine(all_, 2).alias("b"))
+    return asking.union(asked).select("doc", F.xxhash64("node", "a", "b").alias("node")).distinct()
 
 
 def _least_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -259,6 +277,7 @@ def classes(
     spark = documents.sparkSession
     features = materialise(_features(documents, words, key, text), "shingle-features")
     first = features.where("doc is not null and n_shingles > 0").groupBy("print").agg(F.min("doc").alias("rep"))
+    first = materialise(first, "first-of-class")  # read anew, so that the join can split a hot class
     members = materialise(
         features.join(first, "print", "left").select(
             "doc", "n_shingles", "rep", F.when(F.col("doc") == F.col("rep"), F.col("tokens")).alias("tokens")
@@ -266,23 +285,33 @@ def classes(
         "shingle-classes",
     )
     points = members.where("tokens is not null").select(F.col("doc").cast("bigint").alias("doc"), "tokens")
-    nodes = _nodes(points, percent / 100)
+    nodes, large = _nodes(points, percent / 100)
     marks = points.select("doc", _packed(F.col("tokens")).alias("marks"))
     least = int((percent / 100 - _MARGIN) * TOKENS)
-    placed = nodes.join(marks, "doc").repartition("node").sortWithinPartitions("node")
-    groups = materialise(
-        placed.select("node", "doc", "marks").mapInPandas(lambda f: _groups(f, least), "group bigint, doc bigint").distinct(),
-        "groups",
-    )
     texts = documents.select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text")).where(F.length("text") > 0)
-    gathered = groups.join(texts, "doc").repartition("group").sortWithinPartitions("group", "doc")
-    links = gathered.select("group", "doc", "text").mapInPandas(
-        lambda f: _confirmed(f, words, percent), "u bigint, v bigint"
-    )
-    found = components(links)
+
+    def links(nodes: DataFrame) -> DataFrame:
+        placed = nodes.join(marks, "doc").repartition("node").sortWithinPartitions("node")
+        groups = materialise(
+            placed.select("node", "doc", "marks").mapInPandas(lambda f: _groups(f, least), "group bigint, doc bigint").distinct(),
+            "groups",
+        )
+        # Groups grow with the documents, so they are never broadcast, however small they look here.
+        gathered = groups.hint("merge").join(texts, "doc").repartition("group").sortWithinPartitions("group", "doc")
+        confirmed = gathered.select("group", "doc", "text").mapInPandas(
+            lambda f: _confirmed(f, words, percent), "u bigint, v bigint"
+        )
+        return materialise(confirmed, "links")
+
+    first_links = links(nodes)
+    found = components(first_links)
+    if large is not None:
+        across = materialise(_across(large, found), "across")
+        if not across.isEmpty():
+            found = components(first_links.union(links(across)))
     kind = documents.schema[key].dataType
     joined = members.join(found, members["rep"] == found["node"], "left")
-    component = F.coalesce(F.col("component").cast(kind), F.col("rep"), F.col("doc"))
+    component = F.when(F.col("doc").isNotNull(), F.coalesce(F.col("component").cast(kind), F.col("rep"), F.col("doc")))
     return joined.select(
         F.col("doc").alias(key), "n_shingles", component.alias("component_id"),
         F.coalesce(F.col("doc") == component, F.lit(True)).alias("kept"),
