@@ -37,12 +37,24 @@ def alert_qualifying(spark, sf):
     return windows.select("mid", F.unix_millis("window.end").alias("ts"))
 
 
+def alert_live_shape(spark, sf):
+    """The live window of 5 minutes and slide of 5 seconds, on times that run 72 times as fast, so that
+    a window holds as many events as one of 6 hours."""
+    faster = F.timestamp_millis(F.expr(f"{START_MS} + (unix_millis(ts) - {START_MS}) div {FASTER}"))
+    events = adapters.event_log(read_table(spark, sf, "events").withColumn("ts", faster))
+    windows = AL.qualifying_windows(events, "5 minutes", "5 seconds")
+    return windows.select("mid", F.unix_millis("window.end").alias("ts"))
+
+
 QUERIES = {
+    "alert_live_shape": alert_live_shape,
     "alert_windows": alert_windows,
     "alert_throttled": alert_throttled,
     "alert_qualifying": alert_qualifying,
 }
 
+START_MS, FASTER = 1704067200000, 72  # 2024-01-01
+
 ALERTS = """
 log AS (
   SELECT (user_id // 15)::VARCHAR AS mid, user_id::VARCHAR AS uid,
@@ -62,6 +74,12 @@ named AS (
   SELECT *, strftime(make_timestamp(ts * 1000), '%Y-%m-%d') AS dt FROM alerts)"""
 
 SQL = {
+    "alert_live_shape": f"""WITH fast AS (
+          SELECT (user_id // 15)::VARCHAR AS mid, user_id, event_type,
+                 ({START_MS} + ((epoch_us(ts) // 1000) - {START_MS}) // {FASTER}) // 5000 AS slot FROM events),
+        placed AS (SELECT fast.*, (slot + k) * 5000 AS ts FROM fast, unnest(range(1, 61)) AS g(k))
+        SELECT mid, ts FROM placed GROUP BY mid, ts
+        HAVING count(DISTINCT user_id) FILTER (event_type = 'purchase') >= 3 AND NOT bool_or(event_type = 'click')""",
     "alert_windows": f"""WITH {ALERTS}
         SELECT mid || '_' || (ts // 60000)::VARCHAR AS alert_id, * FROM named""",
     "alert_throttled": f"""WITH {ALERTS}
