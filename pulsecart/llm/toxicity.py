@@ -8,7 +8,8 @@ are its advantage. A document's score comes from its windows above a calibrated
   (G statistic), the strongest last. The ordinary dictionary holds the commonest ordinary words,
   and then the ordinary words that still compress better with the toxic one, found over a few rounds.
 - Each window follows a fixed filler that both dictionaries hold. Without it the coder would store a
-  short word as it is, since a match saves less than the smallest gain it accepts.
+  short word as it is, since a match saves less than the smallest gain it accepts. Letters are widened
+  to two characters, so that a match with a word of four or five letters is worth its own cost.
 - A part of the labelled rows is kept from the dictionaries and fits the window threshold and the
   logistic score, which has the labels' own prior.
 
@@ -47,6 +48,11 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
+def widened(word: str) -> str:
+    """Every letter twice, the second time in the other case."""
+    return "".join([c + c.swapcase() for c in word])
+
+
 @dataclass
 class Model:
     """What the tasks need: two dictionaries, a window threshold and a logistic score."""
@@ -60,7 +66,7 @@ class Model:
         made = []
         for content in (self.ordinary, self.toxic):
             params = zstandard.ZstdCompressionParameters.from_level(
-                LEVEL, source_size=len(FILLER) + 4 * LONGEST_WORD, dict_size=len(content),
+                LEVEL, source_size=len(FILLER) + 8 * LONGEST_WORD, dict_size=len(content),
                 strategy=zstandard.STRATEGY_BTOPT, search_log=5, hash_log=10, chain_log=15,
                 format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0,
                 write_dict_id=0,
@@ -80,7 +86,7 @@ class Model:
             if found is None:
                 if len(known) >= _CACHE_WORDS:
                     known.clear()
-                window = f"{FILLER} {word} ".encode()
+                window = f"{FILLER} {widened(word)} ".encode()
                 found = len(ordinary.compress(window)) - len(toxic.compress(window))
                 known[word] = found
             return found
@@ -102,7 +108,7 @@ def features_of(advantages: list[int], threshold: int) -> tuple[float, float, fl
 
 
 def _dictionary(words: list[str]) -> bytes:
-    return f" {' '.join(words)} {FILLER}".encode()
+    return f" {' '.join(map(widened, words))} {FILLER}".encode()
 
 
 def _g(a: int, b: int, n1: int, n0: int) -> float:
