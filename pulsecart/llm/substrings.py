@@ -10,8 +10,9 @@ smaller id, or earlier in the same row. Matches never cross rows.
 2. The bytes that the windows of such an anchor cover are cut out as a fragment. Fragments go to
    shards by their anchor's hash, so equal windows meet in one shard. Equal fragments follow each
    other in sorted order: all but the earliest are repeats altogether.
-3. For the different fragments of a shard a suffix array is induced, common prefixes are computed, and
-   suffixes that share ``length`` bytes or more are one set, of which all but the earliest repeat.
+3. For the anchors with different fragments a suffix array of a shard's fragments is induced, common
+   prefixes are computed, and suffixes that share ``length`` bytes or more are one set, of which all
+   but the earliest repeat.
 4. The repeats of each row are merged to runs and taken out.
 
 Shards are worked off in blocks of ``SHARD`` bytes; fragments with one anchor hash stay together.
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsecart.llm.common import small_batches
@@ -120,43 +121,32 @@ def _anchor_rows(frames: Iterator[pd.DataFrame], length: int) -> Iterator[pd.Dat
         )
 
 
-def _found_again(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """From asking rows sorted by hash: those with a neighbour of the same hash that are not known to
-    occur again. Only one row is kept between batches."""
-    kept = None
-    for frame in frames:
-        if kept is not None:
-            frame = pd.concat([kept, frame], ignore_index=True)
-        h = frame["hash"].to_numpy()
-        same = h[1:] == h[:-1]
-        before, after = np.append(False, same), np.append(same, False)
-        if kept is not None:
-            before[0] = kept_before
-        take = (before | after) & ~frame["again"].to_numpy()
-        take[-1] = False
-        yield frame.loc[take, ["doc", "window"]]
-        kept, kept_before = frame.iloc[-1:], bool(before[-1])
-    if kept is not None and kept_before and not kept["again"].iloc[0]:
-        yield kept[["doc", "window"]]
-
-
 def _fragments(frames: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
-    """Cut the windows out of the texts: hash, fragment, doc, start."""
+    """Cut the windows out of the texts: hash, fragment, doc, start, bytes.
+
+    Of equal fragments in a batch the earliest goes to its shard. The others are repeats whatever the
+    shard holds; they have no fragment and go anywhere, so a hot anchor does not gather them.
+    """
     for frame in frames:
-        out = {"hash": [], "fragment": [], "doc": [], "start": []}
+        frame = frame.sort_values("doc", kind="stable")
+        out = {"hash": [], "fragment": [], "doc": [], "start": [], "bytes": []}
+        seen: set[tuple[int, bytes]] = set()
         for doc, text, windows in zip(frame["doc"].tolist(), frame["text"].tolist(), frame["windows"].tolist()):
             raw = _bytes(text)
             whole = raw.tobytes()
             w = np.sort(np.asarray(windows, dtype=np.int64))
-            first, count = w >> 8, w & 255
-            # The anchor is the least substring of the first window.
-            for a, n in zip(first.tolist(), count.tolist()):
-                out["fragment"].append(whole[a : a + n - 1 + length])
+            first, hashes = w >> 8, _hash_of(raw, w >> 8, length).view(np.int64)
+            for h, a, n in zip(hashes.tolist(), first.tolist(), (w & 255).tolist()):
+                fragment = whole[a : a + n - 1 + length]
+                fresh = (h, fragment) not in seen
+                if fresh:
+                    seen.add((h, fragment))
+                out["hash"].append(h if fresh else doc)
+                out["fragment"].append(fragment if fresh else None)
                 out["start"].append(a)
+                out["bytes"].append(len(fragment))
             out["doc"] += [doc] * len(w)
-            out["hash"].append(_hash_of(raw, first, length))
-        hashes = np.concatenate(out["hash"]) if out["hash"] else np.zeros(0, dtype=np.uint64)
-        yield pd.DataFrame({**out, "hash": hashes.view(np.int64)})
+        yield pd.DataFrame(out)
 
 
 def _hash_of(raw: np.ndarray, first: np.ndarray, length: int) -> np.ndarray:
@@ -208,7 +198,7 @@ def _runs(docs: np.ndarray, lows: np.ndarray, highs: np.ndarray) -> pd.DataFrame
 
 def _removals(frames: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
     """From fragments sorted by hash, fragment, doc and start: ranges of bytes to remove."""
-    block, size, open_hash, last = [], 0, None, None
+    block, own, size, open_hash, last = [], [], 0, None, None
     whole: list[tuple[int, int, int]] = []
 
     def solved() -> pd.DataFrame:
@@ -218,21 +208,33 @@ def _removals(frames: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFr
         more = np.array(whole, dtype=np.int64).reshape(-1, 3)
         return _runs(np.append(doc, more[:, 0]), np.append(place, more[:, 1]), np.append(place + length, more[:, 2]))
 
+    def close() -> None:
+        """Windows that are equal have one anchor at one place in them, so an anchor with a single
+        fragment has no windows to compare."""
+        nonlocal size
+        if len(own) > 1:
+            block.extend(own)
+            size += sum(len(f) for f, _, _ in own)
+        own.clear()
+
     for frame in frames:
-        for h, f, d, s in zip(frame["hash"].tolist(), frame["fragment"].tolist(), frame["doc"].tolist(), frame["start"].tolist()):
-            if (h, f) == last:
-                whole.append((d, s, s + len(f)))
+        for h, f, d, s, n in zip(*(frame[c].tolist() for c in ("hash", "fragment", "doc", "start", "bytes"))):
+            if f is None or (h == open_hash and f == last):
+                whole.append((d, s, s + n))
                 continue
-            if size > SHARD and h != open_hash:
-                yield solved()
-                block, size, whole = [], 0, []
-            block.append((f, d, s))
-            size += len(f)
-            last, open_hash = (h, f), h
+            if h != open_hash:
+                close()
+                if size > SHARD:
+                    yield solved()
+                    block, size, whole = [], 0, []
+                open_hash = h
+            own.append((f, d, s))
+            last = f
         if len(whole) > 200_000:
             more = np.array(whole, dtype=np.int64)
             yield _runs(more[:, 0], more[:, 1], more[:, 2])
             whole = []
+    close()
     yield solved()
 
 
@@ -248,22 +250,26 @@ def find(documents: DataFrame, length: int = 100, key: str = "doc_id", text: str
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     (
         rows.repartition(parts, "doc").write.bucketBy(parts, "doc").sortBy("doc")
-        .option("path", run_folder(spark, "texts")).format("parquet").saveAsTable(name)
+        .option("path", run_folder(spark, "texts")).option("compression", "zstd").format("parquet").saveAsTable(name)
     )
     texts = spark.table(name)
-    found = materialise(
-        texts.where(F.col("doc").isNotNull() & (F.octet_length("text") >= length))
-        .mapInPandas(lambda f: _anchor_rows(f, length), "hash bigint, doc bigint, window bigint, again boolean, asks boolean"),
-        "anchors",
+    layout = "hash bigint, doc bigint, window bigint, again boolean, asks boolean"
+    anchored = texts.where(F.col("doc").isNotNull() & (F.octet_length("text") >= length)).mapInPandas(
+        lambda f: _anchor_rows(f, length), layout
     )
+    folder = run_folder(spark, "anchors")
+    anchored.write.option("compression", "zstd").parquet(folder)
+    found = spark.read.schema(layout).parquet(folder)
     asking = found.where("asks").select("hash", "doc", "window", "again")
-    across = asking.repartition("hash").sortWithinPartitions("hash").mapInPandas(_found_again, "doc bigint, window bigint")
+    same = Window.partitionBy("hash").orderBy("doc")
+    elsewhere = F.lag("doc").over(same).isNotNull() | F.lead("doc").over(same).isNotNull()
+    across = asking.withColumn("elsewhere", elsewhere).where("elsewhere and not again").select("doc", "window")
     windows = found.where("again").select("doc", "window").union(across)
     by_doc = windows.groupBy("doc").agg(F.collect_list("window").alias("windows"))
     fragments = (
         texts.join(by_doc, "doc")
         .select("doc", "text", "windows")
-        .mapInPandas(lambda f: _fragments(f, length), "hash bigint, fragment binary, doc bigint, start bigint")
+        .mapInPandas(lambda f: _fragments(f, length), "hash bigint, fragment binary, doc bigint, start bigint, bytes bigint")
     )
     removed = materialise(
         fragments.repartition("hash").sortWithinPartitions("hash", "fragment", "doc", "start")
