@@ -44,7 +44,7 @@ _PIECE = 4 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x100000001B3
 
-_CLASS = np.zeros(256, dtype=np.uint64)  # 0 for a separator, else the byte of the word
+_CLASS = np.zeros(256, dtype=np.uint8)  # 0 for a separator, else the byte of the word
 for _b in range(256):
     _c = chr(_b).lower() if _b < 128 else ""
     if _b >= 128 or _c.isalnum():
@@ -66,10 +66,10 @@ def _geometric(base: int, n: int, name: str) -> np.ndarray:
 def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Hash and first byte of each word of a text in bytes."""
     code = _CLASS[np.frombuffer(raw, dtype=np.uint8)]
-    inside = np.zeros(len(code) + 2, dtype=np.int8)
-    inside[1:-1] = code != 0
-    edge = np.diff(inside)
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    inside = np.zeros(len(code) + 2, dtype=bool)
+    np.not_equal(code, 0, out=inside[1:-1])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[::2], edges[1::2]
     sums = np.zeros(len(code) + 1, dtype=np.uint64)
     np.cumsum(code * _geometric(_BASE, len(code), "up"), out=sums[1:])
     down = _geometric(pow(_BASE, -1, 2**64), len(code) + 1, "down")
@@ -138,18 +138,16 @@ class Index:
 
     @staticmethod
     def _walk(words: np.ndarray, at: np.ndarray, steps: np.ndarray, odd: np.ndarray):
-        """Yields, at each sampled step, the hash of the outputs so far; takes back the mask of the
+        """``words`` come from ``_walkable``. Yields, at each sampled step, the hash of the outputs so far; takes back the mask of the
         starts to go on with."""
         key, j = np.zeros(len(at), dtype=np.uint64), 0
-        last = len(words) - 1
         for stop in steps:
             while True:
-                now = words[np.minimum(at, last)].astype(np.uint64) + np.uint64(1)
+                now = words[at]
                 if j == stop:
                     key = (key ^ now) * _ODD
                     key ^= key >> np.uint64(29)
-                move = ((now * odd[j]) >> np.uint64(40)) & np.uint64(1)
-                at = at + move.astype(np.int64)
+                at = at + (((now * odd[j]) >> np.uint64(40)) & np.uint64(1)).view(np.int64)
                 j += 1
                 if j > stop:
                     break
@@ -157,6 +155,11 @@ class Index:
             if keep is not None:
                 at, key = at[keep], key[keep]
 
+    def _walkable(self, words: np.ndarray) -> np.ndarray:
+        """Words as a walk reads them: from 1 up, and with room behind the end for all its moves."""
+        longest = max(high for _, high, _ in self.groups)
+        return np.concatenate([words.astype(np.uint64) + np.uint64(1), np.ones(2 * longest + 4, dtype=np.uint64)])
+
     def _keys(self, words: np.ndarray, at: np.ndarray, steps: np.ndarray, odd: np.ndarray) -> list[np.ndarray]:
         walk = self._walk(words, at, steps, odd)
         keys = [next(walk)]
@@ -175,7 +178,7 @@ class Index:
             own[self.items[n]] = True
         tables = []
         for r in range(self.repeats):
-            found = [self._keys(np.append(self.items[n], 0), self._item_starts(n), steps[r], odd[r]) for n in group[2]]
+            found = [self._keys(self._walkable(self.items[n]), self._item_starts(n), steps[r], odd[r]) for n in group[2]]
             stages = [np.unique(np.concatenate([f[s] for f in found])) for s in range(len(steps[r]))]
             holders: dict[int, list[int]] = {}
             for n, f in zip(group[2], found):
@@ -206,8 +209,8 @@ class Index:
                         words.pop(0)
                     if not words:
                         continue
-                    mine = self._keys(np.append(words, 0), np.array([0]), steps[trial], odd[trial])[-1][0]
-                    theirs = self._keys(np.append(item, 0), self._item_starts(n), steps[trial], odd[trial])[-1]
+                    mine = self._keys(self._walkable(np.array(words)), np.array([0]), steps[trial], odd[trial])[-1][0]
+                    theirs = self._keys(self._walkable(item), self._item_starts(n), steps[trial], odd[trial])[-1]
                     tried += 1
                     hit += bool((theirs == mine).any())
         p = hit / tried if tried else 1.0
@@ -218,14 +221,17 @@ class Index:
     def _candidates(self, words: np.ndarray) -> set[tuple[int, int]]:
         """Pairs of a start and an item."""
         known = words > 0
-        counted = np.zeros(len(words) + 1, dtype=np.int32)
-        np.cumsum(known, out=counted[1:])
-        starts = np.flatnonzero(known)
+        n = len(words)
+        longest = max(high for _, high, _ in self.groups)
+        counted = np.zeros(n + 1 + longest, dtype=np.int32)
+        np.cumsum(known, out=counted[1 : n + 1])
+        counted[n + 1 :] = counted[n]
+        walkable = self._walkable(words)
         found: set[tuple[int, int]] = set()
         for (low, high, own), (table, tables) in zip(self.groups, self.tables):
             need = low - math.floor((1 - self.similarity) * low + 1e-9)
-            ends = np.minimum(starts + high, len(words))
-            at = starts[counted[ends] - counted[starts] >= need]
+            enough = counted[high : high + n] - counted[:n] >= need
+            at = np.flatnonzero(enough & known)
             if len(at):
                 at = at[table[words[at]]]
             for lo in range(0, len(at), 1 << 15):
@@ -233,7 +239,7 @@ class Index:
                 around = np.minimum(some[:, None] + np.arange(high), len(words) - 1)
                 some = some[table[words[around]].sum(axis=1) >= need]
                 for steps, odd, stages, holders in tables if len(some) else ():
-                    left, walk = some, self._walk(words, some, steps, odd)
+                    left, walk = some, self._walk(walkable, some, steps, odd)
                     keys, keep = next(walk), None
                     for s, stage in enumerate(stages):
                         if s:
@@ -262,13 +268,17 @@ class Index:
             return []
         bounds = np.searchsorted(at, offsets)
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        lists: dict[int, list[int]] = {}
         for p, n in sorted(self._candidates(ids)):
             doc = int(np.searchsorted(bounds, p, side="right")) - 1
             end = min(int(bounds[doc + 1]), p + len(self.items[n]) + self.most[n])
             before = best.get((doc, n))
             if before is not None and before[0] == 0:
                 continue
-            hit = edit_end(self.items[n].tolist(), ids[p:end].tolist(), self.most[n])
+            item = lists.get(n)
+            if item is None:
+                item = lists[n] = self.items[n].tolist()
+            hit = edit_end(item, ids[p:end].tolist(), self.most[n])
             if hit is not None:
                 row = (hit[0], p - int(bounds[doc]), hit[1])
                 if before is None or row < before:
