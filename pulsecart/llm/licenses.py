@@ -13,11 +13,18 @@ least ``threshold`` of the template's distinct words. All such blocks are found,
   ``1 + min(rest of the block, rest of the template)`` common words; fewer than needed is out.
 - The pairs left are verified on the whole sets.
 
+License texts are mostly wrapped, so runs of words are searched besides, whatever line breaks and
+comment marks lie between: a text has a template's label too if some run of its words, at most as long
+as the template divided by ``threshold``, holds as many of the template's words. A run's words are
+words of its text, so the texts that hold enough anywhere are found by the same filters, with the whole
+text as the block, and their runs are then tried from every template word on.
+
 The templates are a parameter and their words travel in the plan; ``MOST_WORDS`` bounds them.
 
 Fixed phrases are found besides, as consecutive words of the whole text.
 
-Edge cases: null texts are empty, with no words. A very long line is one block. Repeated rows get
+Edge cases: null texts are empty, with no words. A very long line is one block; a text of one line has
+no other runs. Repeated rows get
 the same result each; rows that share an id but not the text are kept apart. The result has the id
 and its own columns only, so other columns cannot clash.
 """
@@ -83,86 +90,160 @@ def phrase_places(text: Column, phrases: dict[str, str] = PHRASES) -> Column:
     return F.when(text.rlike(f"(?i)(?:{ends})"), F.concat(*[places(p, n) for p, n in phrases.items()])).otherwise(none)
 
 
+class _Index:
+    """Templates as sets of words, the order of the words, and the join of blocks with templates."""
+
+    def __init__(self, templates: list[tuple[str, str]], threshold: float):
+        lower = str.maketrans(_UPPER, _LOWER)
+        found = [(label, re.findall(_WORDS, s.translate(lower))) for label, s in templates]
+        found = [(label, words) for label, words in found if words]
+        self.labels = [label for label, _ in found]
+        self.sets = [sorted(set(words)) for _, words in found]
+        self.known = sorted({w for s in self.sets for w in s})
+        if not 0 < len(self.known) <= MOST_WORDS:
+            raise ValueError(f"templates must hold 1 to {MOST_WORDS} different words")
+        self.needed = [max(1, math.ceil(threshold * len(s) - 1e-9)) for s in self.sets]
+        # Words that a run may have: every needed share of the template, with others between.
+        self.reach = [math.ceil(len(words) / min(1.0, max(threshold, 0.1)) - 1e-9) for _, words in found]
+        self.order = {w: i for i, w in enumerate(self.known)}
+
+    def lines(self, documents: DataFrame, key: tuple[str, ...], text: str) -> DataFrame:
+        """Key, block (line number) and distinct template words of each line."""
+        return documents.select(*key, F.posexplode(F.split(F.col(text), "\n")).alias("block", "line")).select(
+            *key, "block", F.array_distinct(F.filter(words_of(F.col("line")), lambda w: w.isin(self.known))).alias("words")
+        )
+
+    def rank_by(self, blocks: DataFrame) -> None:
+        """Order the words by the number of blocks that hold them, rarest first."""
+        counts = {
+            r["word"]: r["count"]
+            for r in blocks.select(F.explode("words").alias("word")).groupBy("word").count().collect()
+        }
+        self.order = {w: i for i, w in enumerate(sorted(self.known, key=lambda w: (counts.get(w, 0), w)))}
+
+    def pairs(self, blocks: DataFrame, kept: list[str]) -> DataFrame:
+        """Blocks (with ``words``) and templates that hold enough common words: the kept columns, ranks and the
+        template's columns, once for each pair."""
+        index = []
+        for n, (label, s, need, reach) in enumerate(zip(self.labels, self.sets, self.needed, self.reach)):
+            ranked = sorted(self.order[w] for w in s)
+            index += [(r, label, n, j, need, ranked, s, reach) for j, r in enumerate(ranked[: len(ranked) - need + 1])]
+        template_rows = blocks.sparkSession.createDataFrame(
+            index,
+            "rank int, label string, template int, j int, need int, template_ranks array<int>, template_words array<string>, reach int",
+        )
+        starts, least = sorted({r[0] for r in index}), min(self.needed)
+        in_order = F.array(*[F.lit(w) for w in sorted(self.order, key=self.order.get)])
+        ranked = (
+            blocks.where(F.size("words") >= least)
+            .where(F.exists("words", lambda w: w.isin([w for w, i in self.order.items() if i in set(starts)])))
+            .select(
+                *kept,
+                F.array_sort(F.transform("words", lambda w: (F.array_position(in_order, w) - 1).cast("int"))).alias("ranks"),
+            )
+        )
+        prefix = F.slice(F.col("ranks"), 1, F.size("ranks") - (least - 1))
+        placed = F.filter(
+            F.transform(prefix, lambda r, i: F.struct(r.alias("rank"), i.alias("i"))), lambda x: x["rank"].isin(starts)
+        )
+        common = F.array_intersect("ranks", "template_ranks")
+        return (
+            ranked.select(*kept, "ranks", F.explode(placed).alias("p"))
+            .select(*kept, "ranks", F.col("p.rank").alias("rank"), F.col("p.i").alias("i"))
+            .join(template_rows, "rank")
+            .where(
+                1 + F.least(F.size("ranks") - F.col("i") - 1, F.size("template_ranks") - F.col("j") - 1) >= F.col("need")
+            )
+            # A pair is met at each common word of both prefixes; the first one stands for it.
+            .where((F.size(common) >= F.col("need")) & (F.array_min(common) == F.col("rank")))
+        )
+
+    def blocks(self, lines: DataFrame, key: tuple[str, ...]) -> DataFrame:
+        common = F.size(F.array_intersect("ranks", "template_ranks"))
+        return (
+            self.pairs(lines, [*key, "block"])
+            .select(*key, "block", "label", "template", (common / F.size("template_ranks")).alias("containment"))
+            .distinct()
+        )
+
+    def runs(self, documents: DataFrame, key: tuple[str, ...], text: str) -> DataFrame:
+        known = F.transform(
+            words_of(F.col(text)), lambda w, i: F.when(w.isin(self.known), F.struct(i.alias("at"), w.alias("word")))
+        )
+        texts = documents.where(F.contains(F.col(text), F.lit("\n"))).select(
+            *key, F.filter(known, lambda x: x.isNotNull()).alias("hits")
+        )
+        pairs = self.pairs(texts.withColumn("words", F.array_distinct(F.col("hits.word"))), [*key, "hits"])
+        own = F.filter("hits", lambda x: F.array_contains(F.col("template_words"), x["word"]))
+
+        def held(x: Column, i: Column) -> Column:
+            near = F.filter(F.slice(F.col("own"), i + 1, F.col("reach")), lambda y: y["at"] < x["at"] + F.col("reach"))
+            return F.size(F.array_distinct(F.transform(near, lambda y: y["word"])))
+
+        most = F.array_max(F.transform("own", held))
+        return (
+            pairs.select(*key, "label", "template", "template_words", "need", "reach", own.alias("own"))
+            .select(*key, "label", "template", "need", most.alias("most"), F.size("template_words").alias("size"))
+            .where(F.col("most") >= F.col("need"))
+            .select(*key, "label", "template", (F.col("most") / F.col("size")).alias("containment"))
+        )
+
+
 def find_blocks(
     documents: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = 0.8,
     key: tuple[str, ...] = ("doc_id",), text: str = "text",
 ) -> DataFrame:
     """Blocks that hold a template: the key columns, block (line number), label, template, containment."""
-    spark = documents.sparkSession
-    lower = str.maketrans(_UPPER, _LOWER)
-    sets = [(label, sorted(set(re.findall(_WORDS, s.translate(lower))))) for label, s in templates]
-    sets = [(label, words) for label, words in sets if words]
-    known = sorted({w for _, s in sets for w in s})
-    if not 0 < len(known) <= MOST_WORDS:
-        raise ValueError(f"templates must hold 1 to {MOST_WORDS} different words")
-    needed = [max(1, math.ceil(threshold * len(s) - 1e-9)) for _, s in sets]
-    least = min(needed)
-
-    blocks = documents.select(*key, F.posexplode(F.split(F.col(text), "\n")).alias("block", "line")).select(
-        *key, "block", F.array_distinct(F.filter(words_of(F.col("line")), lambda w: w.isin(known))).alias("words")
-    )
-    counts = {
-        r["word"]: r["count"]
-        for r in blocks.select(F.explode("words").alias("word")).groupBy("word").count().collect()
-    }
-    order = {w: i for i, w in enumerate(sorted(known, key=lambda w: (counts.get(w, 0), w)))}
-
-    index = []
-    for n, ((label, s), need) in enumerate(zip(sets, needed)):
-        ranked = sorted(order[w] for w in s)
-        index += [(r, label, n, j, need, ranked) for j, r in enumerate(ranked[: len(ranked) - need + 1])]
-    template_rows = spark.createDataFrame(
-        index, "rank int, label string, template int, j int, need int, template_ranks array<int>"
-    )
-    starts = sorted({r[0] for r in index})
-
-    in_order = F.array(*[F.lit(w) for w in sorted(order, key=order.get)])
-    ranked = (
-        blocks.where(F.size("words") >= least)
-        .where(F.exists("words", lambda w: w.isin([w for w, i in order.items() if i in set(starts)])))
-        .select(
-            *key, "block",
-            F.array_sort(F.transform("words", lambda w: (F.array_position(in_order, w) - 1).cast("int"))).alias("ranks"),
-        )
-    )
-    prefix = F.slice(F.col("ranks"), 1, F.size("ranks") - (least - 1))
-    placed = F.filter(
-        F.transform(prefix, lambda r, i: F.struct(r.alias("rank"), i.alias("i"))), lambda x: x["rank"].isin(starts)
-    )
-    pairs = (
-        ranked.select(*key, "block", "ranks", F.explode(placed).alias("p"))
-        .select(*key, "block", "ranks", F.col("p.rank").alias("rank"), F.col("p.i").alias("i"))
-        .join(template_rows, "rank")
-        .where(
-            1 + F.least(F.size("ranks") - F.col("i") - 1, F.size("template_ranks") - F.col("j") - 1) >= F.col("need")
-        )
-    )
-    common = F.size(F.array_intersect("ranks", "template_ranks"))
-    return (
-        pairs.where(common >= F.col("need"))
-        .select(*key, "block", "label", "template", (common / F.size("template_ranks")).alias("containment"))
-        .distinct()
-    )
+    index = _Index(templates, threshold)
+    lines = index.lines(documents, key, text)
+    index.rank_by(lines)
+    return index.blocks(lines, key)
+
+
+def find_runs(
+    documents: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = 0.8,
+    key: tuple[str, ...] = ("doc_id",), text: str = "text",
+) -> DataFrame:
+    """Texts of several lines in which a run of words holds a template: the key columns, label, template, and the
+    containment of the best run."""
+    index = _Index(templates, threshold)
+    index.rank_by(index.lines(documents, key, text))
+    return index.runs(documents, key, text)
 
 
 def scan(
     documents: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = 0.8,
     key: str = "doc_id", text: str = "text",
 ) -> DataFrame:
-    """One row per document: id, n_words, places (of the phrases), and the templates' labels and score."""
+    """One row per document: id, n_words, places (of the phrases), labels and score of the templates that lines hold,
+    and wrapped_labels and wrapped_score of those that runs of words across lines hold."""
     own = documents.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_text")).withColumn("_hash", F.xxhash64("_text"))
     rows = own.select(
         key, "_hash", F.regexp_count("_text", F.lit(_WORDS)).cast("long").alias("n_words"),
         phrase_places(F.col("_text")).alias("places"),
     )
-    found = (
-        find_blocks(own, templates, threshold, (key, "_hash"), "_text")
-        .groupBy(F.col(key).alias("_key"), F.col("_hash").alias("_own"))
-        .agg(F.sort_array(F.collect_set("label")).alias("template_labels"), F.max("containment").alias("score"))
+    index, keys = _Index(templates, threshold), (key, "_hash")
+    lines = index.lines(own, keys, "_text")
+    index.rank_by(lines)
+    columns = [*keys, "label", "containment"]
+    held = index.blocks(lines, keys).select(*columns, F.lit(False).alias("wrapped")).unionByName(
+        index.runs(own, keys, "_text").select(*columns, F.lit(True).alias("wrapped"))
+    )
+
+    def labels(wrapped: Column) -> Column:
+        return F.sort_array(F.collect_set(F.when(wrapped, F.col("label"))))
+
+    def score(wrapped: Column) -> Column:
+        return F.max(F.when(wrapped, F.col("containment")))
+
+    found = held.groupBy(F.col(key).alias("_key"), F.col("_hash").alias("_own")).agg(
+        labels(~F.col("wrapped")).alias("template_labels"), score(~F.col("wrapped")).alias("score"),
+        labels(F.col("wrapped")).alias("wrapped_labels"), score(F.col("wrapped")).alias("wrapped_score"),
     )
     joined = rows.join(found, rows[key].eqNullSafe(found["_key"]) & (rows["_hash"] == found["_own"]), "left")
+    none = F.array().cast("array<string>")
     return joined.select(
         key, "n_words", "places",
-        F.coalesce("template_labels", F.array().cast("array<string>")).alias("template_labels"),
-        F.coalesce("score", F.lit(0.0)).alias("score"),
+        F.coalesce("template_labels", none).alias("template_labels"), F.coalesce("score", F.lit(0.0)).alias("score"),
+        F.coalesce("wrapped_labels", none).alias("wrapped_labels"), F.coalesce("wrapped_score", F.lit(0.0)).alias("wrapped_score"),
     )

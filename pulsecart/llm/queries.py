@@ -67,8 +67,8 @@ def op5_licenses(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_words", F.size("places").cast("long").alias("n_base"),
         F.array_min(at).alias("first_word"), F.array_max(at).alias("last_word"),
         F.array_join(F.array_sort(base), ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.array_union(base, F.col("template_labels"))), ",").alias("labels"),
-        F.greatest("score", F.when(F.size("places") > 0, 0.5).otherwise(0.0)).alias("score"),
+        F.array_join(F.array_sort(F.array_union(base, F.array_union("template_labels", "wrapped_labels"))), ",").alias("labels"),
+        F.greatest("score", "wrapped_score", F.when(F.size("places") > 0, 0.5).otherwise(0.0)).alias("score"),
     )
 
 

@@ -58,6 +58,41 @@ def test_licenses_of_odd_tables(documents, make):
     assert sorted((r["doc_id"] or 0, len(r["places"]), len(r["template_labels"])) for r in got) == [(0, 1, 0), (1, 0, 0), (1, 0, 0), (1, 1, 1)]
 
 
+MIT = """# Permission is hereby granted, free of charge, to any person obtaining
+# a copy of this software and associated documentation files (the "Software"), to deal"""
+MPL = """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this */"""
+GPL = """  This program is free software: you can redistribute it and/or modify
+  it under the terms of the GNU General Public License as published by"""
+BSD = """// Redistribution and use in source and binary forms, with or without
+// modification, are permitted provided that the following conditions are
+// met:"""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that"""
+
+
+def test_licenses_wrapped_over_lines(documents):
+    scattered = MPL.replace(" ", " word" * 12 + "\n")  # all the words, but nowhere near each other
+    got = licenses.scan(documents([MIT, MPL, GPL, BSD, ISC, "prose\n" * 5000 + BSD, scattered])).orderBy("doc_id").collect()
+    assert [r["wrapped_labels"] for r in got] == [["mit"], ["mpl"], ["gpl"], ["bsd"], ["isc"], ["bsd"], []]
+    assert [r["wrapped_score"] == 1.0 for r in got] == [True] * 6 + [False]
+
+
+def test_license_runs_equal_plain_python(documents):
+    texts = license_texts()
+    got = licenses.scan(documents(texts)).orderBy("doc_id").collect()
+    for row, text in zip(got, texts, strict=True):
+        words, want = re.findall(WORDS, lowered(text)), {}
+        for label, t in licenses.TEMPLATES:
+            own = re.findall(WORDS, lowered(t))
+            reach, whole = math.ceil(len(own) / 0.8 - 1e-9), set(own)
+            c = max((len(whole & set(words[i : i + reach])) for i in range(len(words)) if words[i] in whole), default=0)
+            if "\n" in (text or "") and c >= math.ceil(0.8 * len(whole) - 1e-9):
+                want[label] = max(want.get(label, 0), c / len(whole))
+        assert row["wrapped_labels"] == sorted(want)
+        assert row["wrapped_score"] == max(want.values(), default=0.0)
+
+
 BLOCK, ALLOW = [("net", "/"), ("example.com", "/de/"), ("a.b.example.org", "/x")], [("example.net", "/en/"), ("org", "/fr/")]
 
 
