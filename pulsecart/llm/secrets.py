@@ -48,7 +48,8 @@ SENSITIVE = {
 }
 PLACEHOLDERS = {"changeme", "example", "password", "secret", "token", "none", "null", "true", "false", "todo", "xxxxxxxx"}
 
-_NAME = r"[A-Za-z_][A-Za-z0-9_.\-]{0,80}"
+# A name is read to its end and never given back, so that long ones take linear time.
+_NAME = r"[A-Za-z_][A-Za-z0-9_.\-]*+"
 _VALUE = r"\"[^\"\n]*\"|'[^'\n]*'|[A-Za-z0-9+/_.=\-]+"
 # A name before an operator; the lookbehind keeps a match from starting inside a word.
 _PAIR = re.compile(rf"""(?<![A-Za-z0-9_.\-])["']?({_NAME})["']?(?:\[["']?({_NAME})["']?\])?[ \t]*(?::=|=>|=(?!=)|:(?![:/]))[ \t]*""", re.A)

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -141,6 +142,28 @@ def test_literals_of_sensitive_names(source, found):
     assert found in [source[a:b] for a, b, kind, _ in secrets.all_spans(source) if kind == "literal"]
 
 
+LONG = "spring." + "generated_" * 20 + "part."
+
+
+@pytest.mark.parametrize(
+    "source",
+    [
+        LONG + 'credentials = "Zx81kQp0vw"',
+        f'conf["{LONG}credentials"] = "Zx81kQp0vw"',
+        f'{LONG}k = "Zx81kQp0vw"\n{LONG}credentials = {LONG}k',
+    ],
+)
+def test_literals_of_long_names(source):
+    assert "Zx81kQp0vw" in [source[a:b] for a, b, kind, _ in secrets.all_spans(source) if kind == "literal"]
+
+
+def test_a_long_name_takes_linear_time():
+    start = time.process_time()
+    assert secrets.all_spans("n" * 2_000_000 + " = x") == []
+    assert secrets.all_spans("n[" * 500_000 + "=") == []
+    assert time.process_time() - start < 20
+
+
 @pytest.mark.parametrize("source", ['title = "Zx81kQp0vw"', 'pass_key = "changeme"', "the key: of the door", "see http://x/y:z"])
 def test_no_literal_without_reason(source):
     assert [s for s in secrets.all_spans(source) if s[2] == "literal"] == []
