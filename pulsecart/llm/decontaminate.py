@@ -3,17 +3,15 @@
 Texts become words (A-Z lowered; ASCII other than letters and digits separates). A document holds
 an item of L words if some run of its words is within ``floor((1 - similarity) * L)`` word edits.
 
-1. Count filter, exact: the L words from the start of such a run hold at least L minus that many words
-   of the item. First all items' words are counted for each start, then those of the items of that
-   size.
-2. The starts left are candidates by locality-sensitive hashing. A CGK random walk goes through the
-   words from the start: each step puts out the word it stands on, and a random bit of the step and
-   the word says whether it moves on. Words at a small edit distance give outputs at a small Hamming
-   distance. A key is the outputs at a few sampled steps; equal keys of a start and an item make a
-   candidate. Items are walked from their first few words, since a run may lack the first ones. The
-   number of repetitions comes from measuring, on the items with random edits at the threshold, how
-   often one repetition finds them, so that the target recall is reached.
-3. Each candidate is verified by its exact edit distance.
+All such runs are found, for items of any length:
+
+1. Pieces. An item is cut into one piece more than the edits it may have, so a run within the distance
+   holds one piece unchanged, moved from its place in the item by at most as many words. Pieces of the
+   items that occur in the words of a document give ranges in which a run may lie.
+2. Count filter. A run within the distance holds at least L minus that many words of the item, so its
+   range does too.
+3. Ranges of one item that overlap are one; the closest run of each range comes from the exact edit
+   distance, by bit-parallel dynamic programming.
 
 Items go to the tasks in blocks of bounded size; documents stay where they are, and each document is
 worked through whole, in pieces of bounded memory only if it is one of many in a batch.
@@ -36,11 +34,9 @@ from pyspark.sql import functions as F
 
 from pulsecart.llm.common import small_batches
 
-SAMPLED = 3  # steps in a key
-SKIPPED = 4  # an item is walked from each of its first words up to this one
-MOST_REPEATS = 64
 BLOCK_ITEMS, BLOCK_CHARS = 20_000, 16 << 20
 _PIECE = 4 << 20
+_SOME = 1 << 15  # hits worked on at once
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x100000001B3
 
@@ -77,6 +73,15 @@ def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return mixed ^ (mixed >> np.uint64(31)), starts
 
 
+def _grams(words: np.ndarray, size: int) -> np.ndarray:
+    """Hash of each run of ``size`` words."""
+    out = np.zeros(len(words) - size + 1, dtype=np.uint64)
+    for i in range(size):
+        out = (out + words[i : i + len(out)].astype(np.uint64)) * _ODD
+        out ^= out >> np.uint64(29)
+    return out
+
+
 def edit_end(item: list[int], words: list[int], most: int) -> tuple[int, int] | None:
     """Least distance of the item to a prefix of the words, and that prefix' length (the shortest
     such), by bit-parallel dynamic programming; None if it exceeds ``most``."""
@@ -101,158 +106,109 @@ def edit_end(item: list[int], words: list[int], most: int) -> tuple[int, int] |
     return best if best[0] <= most else None
 
 
+def start_distances(item: list[int], words: list[int]) -> list[int]:
+    """For each start, the least distance of the item to a run of words from there, by the bit-parallel
+    dynamic programming of ``edit_end``, backwards and with any end."""
+    m = len(item)
+    places: dict[int, int] = {}
+    for i, w in enumerate(reversed(item)):
+        places[w] = places.get(w, 0) | (1 << i)
+    full, top = (1 << m) - 1, 1 << (m - 1)
+    up, down, distance = full, 0, m
+    out = [0] * len(words)
+    for s in range(len(words) - 1, -1, -1):
+        eq = places.get(words[s], 0)
+        x = eq | down
+        d0 = (((x & up) + up) ^ up) | x
+        right, left = down | (full & ~(d0 | up)), d0 & up
+        distance += bool(right & top) - bool(left & top)
+        right, left = (right << 1) & full, (left << 1) & full
+        up, down = left | (full & ~(d0 | right)), d0 & right
+        out[s] = distance
+    return out
+
+
 class Index:
     """What the tasks need to find the items of one block."""
 
-    def __init__(self, items: list[tuple[int, str]], similarity: float = 0.8, recall: float = 0.998, seed: int = 11):
+    def __init__(self, items: list[tuple[int, str]], similarity: float = 0.8):
+        if not 0 < similarity <= 1:
+            raise ValueError("similarity must be above 0 and at most 1")
         hashed = [(i, word_hashes(t.encode())[0]) for i, t in items]
         hashed = [(i, h) for i, h in hashed if len(h)]
         self.vocabulary = np.unique(np.concatenate([h for _, h in hashed])) if hashed else np.zeros(0, dtype=np.uint64)
         self.ids = [i for i, _ in hashed]
         self.items = [np.searchsorted(self.vocabulary, h) + 1 for _, h in hashed]
-        self.most = [math.floor((1 - similarity) * len(t) + 1e-9) for t in self.items]
+        self.most = [max(0, math.floor((1 - similarity) * len(t) + 1e-9)) for t in self.items]
         self.flags = np.zeros(1 << 16, dtype=bool)
         self.flags[(self.vocabulary >> np.uint64(48)).astype(np.int64)] = True
-        self.rng = np.random.default_rng(seed)
-        sizes = sorted({len(t) for t in self.items})
-        self.groups: list[tuple[int, int, list[int]]] = []  # least and most words, items
-        for size in sizes:
-            own = [n for n, t in enumerate(self.items) if len(t) == size]
-            if self.groups and len(sizes) > 64 and size <= 1.05 * self.groups[-1][0]:
-                low, _, before = self.groups[-1]
-                self.groups[-1] = (low, size, before + own)
-            else:
-                self.groups.append((size, size, own))
-        self.similarity = similarity
-        self.repeats = self._repeats_for(recall)
-        self.tables = [self._table(g) for g in self.groups]
-
-    def _steps(self, group: tuple[int, int, list[int]]) -> tuple[np.ndarray, np.ndarray]:
-        """Sampled steps of each repetition, and a random odd number for each step."""
-        low = group[0]
-        rng = np.random.default_rng([low, 5])
-        last = max(1, int(1.2 * low))
-        steps = np.array([np.sort(rng.choice(last, min(SAMPLED, last), replace=False)) for _ in range(MOST_REPEATS)])
-        odd = rng.integers(1, 1 << 62, (MOST_REPEATS, last + 1), dtype=np.uint64) | np.uint64(1)
-        return steps, odd
-
-    @staticmethod
-    def _walk(words: np.ndarray, at: np.ndarray, steps: np.ndarray, odd: np.ndarray):
-        """``words`` come from ``_walkable``. Yields, at each sampled step, the hash of the outputs so far; takes back the mask of the
-        starts to go on with."""
-        key, j = np.zeros(len(at), dtype=np.uint64), 0
-        for stop in steps:
-            while True:
-                now = words[at]
-                if j == stop:
-                    key = (key ^ now) * _ODD
-                    key ^= key >> np.uint64(29)
-                at = at + (((now * odd[j]) >> np.uint64(40)) & np.uint64(1)).view(np.int64)
-                j += 1
-                if j > stop:
-                    break
-            keep = yield key
-            if keep is not None:
-                at, key = at[keep], key[keep]
-
-    def _walkable(self, words: np.ndarray) -> np.ndarray:
-        """Words as a walk reads them: from 1 up, and with room behind the end for all its moves."""
-        longest = max(high for _, high, _ in self.groups)
-        return np.concatenate([words.astype(np.uint64) + np.uint64(1), np.ones(2 * longest + 4, dtype=np.uint64)])
-
-    def _keys(self, words: np.ndarray, at: np.ndarray, steps: np.ndarray, odd: np.ndarray) -> list[np.ndarray]:
-        walk = self._walk(words, at, steps, odd)
-        keys = [next(walk)]
-        for _ in steps[1:]:
-            keys.append(walk.send(None))
-        return keys
-
-    def _item_starts(self, n: int) -> np.ndarray:
-        return np.arange(min(SKIPPED, max(1, self.most[n] + 1), len(self.items[n])))
-
-    def _table(self, group):
-        """For each repetition: the sorted keys after each sampled step, and the items of the last."""
-        steps, odd = self._steps(group)
-        own = np.zeros(len(self.vocabulary) + 1, dtype=bool)
-        for n in group[2]:
-            own[self.items[n]] = True
+        self.tables = self._tables()
+
+    def _tables(self) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each number of words: sorted hashes of the pieces, and their first row among the items and places, which
+        are in order of the hash."""
+        rows: dict[int, list[tuple[int, int, int]]] = {}
+        for n, (item, most) in enumerate(zip(self.items, self.most)):
+            count = most + 1
+            size = len(item) // count
+            hashes = _grams(item, size)
+            for j in range(count):
+                place = j * len(item) // count
+                rows.setdefault(size, []).append((int(hashes[place]), n, place))
         tables = []
-        for r in range(self.repeats):
-            found = [self._keys(self._walkable(self.items[n]), self._item_starts(n), steps[r], odd[r]) for n in group[2]]
-            stages = [np.unique(np.concatenate([f[s] for f in found])) for s in range(len(steps[r]))]
-            holders: dict[int, list[int]] = {}
-            for n, f in zip(group[2], found):
-                for k in set(f[-1].tolist()):
-                    holders.setdefault(k, []).append(n)
-            tables.append((steps[r], odd[r], stages, holders))
-        return own, tables
-
-    def _repeats_for(self, recall: float) -> int:
-        """Repetitions that reach the recall for items with random edits at the threshold."""
-        tried = hit = 0
-        for group in self.groups:
-            steps, odd = self._steps(group)
-            for n in group[2][:8]:
-                item, most = self.items[n], self.most[n]
-                for trial in range(8):
-                    words = item.tolist()
-                    for _ in range(most):
-                        p = int(self.rng.integers(0, len(words)))
-                        kind = int(self.rng.integers(0, 3))
-                        if kind == 0:
-                            words[p] = 0
-                        elif kind == 1:
-                            words.insert(p, 0)
-                        elif len(words) > 1:
-                            words.pop(p)
-                    while words and words[0] == 0:  # the closest run starts with a word of the item
-                        words.pop(0)
-                    if not words:
-                        continue
-                    mine = self._keys(self._walkable(np.array(words)), np.array([0]), steps[trial], odd[trial])[-1][0]
-                    theirs = self._keys(self._walkable(item), self._item_starts(n), steps[trial], odd[trial])[-1]
-                    tried += 1
-                    hit += bool((theirs == mine).any())
-        p = hit / tried if tried else 1.0
-        if p >= 1:
-            return 1
-        return min(MOST_REPEATS, max(1, math.ceil(math.log(1 - recall) / math.log(1 - max(p, 1e-3)))))
-
-    def _candidates(self, words: np.ndarray) -> set[tuple[int, int]]:
-        """Pairs of a start and an item."""
-        known = words > 0
-        n = len(words)
-        longest = max(high for _, high, _ in self.groups)
-        counted = np.zeros(n + 1 + longest, dtype=np.int32)
-        np.cumsum(known, out=counted[1 : n + 1])
-        counted[n + 1 :] = counted[n]
-        walkable = self._walkable(words)
-        found: set[tuple[int, int]] = set()
-        for (low, high, own), (table, tables) in zip(self.groups, self.tables):
-            need = low - math.floor((1 - self.similarity) * low + 1e-9)
-            enough = counted[high : high + n] - counted[:n] >= need
-            at = np.flatnonzero(enough & known)
-            if len(at):
-                at = at[table[words[at]]]
-            for lo in range(0, len(at), 1 << 15):
-                some = at[lo : lo + (1 << 15)]
-                around = np.minimum(some[:, None] + np.arange(high), len(words) - 1)
-                some = some[table[words[around]].sum(axis=1) >= need]
-                for steps, odd, stages, holders in tables if len(some) else ():
-                    left, walk = some, self._walk(walkable, some, steps, odd)
-                    keys, keep = next(walk), None
-                    for s, stage in enumerate(stages):
-                        if s:
-                            keys = walk.send(keep)
-                        place = np.minimum(np.searchsorted(stage, keys), len(stage) - 1)
-                        keep = stage[place] == keys
-                        left = left[keep]
-                        if not len(left):
-                            break
-                    else:
-                        for p, k in zip(left.tolist(), keys[keep].tolist()):
-                            found.update((p, n) for n in holders.get(k, ()))
-        return found
+        for size, own in sorted(rows.items()):
+            own.sort()
+            hashes = np.array([r[0] for r in own], dtype=np.uint64)
+            keys, first = np.unique(hashes, return_index=True)
+            tables.append((size, keys, np.append(first, len(own)), np.array([r[1] for r in own]), np.array([r[2] for r in own])))
+        return tables
+
+    def _ranges(self, words: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """Document, item, first and last word (exclusive) of ranges that hold a piece and enough words."""
+        sizes, most = np.array([len(t) for t in self.items]), np.array(self.most)
+        found = [np.zeros((4, 0), dtype=np.int64)]
+        counted = np.concatenate([[0], np.cumsum(words > 0)])
+        for size, keys, first, owners, places in self.tables:
+            at = np.flatnonzero(counted[size:] - counted[:-size] == size) if len(words) >= size else np.zeros(0, dtype=np.int64)
+            if not len(at):
+                continue
+            hashes = _grams(words, size)[at]
+            key = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+            right = keys[key] == hashes
+            at, key = at[right], key[right]
+            # A piece that many items share gives a hit for each.
+            chunk = np.cumsum(first[key + 1] - first[key]) // _SOME
+            for some in np.split(np.arange(len(at)), np.flatnonzero(chunk[1:] != chunk[:-1]) + 1) if len(at) else ():
+                k = key[some]
+                many = first[k + 1] - first[k]
+                row = np.repeat(first[k] - np.cumsum(many) + many, many) + np.arange(many.sum())
+                hit, n = np.repeat(at[some], many), owners[row]
+                doc = np.searchsorted(bounds, hit, side="right") - 1
+                start = hit - places[row]
+                low, high = np.maximum(start - most[n], bounds[doc]), np.minimum(start + sizes[n] + most[n], bounds[doc + 1])
+                found.append(np.unique(np.stack([n, doc, low, high]), axis=1))
+        found = np.unique(np.concatenate(found, axis=1), axis=1)
+        for part in np.split(found, np.flatnonzero(found[0, 1:] != found[0, :-1]) + 1, axis=1) if found.size else ():
+            n, (doc, low, high) = int(part[0, 0]), part[1:]
+            own, need = np.zeros(len(self.vocabulary) + 1, dtype=bool), sizes[n] - most[n]
+            own[self.items[n]] = True
+            width, keep = int(sizes[n] + 2 * most[n]), []
+            step = max(1, (_SOME << 6) // width)
+            for lo in range(0, len(low), step):
+                place = low[lo : lo + step, None] + np.arange(width)
+                inside = place < high[lo : lo + step, None]
+                keep.append((own[words[np.minimum(place, len(words) - 1)]] & inside).sum(axis=1) >= need)
+            keep = np.concatenate(keep)
+            open_doc, a, b = -1, 0, 0
+            for d, x, y in zip(doc[keep].tolist(), low[keep].tolist(), high[keep].tolist()):
+                if d == open_doc and x <= b:
+                    b = max(b, y)
+                    continue
+                if open_doc >= 0:
+                    yield open_doc, n, a, b
+                open_doc, a, b = d, x, y
+            if open_doc >= 0:
+                yield open_doc, n, a, b
 
     def find(self, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
         """Rows of text number, item number, first word, words, distance: the best of each pair."""
@@ -268,21 +224,19 @@ class Index:
             return []
         bounds = np.searchsorted(at, offsets)
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        lists: dict[int, list[int]] = {}
-        for p, n in sorted(self._candidates(ids)):
-            doc = int(np.searchsorted(bounds, p, side="right")) - 1
-            end = min(int(bounds[doc + 1]), p + len(self.items[n]) + self.most[n])
+        for doc, n, low, high in self._ranges(ids, bounds):
+            item, own = self.items[n].tolist(), set(self.items[n].tolist())
+            around = ids[low:high].tolist()
+            # The closest run may start with a word of the item: a first word that is none is not needed.
+            close = min(((d, s) for s, d in enumerate(start_distances(item, around)) if around[s] in own), default=None)
+            if close is None or close[0] > self.most[n]:
+                continue
             before = best.get((doc, n))
-            if before is not None and before[0] == 0:
+            if before is not None and before[:2] <= (close[0], low + close[1] - int(bounds[doc])):
                 continue
-            item = lists.get(n)
-            if item is None:
-                item = lists[n] = self.items[n].tolist()
-            hit = edit_end(item, ids[p:end].tolist(), self.most[n])
+            hit = edit_end(item, around[close[1] :], self.most[n])
             if hit is not None:
-                row = (hit[0], p - int(bounds[doc]), hit[1])
-                if before is None or row < before:
-                    best[doc, n] = row
+                best[doc, n] = (hit[0], low + close[1] - int(bounds[doc]), hit[1])
         return [(doc, n, start, size, distance) for (doc, n), (distance, start, size) in best.items()]
 
 
@@ -298,21 +252,22 @@ def _pieces(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
         yield first, texts[first:]
 
 
-def _blocks(items: DataFrame, similarity: float, recall: float, item_key: str, item_text: str) -> Iterator[Index]:
+def _blocks(items: DataFrame, similarity: float, item_key: str, item_text: str) -> Iterator[Index]:
     """Indexes of blocks of items, each of bounded size."""
     own = items.select(F.col(item_key).alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null").distinct()
     size = own.agg(F.count("*").alias("n"), F.sum(F.octet_length("t")).alias("b")).first()
     blocks = max(1, math.ceil(size["n"] / BLOCK_ITEMS), math.ceil((size["b"] or 0) / BLOCK_CHARS))
     part = F.pmod(F.xxhash64("t", "i"), F.lit(blocks))
     for b in range(blocks):
-        yield Index(sorted((r["i"], r["t"]) for r in own.where(part == b).collect()), similarity, recall)
+        yield Index(sorted((r["i"], r["t"]) for r in own.where(part == b).collect()), similarity)
 
 
 def holding(
     documents: DataFrame, items: DataFrame, similarity: float = 0.8, recall: float = 0.998,
     text: str = "text", item_key: str = "item_id", item_text: str = "text",
 ) -> Column:
-    """Condition that is true for documents that hold any item; made without a shuffle."""
+    """Condition that is true for documents that hold any item; made without a shuffle. ``recall`` is kept for
+    callers and sets a lower bound only: all are found."""
     spark = documents.sparkSession
     small_batches(spark)
 
@@ -331,7 +286,7 @@ def holding(
         return holds(F.col(text))
 
     found = F.lit(False)
-    for index in _blocks(items, similarity, recall, item_key, item_text):
+    for index in _blocks(items, similarity, item_key, item_text):
         found = found | condition(index)
     return found
 
@@ -340,7 +295,8 @@ def find_items(
     documents: DataFrame, items: DataFrame, similarity: float = 0.8, recall: float = 0.998,
     key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text",
 ) -> DataFrame:
-    """One row per document and item found: doc_id, item_id, start_word, n_words, distance, similarity."""
+    """One row per document and item found: doc_id, item_id, start_word, n_words, distance, similarity. ``recall`` is
+    kept for callers and sets a lower bound only: all are found."""
     spark = documents.sparkSession
     small_batches(spark)
     kind, item_kind = documents.schema[key].dataType, items.schema[item_key].dataType
@@ -350,7 +306,7 @@ def find_items(
     )
     rows = documents.select(F.col(key), F.col(text).alias("_text")).where(F.length("_text") > 0)
     out = None
-    for index in _blocks(items, similarity, recall, item_key, item_text):
+    for index in _blocks(items, similarity, item_key, item_text):
         shared = spark.sparkContext.broadcast(index)
 
         def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:

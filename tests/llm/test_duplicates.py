@@ -177,6 +177,49 @@ def test_items_are_found_up_to_the_distance(documents, make):
     assert {r["doc_id"] for r in held} == {d for d, _ in pairs}
 
 
+def test_start_distances_equal_the_full_table():
+    r = random.Random(3)
+    for _ in range(500):
+        a, b = [r.randrange(4) for _ in range(r.randint(1, 9))], [r.randrange(4) for _ in range(r.randrange(15))]
+        want = [min(plain_distance(a, b[s:])) for s in range(len(b))]
+        assert decontaminate.start_distances(a, b) == want
+
+
+@pytest.mark.parametrize("size", [5, 6, 9, 12, 19, 30, 59, 120, 200])
+def test_every_item_within_the_distance_is_found(size):
+    """Recall by item length, with lost heads, lost tails and scattered edits at the threshold."""
+    r = random.Random(size)
+    items = [words(r, size, 150) for _ in range(12)]
+    index, most = decontaminate.Index([(i, " ".join(t)) for i, t in enumerate(items)]), size // 5
+    texts, owners = [], []
+    for n, item in enumerate(items):
+        for kind in ("head", "tail", "spread", "random"):
+            own = list(item)
+            if kind == "head":
+                own = own[most:]
+            elif kind == "tail":
+                own = own[: size - most]
+            elif kind == "spread":
+                for e in range(most):
+                    own[(2 * e + 1) * size // (2 * most)] = f"x{e}"
+            else:
+                for e in range(most):
+                    p = r.randrange(len(own))
+                    own[p : p + r.randrange(2)] = [f"y{e}"] * r.randrange(2)
+            texts.append(" ".join(words(r, 25, 150) + own + words(r, 25, 150)))
+            owners.append(n)
+    found = {(d, n): (start, length, distance) for d, n, start, length, distance in index.find(texts)}
+    assert all((d, n) in found for d, n in enumerate(owners))
+    for d, n in list(enumerate(owners))[:12]:  # and the closest run, the first of such, as by brute force
+        own, best = texts[d].split(), None
+        for s in range(len(own)):
+            if own[s] in items[n]:
+                row = plain_distance(items[n], own[s : s + size + most])
+                if best is None or min(row) < best[2]:
+                    best = (s, row.index(min(row)), min(row))
+        assert found[d, n] == best
+
+
 def test_no_items_and_no_documents(documents, make):
     none = make([], "item_id bigint, text string")
     assert decontaminate.find_items(documents(["a b c"]), none).count() == 0
