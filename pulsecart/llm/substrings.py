@@ -15,7 +15,10 @@ smaller id, or earlier in the same row. Matches never cross rows.
    but the earliest repeat.
 4. The repeats of each row are merged to runs and taken out.
 
-Shards are worked off in blocks of ``SHARD`` bytes; fragments with one anchor hash stay together.
+Shards are worked off in blocks of ``SHARD`` bytes; fragments with one anchor hash stay together, unless
+they may be more than ``SHARD`` bytes. Such crowded hashes are counted before the fragments are dealt. Their
+fragments are dealt by hash and content, so equal ones still meet; the windows of the different ones
+meet by a 128-bit cryptographic hash of their bytes, one for each block, and all but the earliest repeat.
 
 Edge cases: null and empty texts have no bytes. Texts shorter than ``length`` lose nothing. Rows with a
 null id take no part: they lose nothing, and nothing is removed because of them. Ids are to be
@@ -25,6 +28,7 @@ out of the result.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterator
 
@@ -39,7 +43,9 @@ from pulsecart.workspace import materialise, run_folder
 
 SHARD = 2 << 20
 ANCHOR = 20  # bytes of the substrings whose hashes are compared
+BUCKETS = 1 << 16  # of anchor hashes, for a first count
 _CHUNK = 4 << 20
+_OPEN = 50_000  # windows of crowded hashes held at once
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _FACTOR = np.uint64(0x100000001B3)
 
@@ -197,16 +203,29 @@ def _runs(docs: np.ndarray, lows: np.ndarray, highs: np.ndarray) -> pd.DataFrame
 
 
 def _removals(frames: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
-    """From fragments sorted by hash, fragment, doc and start: ranges of bytes to remove."""
+    """From fragments sorted by hash, fragment, doc and start: ranges of bytes to remove. Ranges with a key are windows
+    of crowded hashes, to be removed if an equal key is earlier."""
     block, own, size, open_hash, last = [], [], 0, None, None
     whole: list[tuple[int, int, int]] = []
+    windows: dict[bytes, tuple[int, int]] = {}  # earliest of the windows held
+
+    def opened() -> pd.DataFrame:
+        docs = np.array([w[0] for w in windows.values()], dtype=np.int64)
+        lows = np.array([w[1] for w in windows.values()], dtype=np.int64)
+        return pd.DataFrame({"doc": docs, "low": lows, "high": lows + length, "key": list(windows)})
 
     def solved() -> pd.DataFrame:
         docs = np.array([b[1] for b in block], dtype=np.int64)
         starts = np.array([b[2] for b in block], dtype=np.int64)
         doc, place = repeats([b[0] for b in block], docs, starts, length) if block else (docs, starts)
         more = np.array(whole, dtype=np.int64).reshape(-1, 3)
-        return _runs(np.append(doc, more[:, 0]), np.append(place, more[:, 1]), np.append(place + length, more[:, 2]))
+        found = _runs(np.append(doc, more[:, 0]), np.append(place, more[:, 1]), np.append(place + length, more[:, 2]))
+        return found.assign(key=None)
+
+    def ranges() -> pd.DataFrame:
+        nonlocal whole
+        more, whole = np.array(whole, dtype=np.int64), []
+        return _runs(more[:, 0], more[:, 1], more[:, 2]).assign(key=None)
 
     def close() -> None:
         """Windows that are equal have one anchor at one place in them, so an anchor with a single
@@ -218,7 +237,7 @@ def _removals(frames: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFr
         own.clear()
 
     for frame in frames:
-        for h, f, d, s, n in zip(*(frame[c].tolist() for c in ("hash", "fragment", "doc", "start", "bytes"))):
+        for h, f, d, s, n, crowded in zip(*(frame[c].tolist() for c in ("hash", "fragment", "doc", "start", "bytes", "crowded"))):
             if f is None or (h == open_hash and f == last):
                 whole.append((d, s, s + n))
                 continue
@@ -228,14 +247,46 @@ def _removals(frames: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFr
                     yield solved()
                     block, size, whole = [], 0, []
                 open_hash = h
-            own.append((f, d, s))
             last = f
+            if not crowded:
+                own.append((f, d, s))
+                continue
+            for i in range(len(f) - length + 1):
+                key, here = hashlib.blake2b(f[i : i + length], digest_size=16).digest(), (d, s + i)
+                known = windows.setdefault(key, here)
+                if known is not here:
+                    windows[key], later = min(known, here), max(known, here)
+                    whole.append((later[0], later[1], later[1] + length))
+            if len(windows) > _OPEN:
+                yield opened()
+                windows.clear()
+            if len(whole) > 200_000:
+                yield ranges()
         if len(whole) > 200_000:
-            more = np.array(whole, dtype=np.int64)
-            yield _runs(more[:, 0], more[:, 1], more[:, 2])
-            whole = []
+            yield ranges()
     close()
     yield solved()
+    if windows:
+        yield opened()
+
+
+def _crowded(found: DataFrame, length: int) -> DataFrame:
+    """Anchor hashes whose fragments may be more than ``SHARD`` bytes together, equal ones included.
+
+    Buckets of hashes are counted first, so few hashes are shuffled."""
+    sizes = found.select("hash", (F.col("window").bitwiseAND(255) + length - 1).alias("bytes"))
+    bucket = F.pmod(F.xxhash64("hash"), F.lit(BUCKETS))
+    full = sizes.groupBy(bucket.alias("bucket")).agg(F.sum("bytes").alias("bytes")).where(F.col("bytes") > SHARD)
+    full = materialise(full.select("bucket"), "buckets")
+    counted = sizes.withColumn("bucket", bucket).join(full, "bucket", "left_semi").groupBy("hash").agg(F.sum("bytes").alias("bytes"))
+    return materialise(counted.where(F.col("bytes") > SHARD).select("hash", F.lit(True).alias("crowded")), "crowded")
+
+
+def _dealt(fragments: DataFrame, crowded: DataFrame) -> DataFrame:
+    """Fragments by hash, those of crowded hashes by hash and content."""
+    marked = fragments.join(crowded, "hash", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))
+    by = F.when(F.col("crowded"), F.xxhash64("fragment")).otherwise(0)
+    return marked.repartition("hash", by).sortWithinPartitions("hash", "fragment", "doc", "start")
 
 
 def find(documents: DataFrame, length: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -272,11 +323,14 @@ def find(documents: DataFrame, length: int = 100, key: str = "doc_id", text: str
         .mapInPandas(lambda f: _fragments(f, length), "hash bigint, fragment binary, doc bigint, start bigint, bytes bigint")
     )
     removed = materialise(
-        fragments.repartition("hash").sortWithinPartitions("hash", "fragment", "doc", "start")
-        .mapInPandas(lambda f: _removals(f, length), "doc bigint, low bigint, high bigint"),
+        _dealt(fragments, _crowded(found, length))
+        .mapInPandas(lambda f: _removals(f, length), "doc bigint, low bigint, high bigint, key binary"),
         "removals",
     )
-    runs = removed.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("runs"))
+    earlier = F.row_number().over(Window.partitionBy("key").orderBy("doc", "low"))
+    equal = removed.where("key is not null").withColumn("number", earlier).where("number > 1")
+    runs = removed.where("key is null").select("doc", "low", "high").union(equal.select("doc", "low", "high"))
+    runs = runs.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("runs"))
     joined = texts.join(runs, "doc", "left")
     return joined.select(F.col("doc").cast(documents.schema[key].dataType).alias(key), "text", "runs")
 

@@ -116,6 +116,39 @@ def test_substrings_equal_brute_force(documents, length):
     assert got == plain_cut(texts, length)
 
 
+@pytest.mark.parametrize("shard", [500, 20_000])
+def test_substrings_of_crowded_anchors(documents, monkeypatch, shard):
+    """A phrase in many different surroundings: equal to brute force, also with copies and with windows that repeat."""
+    monkeypatch.setattr(substrings, "SHARD", shard)
+    r = random.Random(shard)
+    phrase = "the boilerplate phrase of sixty bytes that many documents do"
+    texts = [" ".join(words(r, 25)) + phrase + " ".join(words(r, 25)) for _ in range(300)]
+    texts += [t[r.randrange(40) :] for t in texts[:60]] + texts[:20] + [phrase + "é" * 60 + phrase + "é" * 60]
+    r.shuffle(texts)
+    found = substrings.remove(substrings.find(documents(texts))).orderBy("doc_id").collect()
+    got = [(r["cut"]["n_bytes"], r["cut"]["n_removed"], r["cut"]["n_spans"], bytes(r["cut"]["kept"])) for r in found]
+    assert got == plain_cut(texts, 100)
+
+
+def test_crowded_anchors_are_dealt_to_many_tasks(spark, make, monkeypatch):
+    monkeypatch.setattr(substrings, "SHARD", 5_000)
+    found = make([(h, (5 << 8) | 81) for h in [7] * 100 + [8] * 3], "hash bigint, window bigint")
+    crowded = substrings._crowded(found, 100)
+    assert [r["hash"] for r in crowded.collect()] == [7]
+    rows = [(h, bytes([i % 50, h]) * 60, i, 0, 120) for h in (7, 8) for i in range(100)]
+    fragments = spark.createDataFrame(rows, "hash bigint, fragment binary, doc bigint, start bigint, bytes bigint")
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", "20")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        dealt = substrings._dealt(fragments, crowded).selectExpr("*", "spark_partition_id() AS part").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+        spark.conf.set("spark.sql.adaptive.enabled", before[1])
+    assert len({r["part"] for r in dealt if r["hash"] == 7}) > 5 and len({r["part"] for r in dealt if r["hash"] == 8}) == 1
+    assert all(len({r["part"] for r in dealt if (r["hash"], r["fragment"]) == x}) == 1 for x in {(r["hash"], r["fragment"]) for r in dealt})
+
+
 def test_substrings_of_odd_rows(make):
     line = "x y z " * 40
     rows = [(None, line), (3, line), (3, line), (4, line), (5, None)]
