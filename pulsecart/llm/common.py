@@ -46,15 +46,17 @@ def pieces(text: Column, size: int, most: int) -> Column:
 def balanced_sample(rows: DataFrame, label: str, key: str, cap: int, most_labels: int = 1000) -> DataFrame:
     """About ``cap`` rows of each label, chosen by a hash of the key, so the same rows every time.
 
-    Labels beyond the ``most_labels`` commonest are left out. Only the label counts reach the
-    driver. A label with fewer rows keeps them all.
+    Every label takes part. With more than ``most_labels`` of them, each brings fewer rows, but 20 at
+    least. Only the label counts reach the driver. A label with fewer rows keeps them all.
     """
     counts = (
         rows.where(F.col(label).isNotNull()).groupBy(label).count()
-        .orderBy(F.desc("count"), label).limit(most_labels).collect()
+        .orderBy(F.desc("count"), label).collect()
     )
     if not counts:
         return rows.where(F.lit(False))
+    if len(counts) > most_labels:
+        cap = min(cap, max(20, cap * most_labels // len(counts)))
     share = F.create_map(*[F.lit(x) for r in counts for x in (r[label], min(1.0, cap / r["count"]))])
     draw = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return rows.where(F.col(label).isNotNull() & (draw < F.element_at(share, F.col(label))))

@@ -137,8 +137,8 @@ def fit(
     rows: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang",
     cap: int = 1000, piece: int = 250, most_pieces: int = 8, most_languages: int = 200,
 ) -> Model:
-    """Train on a bounded sample: about ``cap`` rows of each of the ``most_languages`` commonest
-    languages, each with at most ``most_pieces`` pieces of ``piece`` characters spread over the text."""
+    """Train on a bounded sample: about ``cap`` rows of each language, fewer if there are more than
+    ``most_languages``, each with at most ``most_pieces`` pieces of ``piece`` characters spread over the text."""
     rows = rows.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.col(lang).alias("_lang")).where(
         F.col("_text").isNotNull() & F.col("_lang").isNotNull() & F.col("_key").isNotNull()
     )

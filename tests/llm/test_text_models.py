@@ -94,6 +94,14 @@ def test_language_learns_from_labelled_rows_only(make):
     assert empty.predict("abc") == ("und", 0.0, True)
 
 
+def test_no_language_is_left_out(make):
+    """Of many languages each brings fewer rows."""
+    rows = [(n * 1000 + i, spoken(x), x) for n, x in enumerate(LANGUAGES) for i in range(100 - 20 * n)]
+    model = language.fit(make(rows, "doc_id bigint, text string, lang string"), cap=60, most_languages=1)
+    assert model.languages == sorted(LANGUAGES)
+    assert [model.predict(spoken(x))[0] for x in LANGUAGES] == list(LANGUAGES)
+
+
 def test_a_long_text_is_read_whole(language_model):
     long = spoken("aa", 20_000) + " " + spoken("bb", 200_000)
     assert language_model.predict(long)[0] == "bb"
