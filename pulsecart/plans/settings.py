@@ -7,6 +7,8 @@ TIE = ["event_id"]
 
 ALERT_WINDOW, ALERT_SLIDE, ALERT_BUCKET = "6 hours", "1 hour", "3 hours"
 TOLERANCE = "30 days"
+ARRIVAL_LIFE = "200 days"  # of a side in the join by arrival
+SEEN_FOR = "24 hours"
 
 SALE_DAY, SALE_WORD = "1996-05-12", "anvil"
 KEYWORD = "ring"

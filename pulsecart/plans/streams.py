@@ -2,22 +2,22 @@
 
 from __future__ import annotations
 
-from datetime import date, timedelta
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pulsecart.functions import within_days
+from pulsecart.operators import activity
 from pulsecart.operators.routing import ORDER_TOPIC
 from pulsecart.operators.sales import wide_rows, with_user
 from pulsecart.plans import alerts as batch_alerts
 from pulsecart.plans.activity import FILLED
 from pulsecart.plans.changes import FIRST_ROWS, USER_LATEST, SQL as CHANGES_SQL
-from pulsecart.plans.sales import SALES, with_product_fields
+from pulsecart.plans.sales import DETAIL_ID, SALES, with_product_fields
 from pulsecart.plans.settings import (
     ALERT_BUCKET,
     ALERT_SLIDE,
     ALERT_WINDOW,
+    ARRIVAL_LIFE,
     AS_OF,
+    SEEN_FOR,
     TIE,
     TOLERANCE,
 )
@@ -25,7 +25,11 @@ from pulsecart.schemas import ORDER_INFO
 from pulsecart.sources import adapters
 from pulsecart.sources.tables import LAYOUT, read_table, stream_table
 from pulsecart.sources.topics import stream_topic
-from pulsecart.streaming import alerts, changes, daily_active, sales, users
+from pulsecart.sinks.keyed_table import KeyedTable
+from pulsecart.sinks.outcomes import write_items
+from pulsecart.sinks.preview import PREVIEW_ROWS
+from pulsecart.streaming import alerts, arrivals, changes, daily_active, sales, users
+from pulsecart.streaming.fan_out import fan_out
 from pulsecart.streaming.runtime import drain, drain_to_files
 from pulsecart.workspace import run_folder
 
@@ -49,31 +53,104 @@ def _dau_table(spark: SparkSession, startup: DataFrame, folder: str) -> DataFram
     return table.read(columns=FILLED)
 
 
-def _slices(spark: SparkSession, sf: str, name: str, time: str, folder: str):
-    """Function that puts a time slice of a table into a folder, as one more file of a stream."""
-    rows = read_table(spark, sf, name)
+def _reach(spark: SparkSession, sf: str, name: str, time: str) -> tuple[int, int]:
+    """First and last time of a table, in microseconds."""
+    return tuple(read_table(spark, sf, name).agg(F.unix_micros(F.min(time)), F.unix_micros(F.max(time))).first())
+
+
+def _in_slices(rows: DataFrame, time: str, reach: tuple[int, int], parts: int, n: int) -> DataFrame:
+    """The n-th of equal parts of a stretch of time; rows beyond it are in the first or last part."""
+    first, last = reach
+    at = F.expr(f"(unix_micros({time}) - {first}) * {parts} div {max(1, last - first)}")
+    return rows.where(F.least(F.greatest(at, F.lit(0)), F.lit(parts - 1)) == n)
+
+
+def _put(rows: DataFrame, folder: str) -> None:
+    """A slice of a table as more files of a stream, each task with its own file."""
+    rows.write.mode("append").parquet(folder)
 
-    def put(first: str, last: str) -> None:
-        rows.filter(within_days(time, first, last)).coalesce(1).write.mode("append").parquet(folder)
 
-    return put
+def _grown(spark: SparkSession, name: str, folder: str) -> DataFrame:
+    """The files put so far as a stream; a run over available data takes the new ones in one batch."""
+    return spark.readStream.schema(LAYOUT[name]).parquet(f"{folder}/{name}")
+
+
+DAU_SLICES, FAN_SLICES, SALE_SLICES = 5, 4, 3
 
 
 def stream_dau_batches(spark, sf):
-    """The same from five batches, one slice of days each, with a restart after the third."""
+    """The same from five batches, one slice of time each, with a restart after every batch."""
     folder = run_folder(spark, "stream-dau-batches")
-    put = _slices(spark, sf, "events", "ts", f"{folder}/events")
-    cuts = ["2024-01-01", "2024-01-07", "2024-01-13", "2024-01-19", "2024-01-25", "2024-02-01"]
-    days = [(a, (date.fromisoformat(b) - timedelta(days=1)).isoformat()) for a, b in zip(cuts, cuts[1:])]
+    events, reach = read_table(spark, sf, "events"), _reach(spark, sf, "events", "ts")
     found = None
-    for part in (days[:3], days[3:]):
-        for first, last in part:
-            put(first, last)
-        events = spark.readStream.schema(LAYOUT["events"]).option("maxFilesPerTrigger", 1).parquet(f"{folder}/events")
-        found = _dau_table(spark, adapters.startup_log(events), folder)
+    for n in range(DAU_SLICES):
+        _put(_in_slices(events, "ts", reach, DAU_SLICES, n), f"{folder}/events")
+        found = _dau_table(spark, adapters.startup_log(_grown(spark, "events", folder)), folder)
     return found.select(*FILLED)
 
 
+def stream_dau_state(spark, sf):
+    """The first rows with Python state, in one batch."""
+    rows = daily_active.first_batch(_startup(spark, sf), TIE)
+    return drain_to_files(rows, "stream-dau-state").select(*FILLED)
+
+
+def stream_seen_set(spark, sf):
+    """What the state of that stream holds as seen at the end: devices whose first row is at most a day old."""
+    folder = run_folder(spark, "stream-seen")
+    rows = daily_active.first_batch(_startup(spark, sf), TIE, SEEN_FOR)
+    writer = rows.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/rows")
+    drain(writer, f"{folder}/checkpoint")
+    _, last = _reach(spark, sf, "events", "ts")
+    return daily_active.seen_set(spark, f"{folder}/checkpoint", (last or 0) // 1000)
+
+
+def stream_fan_out(spark, sf):
+    """Stage counts, a preview and the daily table from one pass over each batch.
+
+    Rows: the output, the batch (none for the table), an item of the output and its number.
+    """
+    folder = run_folder(spark, "stream-fan-out")
+    events, reach = read_table(spark, sf, "events"), _reach(spark, sf, "events", "ts")
+    table = daily_active.daily_active_table(spark, f"{folder}/table")
+    entry = "batch bigint, item string, n bigint"
+    counts = KeyedTable(spark, f"{folder}/counts", f"{entry}, id string", ["id"])
+    preview = KeyedTable(spark, f"{folder}/preview", f"{entry}, id string", ["id"])
+
+    def derive(batch: DataFrame) -> dict[str, DataFrame]:
+        days = [r[0] for r in batch.select("logdate").distinct().collect()]
+        unseen = batch.join(table.written_keys(days).distinct(), daily_active.DEVICE_DAY, "left_anti")
+        return {"raw": batch, "unseen": unseen, "first": activity.first_rows(unseen, TIE)}
+
+    def stored(rows: DataFrame, batch_id: int) -> DataFrame:
+        id_text = F.concat_ws("-", F.lit(str(batch_id)), "item")
+        return rows.select(F.lit(batch_id).cast("bigint").alias("batch"), "item", F.col("n").cast("bigint").alias("n"), id_text.alias("id"))
+
+    def count(frames, batch_id):
+        one = lambda name: frames[name].agg(F.lit(name).alias("item"), F.count("*").alias("n"))
+        rows = one("raw").unionByName(one("unseen")).unionByName(one("first"))
+        counts.write(stored(rows, batch_id), "counts", batch_id, unique=True)
+
+    def show(frames, batch_id):
+        rows = frames["first"].orderBy("ts", "mid").limit(PREVIEW_ROWS)
+        preview.write(stored(rows.select(F.concat_ws(" ", "mid", "logdate").alias("item"), F.col("ts").alias("n")), batch_id), "preview", batch_id, unique=True)
+
+    def store(frames, batch_id):
+        table.write(frames["first"], "startup", batch_id, unique=True)
+
+    sink = fan_out(spark, folder, {"counts": count, "preview": show, "table": store}, derive)
+    for n in range(FAN_SLICES):
+        _put(_in_slices(events, "ts", reach, FAN_SLICES, n), f"{folder}/events")
+        startup = adapters.startup_log(_grown(spark, "events", folder))
+        drain(startup.writeStream.foreachBatch(sink), f"{folder}/checkpoint")
+    by_day = table.read(columns=["logdate"]).groupBy("logdate").agg(F.count("*").alias("n"))
+    named = lambda rows, output: rows.select(F.lit(output).alias("output"), "batch", "item", "n")
+    return (
+        named(counts.read(), "counts").unionByName(named(preview.read(), "preview"))
+        .unionByName(named(by_day.select(F.lit(None).cast("bigint").alias("batch"), F.col("logdate").alias("item"), "n"), "table"))
+    )
+
+
 def stream_dau_arrival(spark, sf):
     """Which row is kept is left open on arrival, so only device and day are returned."""
     rows = daily_active.on_arrival(_startup(spark, sf), "40 days")
@@ -124,21 +201,62 @@ def stream_sale_detail(spark, sf):
     return drain_to_files(enriched, "stream-sales")
 
 
+def _sale_slices(spark: SparkSession, sf: str, folder: str, shift_days: int = 0):
+    """Put orders and details into their folders, slice by slice of time. Details are cut ``shift_days`` later than
+    orders, so that a batch of details holds some that are older than orders of the batch before."""
+    first, last = _reach(spark, sf, "orders", "o_orderdate")
+    later = shift_days * 86_400_000_000
+    for n in range(SALE_SLICES):
+        orders, details = read_table(spark, sf, "orders"), read_table(spark, sf, "lineitem")
+        _put(_in_slices(orders, "o_orderdate", (first, last), SALE_SLICES, n), f"{folder}/orders")
+        _put(_in_slices(details, "l_shipdate", (first + later, last + later), SALE_SLICES, n), f"{folder}/lineitem")
+        yield n
+
+
 def stream_sale_detail_late(spark, sf):
-    """The join over batches whose rows come in no order of time: orders and details by key remainder,
-    details the other way round. The delay covers the whole table, so no row is too late."""
+    """The join over three batches, with a restart after each, and details up to 20 days later than orders. The
+    delay covers that and the tolerance, so no row is too late and older state goes."""
     folder = run_folder(spark, "stream-sales-late")
-    for name, key, parts in (("orders", "o_orderkey", (0, 1, 2)), ("lineitem", "l_orderkey", (2, 1, 0))):
-        for n in parts:
-            rows = read_table(spark, sf, name).filter(F.col(key) % 3 == n)
-            rows.coalesce(1).write.mode("append").parquet(f"{folder}/{name}")
-    one = lambda name: (
-        spark.readStream.schema(LAYOUT[name]).option("maxFilesPerTrigger", 1).parquet(f"{folder}/{name}")
+    out = f"{folder}/rows"
+    for _ in _sale_slices(spark, sf, folder, shift_days=20):
+        orders = adapters.order_info(_grown(spark, "orders", folder))
+        details = adapters.order_detail_keys(_grown(spark, "lineitem", folder))
+        pairs = sales.live_pairs(orders, details, TOLERANCE, delay="60 days")
+        rows = wide_rows(with_product_fields(pairs, read_table(spark, sf, "part")))
+        drain(rows.writeStream.format("parquet").outputMode("append").option("path", out), f"{folder}/checkpoint")
+    return spark.read.schema(rows.schema).parquet(out)
+
+
+def stream_sale_arrival(spark, sf):
+    """The join by arrival, where a side is remembered from its last arrival on, over three batches."""
+    folder = run_folder(spark, "stream-sales-arrival")
+    out = f"{folder}/rows"
+    for _ in _sale_slices(spark, sf, folder):
+        orders = adapters.order_info(_grown(spark, "orders", folder))
+        details = adapters.order_detail_keys(_grown(spark, "lineitem", folder))
+        pairs = arrivals.arrival_pairs(orders, details, ARRIVAL_LIFE, clock="transport")
+        rows = pairs.select("o_id", "o_order_status", "o_user_id", "d_id", "d_sku_id", "d_sku_num")
+        drain(rows.writeStream.format("parquet").outputMode("append").option("path", out), f"{folder}/checkpoint")
+    return spark.read.schema(rows.schema).parquet(out)
+
+
+def bulk_outcomes(spark, sf):
+    """Two bulk writes of event documents, some of them unfit: what became of each item."""
+    number = F.col("event_id")
+    events = read_table(spark, sf, "events").select(
+        F.when(number % 101 == 0, F.repeat(F.lit("x"), F.lit(600)))
+        .when(F.col("event_type") != "signup", F.col("user_id").cast("string")).alias("id"),
+        F.when(number % 13 == 0, "n/a").otherwise(F.col("value").cast("string")).alias("amount"),
+        F.when(number % 17 != 0, F.col("event_type")).alias("kind"), number.cast("string").alias("seq"), number.alias("event_id"),
     )
-    orders, details = adapters.order_info(one("orders")), adapters.order_detail_keys(one("lineitem"))
-    pairs = sales.live_pairs(orders, details, TOLERANCE, delay="4000 days")
-    named = with_product_fields(pairs, read_table(spark, sf, "part"))
-    return drain_to_files(wide_rows(named), "stream-sales-late")
+    schema = "id string, amount double, kind string, seq bigint"
+    table = KeyedTable(spark, run_folder(spark, "bulk"), schema, ["id"])
+    found = [
+        write_items(table, events.where(F.col("event_id") % 2 == batch), "events", batch, ["seq"], ["kind"])
+        .select(F.lit(batch).cast("bigint").alias("batch"), "outcome", "reason", "items")
+        for batch in (0, 1)
+    ]
+    return found[0].unionByName(found[1])
 
 
 def stream_sale_table(spark, sf):
@@ -183,10 +301,15 @@ QUERIES = {
     "stream_dau_batches": stream_dau_batches,
     "stream_dau_arrival": stream_dau_arrival,
     "stream_dau_first_batch": stream_dau_first_batch,
+    "stream_dau_state": stream_dau_state,
+    "stream_seen_set": stream_seen_set,
+    "stream_fan_out": stream_fan_out,
     "stream_alerts": stream_alerts,
     "stream_alerts_throttled": stream_alerts_throttled,
     "stream_sale_detail": stream_sale_detail,
     "stream_sale_detail_late": stream_sale_detail_late,
+    "stream_sale_arrival": stream_sale_arrival,
+    "bulk_outcomes": bulk_outcomes,
     "stream_sale_table": stream_sale_table,
     "stream_user_latest": stream_user_latest,
     "stream_cdc_orders": stream_cdc_orders,
@@ -201,6 +324,25 @@ SQL = {
     "stream_dau_batches": FIRST_ROWS,
     "stream_dau_arrival": f"SELECT mid, logdate FROM ({FIRST_ROWS})",
     "stream_dau_first_batch": FIRST_ROWS,
+    "stream_dau_state": FIRST_ROWS,
+    # A device and day counts as seen for 24 hours from its first row.
+    "stream_seen_set": """SELECT mid, logdate, until FROM (
+        SELECT user_id::VARCHAR AS mid, strftime(ts, '%Y-%m-%d') AS logdate,
+               (epoch_us(min(ts)) // 1000 + 86400000)::BIGINT AS until
+        FROM events GROUP BY 1, 2)
+        WHERE until > (SELECT epoch_us(max(ts)) // 1000 FROM events)""",
+    "stream_fan_out": f"""WITH reach AS (SELECT epoch_us(min(ts)) AS first, epoch_us(max(ts)) AS last FROM events),
+        e AS (SELECT user_id::VARCHAR AS mid, strftime(ts, '%Y-%m-%d') AS logdate, epoch_us(ts) // 1000 AS ms,
+                     least((epoch_us(ts) - first) * {FAN_SLICES} // greatest(1, last - first), {FAN_SLICES - 1})::BIGINT AS batch
+              FROM events, reach),
+        f AS (SELECT *, batch = min(batch) OVER (PARTITION BY mid, logdate) AS unseen,
+                     row_number() OVER (PARTITION BY mid, logdate ORDER BY ms, batch) = 1 AS one FROM e),
+        best AS (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY ms, mid) AS nth FROM f WHERE one)
+        SELECT 'counts' AS output, batch, 'raw' AS item, count(*) AS n FROM f GROUP BY batch
+        UNION ALL SELECT 'counts', batch, 'unseen', count(*) FILTER (unseen) FROM f GROUP BY batch
+        UNION ALL SELECT 'counts', batch, 'first', count(*) FILTER (one) FROM f GROUP BY batch
+        UNION ALL SELECT 'preview', batch, mid || ' ' || logdate, ms FROM best WHERE nth <= {PREVIEW_ROWS}
+        UNION ALL SELECT 'table', NULL, logdate, count(*) FROM f WHERE one GROUP BY logdate""",
     "stream_alerts": f"""WITH {batch_alerts.ALERTS}
         SELECT mid || '_' || (ts // 60000)::VARCHAR AS alert_id, * FROM named WHERE {_CLOSED}""",
     "stream_alerts_throttled": f"""WITH {batch_alerts.ALERTS}
@@ -208,6 +350,32 @@ SQL = {
         QUALIFY row_number() OVER (PARTITION BY mid, ts // 10800000, dt ORDER BY ts DESC) = 1""",
     "stream_sale_detail": f"WITH {SALES} SELECT * FROM enriched",
     "stream_sale_detail_late": f"WITH {SALES} SELECT * FROM sales",
+    # Details before the order wait as long as none of the gaps up to the order reaches the lifetime.
+    "stream_sale_arrival": f"""WITH a AS (
+          SELECT o_orderkey, o_orderstatus, o_custkey, o_orderdate AS ordered, l_shipdate AS arrived,
+                 {DETAIL_ID} AS d_id, l_partkey, l_quantity,
+                 coalesce(lead(l_shipdate) OVER (PARTITION BY o_orderkey, l_shipdate < o_orderdate ORDER BY l_shipdate),
+                          o_orderdate) AS next
+          FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
+        b AS (SELECT *, max(CASE WHEN next - arrived >= INTERVAL {ARRIVAL_LIFE} THEN 1 ELSE 0 END) OVER (
+                PARTITION BY o_orderkey, arrived < ordered ORDER BY arrived
+                ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS broken FROM a)
+        SELECT o_orderkey::VARCHAR AS o_id, o_orderstatus AS o_order_status, o_custkey::VARCHAR AS o_user_id,
+               d_id, l_partkey::VARCHAR AS d_sku_id, l_quantity::VARCHAR AS d_sku_num
+        FROM b WHERE CASE WHEN arrived < ordered THEN broken = 0
+                          ELSE arrived - ordered < INTERVAL {ARRIVAL_LIFE} END""",
+    "bulk_outcomes": """WITH e AS (
+          SELECT event_id, event_id % 2 AS batch,
+                 CASE WHEN event_id % 101 = 0 THEN repeat('x', 600) WHEN event_type <> 'signup' THEN user_id::VARCHAR END AS id,
+                 CASE WHEN event_id % 101 = 0 THEN 'id too long' WHEN event_id % 17 = 0 THEN 'kind missing'
+                      WHEN event_id % 13 = 0 THEN 'amount malformed' END AS reason
+          FROM events),
+        fit AS (SELECT *, id IS NULL OR event_id = max(event_id) OVER (PARTITION BY batch, id) AS last FROM e WHERE reason IS NULL),
+        named AS (SELECT batch, CASE WHEN NOT last THEN 'replaced'
+            WHEN id IS NOT NULL AND batch = 1 AND id IN (SELECT id FROM fit WHERE batch = 0 AND id IS NOT NULL) THEN 'updated'
+            ELSE 'created' END AS outcome FROM fit)
+        SELECT batch, outcome, NULL::VARCHAR AS reason, count(*) AS items FROM named GROUP BY ALL
+        UNION ALL SELECT batch, 'rejected', reason, count(*) FROM e WHERE reason IS NOT NULL GROUP BY ALL""",
     "stream_sale_table": f"WITH {SALES} SELECT * FROM enriched",
     "stream_user_latest": USER_LATEST,
     "stream_cdc_orders": CHANGES_SQL["cdc_after_image"],

@@ -65,7 +65,7 @@ class KeyedTable:
             return False
         if isinstance(self.schema[self.keys[0]].dataType, T.StringType):
             rows = with_generated_ids(rows, self.keys[0], writer, str(batch_id))
-        self._append(rows if unique else last_by(rows, self._row_keys(), order))
+        self._append(rows if unique else last_by(rows, self.row_keys(), order))
         self._touch(done)
         return True
 
@@ -119,7 +119,7 @@ class KeyedTable:
         base = self._load(first, wanted)
         if not later:
             return base.select(*wanted)
-        keys = self._row_keys()
+        keys = self.row_keys()
         kept = base.join(self._load(later, keys).select(*keys), keys, "left_anti")
         latest = last_by(self._load(later, wanted), keys, [_WRITE])
         return kept.select(*wanted).unionByName(latest.select(*wanted))
@@ -134,7 +134,7 @@ class KeyedTable:
             if days is None or part in days
         ]
         folders = self._folders(rows, []) if days is None else [self._folder(*r) for r in rows]
-        return self._load(folders, self._row_keys()).select(*self._row_keys())
+        return self._load(folders, self.row_keys()).select(*self.row_keys())
 
     def parts(self) -> list[str]:
         """Days, or months, with published rows."""
@@ -142,7 +142,8 @@ class KeyedTable:
 
     # -- layout --------------------------------------------------------------------------------
 
-    def _row_keys(self) -> list[str]:
+    def row_keys(self) -> list[str]:
+        """Columns that tell one row from another: the keys, and the day if each day has its own."""
         extra = [self.day_column] if self.day_column and self.day_column not in self.keys else []
         return self.keys + extra
 
@@ -162,7 +163,7 @@ class KeyedTable:
         self._touch(f"{self.path}/published/{token}")
 
     def _load(self, folders: list[str], wanted: list[str]) -> DataFrame:
-        names = [f for f in self.schema if f.name in set(wanted) | set(self._row_keys())]
+        names = [f for f in self.schema if f.name in set(wanted) | set(self.row_keys())]
         layout = T.StructType(
             [*names, T.StructField(_PART, T.StringType()), T.StructField(_WRITE, T.StringType())]
         )

@@ -16,7 +16,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from pulsecart.functions import seconds_in
@@ -66,14 +66,15 @@ def earliest_so_far(startup: DataFrame, delay: str, tie: Sequence[str] = ()) ->
     return row.select("mid", "row.*").select(*DAILY_ACTIVE_COLUMNS)
 
 
-def _first_batch_processor(columns: list[str], order: list[str], keep_ms: int) -> StatefulProcessor:
+def _first_batch_processor(columns: list[str], order: list[str], keep_ms: int, wall_clock: bool) -> StatefulProcessor:
     class FirstBatch(StatefulProcessor):
-        """State of one device and day: only that it was seen, until the timer clears it."""
+        """State of one device and day: until when it counts as seen. Event time clears it by a timer; with the
+        wall clock, the state itself expires."""
 
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.handle = handle
-            seen = T.StructType([T.StructField("seen", T.BooleanType())])
-            self.seen = handle.getValueState("seen", seen)
+            until = T.StructType([T.StructField("until", T.LongType())])
+            self.seen = handle.getValueState("seen", until, ttlDurationMs=keep_ms if wall_clock else None)
 
         def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
             best = None
@@ -81,8 +82,10 @@ def _first_batch_processor(columns: list[str], order: list[str], keep_ms: int) -
                 chunk = chunk if best is None else pd.concat([best, chunk])
                 best = chunk.sort_values(order, kind="stable").head(1)
             if best is not None:
-                self.seen.update((True,))
-                self.handle.registerTimer(int(best["ts"].iloc[0]) + keep_ms)
+                since = timerValues.getCurrentProcessingTimeInMs() if wall_clock else int(best["ts"].iloc[0])
+                self.seen.update((since + keep_ms,))
+                if not wall_clock:
+                    self.handle.registerTimer(since + keep_ms)
                 yield best[columns]
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -95,24 +98,46 @@ def _first_batch_processor(columns: list[str], order: list[str], keep_ms: int) -
     return FirstBatch()
 
 
-def first_batch(startup: DataFrame, tie: Sequence[str] = (), keep: str = "48 hours") -> DataFrame:
+def first_batch(
+    startup: DataFrame, tie: Sequence[str] = (), keep: str = "48 hours", clock: str = "event"
+) -> DataFrame:
     """The earliest row of the first batch in which a device shows up on a day.
 
-    A device that was seen on a day is not passed again, even when an earlier row arrives later.
-    ``keep`` is how late rows may be, and how long state lives. Needs Python state;
-    :func:`first_batch_sink` gives the same rows from built-in operators.
+    A device that was seen on a day is not passed again for ``keep``, even when an earlier row arrives later.
+    With the ``event`` clock, ``keep`` counts from the row's own time and is also how late rows may be; with
+    ``processing``, it counts from the batch, as a store with expiring keys does (for streams that are stopped:
+    run over available data, such a stream does not end). Needs Python state, which
+    :func:`seen_set` reads; :func:`first_batch_sink` gives the same rows from built-in operators.
     """
-    rows = startup.withWatermark("event_time", keep).select(*DAILY_ACTIVE_COLUMNS, "event_time", *tie)
+    if clock not in ("event", "processing"):
+        raise ValueError("clock must be event or processing")
+    rows = startup.select(*DAILY_ACTIVE_COLUMNS, "event_time", *tie)
+    if clock == "event":
+        rows = rows.withWatermark("event_time", keep)
     order = ["ts", *tie] if tie else ["ts", *[c for c in DAILY_ACTIVE_COLUMNS if c != "ts"]]
     keep_ms = seconds_in(keep) * 1000
     return rows.groupBy(*DEVICE_DAY).transformWithStateInPandas(
-        statefulProcessor=_first_batch_processor(DAILY_ACTIVE_COLUMNS, order, keep_ms),
+        statefulProcessor=_first_batch_processor(DAILY_ACTIVE_COLUMNS, order, keep_ms, clock == "processing"),
         outputStructType=T.StructType.fromDDL(DAILY_ACTIVE),
         outputMode="Append",
-        timeMode="EventTime",
+        timeMode="EventTime" if clock == "event" else "ProcessingTime",
     )
 
 
+def seen_set(spark: SparkSession, checkpoint: str, as_of_ms: int | None = None) -> DataFrame:
+    """Devices and days that a :func:`first_batch` stream holds as seen: ``mid``, ``logdate``, ``until`` (ms).
+
+    Read from the state in the stream's checkpoint, as of its last finished batch, while it runs or later.
+    ``as_of_ms`` leaves out what has expired by then.
+    """
+    state = spark.read.format("statestore").option("stateVarName", "seen").load(checkpoint)
+    # State that expires by itself is stored with its time of expiry around the value.
+    expires = "ttlExpirationMs" in state.schema["value"].dataType.names
+    until = F.col("value.value.until" if expires else "value.until")
+    rows = state.select("key.mid", "key.logdate", until.alias("until"))
+    return rows if as_of_ms is None else rows.where(F.col("until") > as_of_ms)
+
+
 def daily_active_table(spark, path: str) -> KeyedTable:
     """The daily-active table: one row per device and day, stored by day."""
     return KeyedTable(spark, path, DAILY_ACTIVE, DEVICE_DAY, day_column="logdate")
