@@ -3,14 +3,17 @@
 Texts become words (A-Z lowered; ASCII other than letters and digits separates). A document holds
 an item of L words if some run of its words is within ``floor((1 - similarity) * L)`` word edits.
 
-All such runs are found, for items of any length:
-
-1. Pieces. An item is cut into one piece more than the edits it may have, so a run within the distance
-   holds one piece unchanged, moved from its place in the item by at most as many words. Pieces of the
-   items that occur in the words of a document give ranges in which a run may lie.
-2. Count filter. A run within the distance holds at least L minus that many words of the item, so its
-   range does too.
-3. Ranges of one item that overlap are one; the closest run of each range comes from the exact edit
+1. Windows. The L words from the start of such a run hold at least L minus its edits words of the item, so
+   only windows of the size of an item that hold as many of the items' words are gone into. The filter is exact.
+2. Embedding. A CGK random walk goes through words from a start: each step puts out the word it stands on, and a
+   random bit of the step and the word says whether it moves on. Walks that start together in a window and in an
+   item go on together up to an edit, and often meet again behind it, so a small edit distance becomes a small
+   Hamming distance of the outputs. All words of a window and of an item are starts, as a run may lack words anywhere.
+3. Bit sampling. A key is the outputs at ``SAMPLED`` steps; equal keys of a window and an item make a candidate.
+   This is repeated with other bits and steps. For each size of items, edited copies of its items at the threshold
+   (edits anywhere, lost heads, lost tails) measure the longest span of steps and the number of repetitions that
+   find them with the target ``recall``.
+4. Candidates of one item that overlap are one range; the closest run of each range comes from the exact edit
    distance, by bit-parallel dynamic programming.
 
 Items go to the tasks in blocks of bounded size; documents stay where they are, and each document is
@@ -26,6 +29,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -34,7 +38,11 @@ from pyspark.sql import functions as F
 
 from pulsecart.llm.common import small_batches
 
-BLOCK_ITEMS, BLOCK_CHARS = 20_000, 16 << 20
+SAMPLED = 3  # steps in a key
+SHORTEST = 4  # span of steps that keys are sampled from, at least
+MOST_REPEATS, TRIALS = 24, 60
+LIKE = 1.1  # most and least words of the items in a group
+BLOCK_ITEMS, BLOCK_CHARS = 20_000, 4 << 20
 _PIECE = 4 << 20
 _SOME = 1 << 15  # hits worked on at once
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -73,15 +81,6 @@ def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return mixed ^ (mixed >> np.uint64(31)), starts
 
 
-def _grams(words: np.ndarray, size: int) -> np.ndarray:
-    """Hash of each run of ``size`` words."""
-    out = np.zeros(len(words) - size + 1, dtype=np.uint64)
-    for i in range(size):
-        out = (out + words[i : i + len(out)].astype(np.uint64)) * _ODD
-        out ^= out >> np.uint64(29)
-    return out
-
-
 def edit_end(item: list[int], words: list[int], most: int) -> tuple[int, int] | None:
     """Least distance of the item to a prefix of the words, and that prefix' length (the shortest
     such), by bit-parallel dynamic programming; None if it exceeds ``most``."""
@@ -128,65 +127,197 @@ def start_distances(item: list[int], words: list[int]) -> list[int]:
     return out
 
 
+def _beyond(number: int, longest: int) -> np.ndarray:
+    """Words that occur nowhere, for walks that run over an end; different for each number."""
+    return np.arange(longest, dtype=np.uint64) + np.uint64((1 << 40) + number * (longest + 1))
+
+
+def _joined(parts: list[np.ndarray], longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Word lists in one line, each with room behind it for a walk, and the place of every word."""
+    line = [x for i, p in enumerate(parts) for x in (p.astype(np.uint64), _beyond(i, longest))]
+    heads = np.cumsum([0, *(len(p) + longest for p in parts)])[:-1]
+    return np.concatenate(line), np.concatenate([h + np.arange(len(p)) for h, p in zip(heads, parts)])
+
+
+def edited(item: np.ndarray, most: int, rng: np.random.Generator, trials: int) -> list[np.ndarray]:
+    """Copies of an item with ``most`` edits: anywhere, or all at its head, or all at its tail."""
+    found = []
+    for trial in range(trials):
+        words = item.tolist()
+        if trial % 6 == 4:
+            words = words[most:]
+        elif trial % 6 == 5:
+            words = words[: len(words) - most]
+        else:
+            for _ in range(most):
+                p = int(rng.integers(0, len(words)))
+                kind = int(rng.integers(0, 3))
+                if kind == 0:
+                    words[p] = 1 << 50
+                elif kind == 1:
+                    words.insert(p, 1 << 50)
+                elif len(words) > 1:
+                    words.pop(p)
+        found.append(np.array(words, dtype=np.uint64))
+    return found
+
+
+class Walk:
+    """One repetition: random bits of the steps, and the sampled steps."""
+
+    def __init__(self, rng: np.random.Generator, span: int):
+        self.longest = span
+        self.steps = np.sort(rng.choice(span, min(SAMPLED, span), replace=False)).tolist()
+        self.odd = rng.integers(1, 1 << 62, span, dtype=np.uint64) | np.uint64(1)
+
+    def keys(self, line: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Key of the walk from each start; the line has room for it behind every start."""
+        key = np.zeros(len(at), dtype=np.uint64)
+        for step in range(self.steps[-1] + 1):
+            word = (line[at] + np.uint64(1)) * self.odd[step]
+            if step in self.steps:
+                key = (key ^ word) * _ODD
+                key ^= key >> np.uint64(29)
+            at = at + ((word >> np.uint64(40)) & np.uint64(1)).view(np.int64)
+        return key
+
+
+@dataclass
+class Group:
+    """Items of one size: what their windows must hold, and for each walk the sorted keys of all their words."""
+
+    low: int
+    high: int
+    need: int
+    known: np.ndarray
+    walks: list[Walk]
+    tables: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]  # keys, their first rows, items, places
+    words: int
+
+
 class Index:
     """What the tasks need to find the items of one block."""
 
-    def __init__(self, items: list[tuple[int, str]], similarity: float = 0.8):
+    def __init__(self, items: list[tuple[int, str]], similarity: float = 0.8, recall: float = 0.998, seed: int = 11):
         if not 0 < similarity <= 1:
             raise ValueError("similarity must be above 0 and at most 1")
+        if not 0 < recall < 1:
+            raise ValueError("recall must be between 0 and 1")
         hashed = [(i, word_hashes(t.encode())[0]) for i, t in items]
         hashed = [(i, h) for i, h in hashed if len(h)]
         self.vocabulary = np.unique(np.concatenate([h for _, h in hashed])) if hashed else np.zeros(0, dtype=np.uint64)
         self.ids = [i for i, _ in hashed]
         self.items = [np.searchsorted(self.vocabulary, h) + 1 for _, h in hashed]
-        self.most = [max(0, math.floor((1 - similarity) * len(t) + 1e-9)) for t in self.items]
+        self.similarity, self.recall, self.seed = similarity, recall, seed
+        self.most = [self._edits(len(t)) for t in self.items]
         self.flags = np.zeros(1 << 16, dtype=bool)
         self.flags[(self.vocabulary >> np.uint64(48)).astype(np.int64)] = True
-        self.tables = self._tables()
-
-    def _tables(self) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """For each number of words: sorted hashes of the pieces, and their first row among the items and places, which
-        are in order of the hash."""
-        rows: dict[int, list[tuple[int, int, int]]] = {}
-        for n, (item, most) in enumerate(zip(self.items, self.most)):
-            count = most + 1
-            size = len(item) // count
-            hashes = _grams(item, size)
-            for j in range(count):
-                place = j * len(item) // count
-                rows.setdefault(size, []).append((int(hashes[place]), n, place))
+        self.groups = [self._group(low, high, own) for low, high, own in self._sizes()]
+
+    def _edits(self, size: int) -> int:
+        return max(0, math.floor((1 - self.similarity) * size + 1e-9))
+
+    def _sizes(self) -> list[tuple[int, int, list[int]]]:
+        """Least and most words, and items, of each group: items of one size, or of nearly one."""
+        sizes = sorted({len(t) for t in self.items})
+        groups: list[tuple[int, int, list[int]]] = []
+        for size in sizes:
+            own = [n for n, t in enumerate(self.items) if len(t) == size]
+            if groups and size <= LIKE * groups[-1][0]:
+                low, _, before = groups[-1]
+                groups[-1] = (low, size, before + own)
+            else:
+                groups.append((size, size, own))
+        return groups
+
+    def _group(self, low: int, high: int, own: list[int]) -> "Group":
+        known = np.zeros(len(self.vocabulary) + 1, dtype=bool)
+        for n in own:
+            known[self.items[n]] = True
+        walks = self._walks(low, own)
+        words = np.concatenate([self.items[n] for n in own])
+        owners = np.repeat(own, [len(self.items[n]) for n in own])
+        places = np.concatenate([np.arange(len(self.items[n])) for n in own])
+        # Walks of an item end with it: what lies behind is another word for each.
+        line, starts = _joined([self.items[n] for n in own], walks[0].longest)
         tables = []
-        for size, own in sorted(rows.items()):
-            own.sort()
-            hashes = np.array([r[0] for r in own], dtype=np.uint64)
-            keys, first = np.unique(hashes, return_index=True)
-            tables.append((size, keys, np.append(first, len(own)), np.array([r[1] for r in own]), np.array([r[2] for r in own])))
-        return tables
+        for walk in walks:
+            keys = walk.keys(line, starts)
+            order = np.argsort(keys, kind="stable")
+            distinct, first = np.unique(keys[order], return_index=True)
+            tables.append((distinct, np.append(first, len(order)), owners[order], places[order]))
+        return Group(low, high, low - self._edits(low), known, walks, tables, len(words))
+
+    def _walks(self, low: int, own: list[int]) -> list["Walk"]:
+        """The repetitions of a group: as many as find its edited items, with the longest span of steps that does."""
+        rng = np.random.default_rng([self.seed, low])
+        tried = [self.items[n] for n in own[:: max(1, len(own) // 6)][:6]]
+        copies = [(i, c) for i, item in enumerate(tried) for c in edited(item, self._edits(len(item)), rng, TRIALS)]
+        span = low
+        while True:
+            walks = [Walk(rng, span) for _ in range(MOST_REPEATS)]
+            item_line, item_starts = _joined(tried, span)
+            of_item = np.repeat(np.arange(len(tried)), [len(t) for t in tried])
+            copy_line, copy_starts = _joined([c for _, c in copies], span)
+            of_copy = np.repeat(np.arange(len(copies)), [len(c) for _, c in copies])
+            item_of = np.array([i for i, _ in copies])
+            first = np.full(len(copies), MOST_REPEATS)
+            for r, walk in enumerate(walks):
+                mine = walk.keys(item_line, item_starts) ^ (of_item.astype(np.uint64) * _ODD)
+                theirs = walk.keys(copy_line, copy_starts) ^ (item_of[of_copy].astype(np.uint64) * _ODD)
+                hit = np.unique(of_copy[np.isin(theirs, mine)])
+                first[hit] = np.minimum(first[hit], r)
+            # Every item's own edited copies must be found; the worst item counts.
+            needed = max(int(np.sort(first[item_of == i])[math.ceil(self.recall * (item_of == i).sum()) - 1]) for i in range(len(tried)))
+            if needed < MOST_REPEATS // 2 or span <= SHORTEST:
+                return walks[: min(MOST_REPEATS, 2 * needed + 1)]
+            span = max(SHORTEST, span // 2)
+
+    def _hits(self, words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Candidates: items, words of the texts, and the words of the items whose keys they have."""
+        n, known = len(words), words > 0
+        counted = np.zeros(n + 1 + max(g.high for g in self.groups), dtype=np.int32)
+        np.cumsum(known, out=counted[1 : n + 1])
+        counted[n + 1 :] = counted[n]
+        for group in self.groups:
+            enough = counted[group.high : group.high + n] - counted[:n] >= group.need
+            starts = np.flatnonzero(enough & known)
+            if not len(starts):
+                continue
+            own = np.zeros(n + 1, dtype=np.int32)
+            np.cumsum(group.known[words], out=own[1:])
+            ends = np.minimum(starts + group.high, n)
+            keep = own[ends] - own[starts] >= group.need
+            starts, ends = starts[keep], ends[keep]
+            if not len(starts):
+                continue
+            # All words of the windows are starts of walks.
+            cover = np.zeros(n + 1, dtype=np.int32)
+            np.add.at(cover, starts, 1)
+            np.add.at(cover, ends, -1)
+            at = np.flatnonzero((np.cumsum(cover[:-1]) > 0) & group.known[words])
+            line = np.concatenate([words.astype(np.uint64), _beyond(0, group.walks[0].longest)])
+            for walk, (keys, first, owners, places) in zip(group.walks, group.tables):
+                found = walk.keys(line, at)
+                key = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
+                right = np.flatnonzero(keys[key] == found)
+                # A key that many items share gives a hit for each.
+                chunk = np.cumsum(first[key[right] + 1] - first[key[right]]) // _SOME
+                for some in np.split(right, np.flatnonzero(chunk[1:] != chunk[:-1]) + 1) if len(right) else ():
+                    k = key[some]
+                    many = first[k + 1] - first[k]
+                    row = np.repeat(first[k] - np.cumsum(many) + many, many) + np.arange(many.sum())
+                    yield owners[row], np.repeat(at[some], many), places[row]
 
     def _ranges(self, words: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-        """Document, item, first and last word (exclusive) of ranges that hold a piece and enough words."""
+        """Document, item, first and last word (exclusive) of ranges that hold a candidate and enough words."""
         sizes, most = np.array([len(t) for t in self.items]), np.array(self.most)
         found = [np.zeros((4, 0), dtype=np.int64)]
-        counted = np.concatenate([[0], np.cumsum(words > 0)])
-        for size, keys, first, owners, places in self.tables:
-            at = np.flatnonzero(counted[size:] - counted[:-size] == size) if len(words) >= size else np.zeros(0, dtype=np.int64)
-            if not len(at):
-                continue
-            hashes = _grams(words, size)[at]
-            key = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
-            right = keys[key] == hashes
-            at, key = at[right], key[right]
-            # A piece that many items share gives a hit for each.
-            chunk = np.cumsum(first[key + 1] - first[key]) // _SOME
-            for some in np.split(np.arange(len(at)), np.flatnonzero(chunk[1:] != chunk[:-1]) + 1) if len(at) else ():
-                k = key[some]
-                many = first[k + 1] - first[k]
-                row = np.repeat(first[k] - np.cumsum(many) + many, many) + np.arange(many.sum())
-                hit, n = np.repeat(at[some], many), owners[row]
-                doc = np.searchsorted(bounds, hit, side="right") - 1
-                start = hit - places[row]
-                low, high = np.maximum(start - most[n], bounds[doc]), np.minimum(start + sizes[n] + most[n], bounds[doc + 1])
-                found.append(np.unique(np.stack([n, doc, low, high]), axis=1))
+        for n, hit, place in self._hits(words):
+            doc = np.searchsorted(bounds, hit, side="right") - 1
+            start = hit - place
+            low, high = np.maximum(start - most[n], bounds[doc]), np.minimum(start + sizes[n] + most[n], bounds[doc + 1])
+            found.append(np.unique(np.stack([n, doc, low, high]), axis=1))
         found = np.unique(np.concatenate(found, axis=1), axis=1)
         for part in np.split(found, np.flatnonzero(found[0, 1:] != found[0, :-1]) + 1, axis=1) if found.size else ():
             n, (doc, low, high) = int(part[0, 0]), part[1:]
@@ -252,22 +383,21 @@ def _pieces(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
         yield first, texts[first:]
 
 
-def _blocks(items: DataFrame, similarity: float, item_key: str, item_text: str) -> Iterator[Index]:
+def _blocks(items: DataFrame, similarity: float, recall: float, item_key: str, item_text: str) -> Iterator[Index]:
     """Indexes of blocks of items, each of bounded size."""
     own = items.select(F.col(item_key).alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null").distinct()
     size = own.agg(F.count("*").alias("n"), F.sum(F.octet_length("t")).alias("b")).first()
     blocks = max(1, math.ceil(size["n"] / BLOCK_ITEMS), math.ceil((size["b"] or 0) / BLOCK_CHARS))
     part = F.pmod(F.xxhash64("t", "i"), F.lit(blocks))
     for b in range(blocks):
-        yield Index(sorted((r["i"], r["t"]) for r in own.where(part == b).collect()), similarity)
+        yield Index(sorted((r["i"], r["t"]) for r in own.where(part == b).collect()), similarity, recall)
 
 
 def holding(
     documents: DataFrame, items: DataFrame, similarity: float = 0.8, recall: float = 0.998,
     text: str = "text", item_key: str = "item_id", item_text: str = "text",
 ) -> Column:
-    """Condition that is true for documents that hold any item; made without a shuffle. ``recall`` is kept for
-    callers and sets a lower bound only: all are found."""
+    """Condition that is true for documents that hold any item; made without a shuffle."""
     spark = documents.sparkSession
     small_batches(spark)
 
@@ -286,7 +416,7 @@ def holding(
         return holds(F.col(text))
 
     found = F.lit(False)
-    for index in _blocks(items, similarity, item_key, item_text):
+    for index in _blocks(items, similarity, recall, item_key, item_text):
         found = found | condition(index)
     return found
 
@@ -295,8 +425,7 @@ def find_items(
     documents: DataFrame, items: DataFrame, similarity: float = 0.8, recall: float = 0.998,
     key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text",
 ) -> DataFrame:
-    """One row per document and item found: doc_id, item_id, start_word, n_words, distance, similarity. ``recall`` is
-    kept for callers and sets a lower bound only: all are found."""
+    """One row per document and item found: doc_id, item_id, start_word, n_words, distance, similarity."""
     spark = documents.sparkSession
     small_batches(spark)
     kind, item_kind = documents.schema[key].dataType, items.schema[item_key].dataType
@@ -306,7 +435,7 @@ def find_items(
     )
     rows = documents.select(F.col(key), F.col(text).alias("_text")).where(F.length("_text") > 0)
     out = None
-    for index in _blocks(items, similarity, item_key, item_text):
+    for index in _blocks(items, similarity, recall, item_key, item_text):
         shared = spark.sparkContext.broadcast(index)
 
         def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
