@@ -13,15 +13,18 @@ Spans count code points, end exclusive; a literal's span is that of its characte
 where they are written. A span that a fixed pattern already has is not repeated as a literal.
 
 Edge cases: null and empty texts have no spans. Names of any length and texts of any length are
-read whole. Other columns pass through untouched.
+read whole, in time that grows with the text, whatever is joined to what. Other columns pass through untouched.
 """
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -48,6 +51,9 @@ SENSITIVE = {
 }
 PLACEHOLDERS = {"changeme", "example", "password", "secret", "token", "none", "null", "true", "false", "todo", "xxxxxxxx"}
 
+_LONGEST_PLACEHOLDER = max(map(len, PLACEHOLDERS))
+MOST_CHARS = 256
+
 # A name is read to its end and never given back, so that long ones take linear time.
 _NAME = r"[A-Za-z_][A-Za-z0-9_.\-]*+"
 _VALUE = r"\"[^\"\n]*\"|'[^'\n]*'|[A-Za-z0-9+/_.=\-]+"
@@ -65,14 +71,54 @@ def name_weight(name: str) -> float:
     return min(1.0, max(found) + 0.15 * (len(found) - 1)) if found else 0.0
 
 
+@dataclass(slots=True)
+class Value:
+    """What the weight of a value needs, so that a joined value costs as much as its parts' characters differ."""
+
+    length: float  # a float, as a value joined to itself over and over has no bound
+    shares: dict[str, float]  # of the characters; those beyond MOST_CHARS different ones count as one
+    digit: bool
+    alpha: bool
+    space: bool
+    text: str | None  # kept as long as it may be a placeholder
+
+    @classmethod
+    def of(cls, text: str) -> "Value":
+        counts = Counter(text)
+        if len(counts) > MOST_CHARS:
+            rest = sum(n for _, n in counts.most_common()[MOST_CHARS:])
+            counts = Counter(dict(counts.most_common(MOST_CHARS))) + Counter({"": rest})
+        return cls(
+            len(text), {c: n / len(text) for c, n in counts.items()}, any(c.isdigit() for c in text),
+            any(c.isalpha() for c in text), any(c.isspace() for c in text), text if len(text) <= _LONGEST_PLACEHOLDER else None,
+        )
+
+    def __add__(self, other: "Value") -> "Value":
+        if not self.length or not other.length:
+            return self if self.length else other
+        length = min(self.length + other.length, 1e300)
+        a = self.length / (self.length + other.length)
+        shares = {c: p * a for c, p in self.shares.items()}
+        for c, p in other.shares.items():
+            c = c if c in shares or len(shares) <= MOST_CHARS else ""
+            shares[c] = shares.get(c, 0.0) + p * (1 - a)
+        short = self.text is not None and other.text is not None and length <= _LONGEST_PLACEHOLDER
+        return Value(
+            length, shares, self.digit or other.digit, self.alpha or other.alpha, self.space or other.space,
+            self.text + other.text if short else None,
+        )
+
+    def weight(self) -> float:
+        """How much it looks like a secret: long, of many different characters, no placeholder."""
+        if self.length < 8 or (self.text or "").lower() in PLACEHOLDERS or self.space:
+            return 0.0
+        entropy = -sum(p * math.log2(p) for p in self.shares.values() if p)
+        return min(1.0, entropy / 3.2) * (0.4 + 0.6 * (self.digit + self.alpha) / 2)
+
+
 def value_weight(value: str) -> float:
-    """How much a literal looks like a secret: long, of many different characters, no placeholder."""
-    if len(value) < 8 or value.lower() in PLACEHOLDERS or any(c.isspace() for c in value):
-        return 0.0
-    counts = Counter(value)
-    entropy = -sum(n / len(value) * math.log2(n / len(value)) for n in counts.values())
-    mixed = (any(c.isdigit() for c in value) + any(c.isalpha() for c in value)) / 2
-    return min(1.0, entropy / 3.2) * (0.4 + 0.6 * mixed)
+    """How much a literal looks like a secret."""
+    return Value.of(value).weight()
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -83,38 +129,73 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def literals(text: str) -> list[tuple[int, int, float]]:
-    """Literals with the score of the most sensitive name that each reaches."""
-    bound: dict[str, list[tuple[int, int]]] = {}
-    best: dict[tuple[int, int], float] = {}
+    """Literals with the score of the most sensitive name that each reaches.
+
+    A value is a literal or is joined from earlier values, which stay as they are when their name is bound
+    anew. So values form a graph whose arcs lead to earlier ones, with one arc for each term in the text:
+    scores are handed down along it once, at the end, and time is linear in the text.
+    """
+    bound: dict[str, int] = {}
+    parts: list[tuple[int, ...]] = []  # of each value; none for a literal
+    places: list[tuple[int, int]] = []
+    known: dict[int, Value] = {}
+    scores: dict[int, float] = {}
+
+    def value_of(number: int) -> Value:
+        open_values = [number]
+        while open_values:
+            top = open_values[-1]
+            missing = [p for p in parts[top] if p not in known]
+            if missing:
+                open_values += missing
+                continue
+            open_values.pop()
+            if top not in known:
+                joined = [known[p] for p in parts[top]]
+                known[top] = functools.reduce(operator.add, joined) if joined else Value.of(text[slice(*places[top])])
+        return known[number]
+
+    def added(own: tuple[int, ...], place: tuple[int, int] = (0, 0)) -> int:
+        parts.append(own)
+        places.append(place)
+        return len(parts) - 1
+
     at = 0
     while (pair := _PAIR.search(text, at)) is not None:
         at = pair.end()
         name = pair[2] or pair[1]
-        places: list[tuple[int, int]] = []
+        terms: list[int] = []
         pos = at
         while (term := _TERM.match(text, pos)) is not None:
             value, start = term[1], term.start(1)
             if value[0] in "\"'":
-                places.append((start + 1, start + len(value) - 1))
+                terms.append(added((), (start + 1, start + len(value) - 1)))
             elif value in bound:
-                places += bound[value]
+                terms.append(bound[value])
             else:
-                places.append((start, start + len(value)))
+                terms.append(added((), (start, start + len(value))))
             pos = term.end()
             if pos == term.end(1):  # no plus sign follows
                 break
         # A bare word may itself be the next name (a: b: c); quoted values are passed over.
-        if places and text[at : at + 1] in "\"'":
+        if terms and text[at : at + 1] in "\"'":
             at = pos
-        if not places:
+        if not terms:
             continue
-        bound[name] = places
+        bound[name] = number = terms[0] if len(terms) == 1 else added(tuple(terms))
         if (weight := name_weight(name)) > 0:
-            joined = "".join(text[a:b] for a, b in places)
-            scored = weight * value_weight(joined)
-            for place in places:
-                if place[1] > place[0]:
-                    best[place] = max(best.get(place, 0.0), scored)
+            scores[number] = max(scores.get(number, 0.0), weight * value_of(number).weight())
+    best: dict[tuple[int, int], float] = {}
+    for number in range(len(parts) - 1, -1, -1):
+        score = scores.get(number)
+        if score is None:
+            continue
+        for part in parts[number]:
+            scores[part] = max(scores.get(part, 0.0), score)
+        start, end = places[number]
+        if end > start:
+            # A value without quotes is read again where it is itself a name; the best reading counts.
+            best[start, end] = max(best.get((start, end), 0.0), score)
     return [(a, b, s) for (a, b), s in best.items()]
 
 
