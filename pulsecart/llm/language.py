@@ -17,7 +17,7 @@ columns pass through untouched.
 
 from __future__ import annotations
 
-import re
+import regex
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -34,7 +34,7 @@ BUCKETS = 1 << 16
 DIMENSIONS = 16
 MISSED, HIGHEST = 0.001, 0.5
 _CHUNK = 1 << 20
-_LETTERS = re.compile(r"[^\W\d_]+")
+_LETTERS = regex.compile(r"\p{L}+")  # letters by Unicode category: no superscripts, fractions or letter-like numbers
 _OUT = "lang string, score double, rejected boolean"
 
 
