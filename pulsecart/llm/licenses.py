@@ -21,6 +21,13 @@ text as the block, and their runs are then tried from every template word on.
 
 The templates are a parameter and their words travel in the plan; ``MOST_WORDS`` bounds them.
 
+Sentences of different licenses may differ by a word or two, so that one holds enough words of the other. A template
+may therefore name words that a block or run must hold besides (those that tell its license), and words that it must
+not hold (those of a license whose name contains its own). Where one line holds both such licenses, the longer name
+counts, and the shorter one is left to the phrases.
+
+Texts without any of the prefix words are passed over before they are cut to words.
+
 Fixed phrases are found besides, as consecutive words of the whole text.
 
 Edge cases: null texts are empty, with no words. A very long line is one block; a text of one line has
@@ -37,6 +44,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pulsecart.workspace import materialise
+
 MOST_WORDS = 20_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -45,22 +54,26 @@ _SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-# Sentences by which well-known licenses are granted or named.
+# Sentences by which well-known licenses are granted or named; the words that tell each from others;
+# and words of licenses whose names contain its own.
 TEMPLATES = [
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("mit", "Released under the MIT License"),
-    ("apache", "Licensed under the Apache License, Version 2.0"),
-    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License"),
-    ("gpl", "Licensed under the GNU General Public License, version 3"),
-    ("lgpl", "Licensed under the GNU Lesser General Public License"),
+    ("mit", "Released under the MIT License", ("mit",)),
+    ("apache", "Licensed under the Apache License, Version 2.0", ("apache",)),
+    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License",
+     ("gnu", "general", "public"), ("lesser", "library", "affero")),
+    ("gpl", "Licensed under the GNU General Public License, version 3", ("gnu", "general", "public"), ("lesser", "library", "affero")),
+    ("lgpl", "Licensed under the GNU Lesser General Public License", ("gnu", "lesser")),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", ("mozilla",)),
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
-    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
-    ("cc-by-sa", "Licensed under CC BY-SA 4.0"),
+    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License", ("attribution",),
+     ("noncommercial", "sharealike", "noderivatives", "noderivs")),
+    ("cc-by-nc", "Licensed under CC BY-NC 4.0", ("nc",), ("sa", "nd")),
+    ("cc-by-sa", "Licensed under CC BY-SA 4.0", ("sa",), ("nc",)),
     ("unlicense", "This is free and unencumbered software released into the public domain"),
 ]
+Template = tuple  # label and sentence, then words that must stand with it, and words that must not
 
 
 def words_of(text: Column) -> Column:
@@ -68,6 +81,13 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.translate(text, _UPPER, _LOWER), _SEPARATORS), lambda w: w != "")
 
 
+def count_words(text: Column) -> Column:
+    """Number of words: each, with what stands before it, becomes one character."""
+    marks = "".join(c for c in map(chr, range(128)) if re.fullmatch(_SEPARATORS, c))
+    each = F.regexp_replace(text, F.lit(f"{_SEPARATORS[:-1]}*+{_WORDS}+"), F.lit("x"))
+    return F.length(F.rtrim(each, F.lit(marks))).cast("long")
+
+
 def phrase_places(text: Column, phrases: dict[str, str] = PHRASES) -> Column:
     """All places of the phrases: an array of word number and label. Only a text that has a phrase
     is turned into words."""
@@ -93,13 +113,15 @@ def phrase_places(text: Column, phrases: dict[str, str] = PHRASES) -> Column:
 class _Index:
     """Templates as sets of words, the order of the words, and the join of blocks with templates."""
 
-    def __init__(self, templates: list[tuple[str, str]], threshold: float):
+    def __init__(self, templates: list[Template], threshold: float):
         lower = str.maketrans(_UPPER, _LOWER)
-        found = [(label, re.findall(_WORDS, s.translate(lower))) for label, s in templates]
-        found = [(label, words) for label, words in found if words]
-        self.labels = [label for label, _ in found]
+        found = [(t, re.findall(_WORDS, t[1].translate(lower))) for t in templates]
+        found = [(t, words) for t, words in found if words]
+        self.labels = [t[0] for t, _ in found]
         self.sets = [sorted(set(words)) for _, words in found]
-        self.known = sorted({w for s in self.sets for w in s})
+        self.named = [sorted(t[2]) if len(t) > 2 else [] for t, _ in found]
+        self.unless = [sorted(t[3]) if len(t) > 3 else [] for t, _ in found]
+        self.known = sorted({w for own in (*self.sets, *self.named, *self.unless) for w in own})
         if not 0 < len(self.known) <= MOST_WORDS:
             raise ValueError(f"templates must hold 1 to {MOST_WORDS} different words")
         self.needed = [max(1, math.ceil(threshold * len(s) - 1e-9)) for s in self.sets]
@@ -107,6 +129,30 @@ class _Index:
         self.reach = [math.ceil(len(words) / min(1.0, max(threshold, 0.1)) - 1e-9) for _, words in found]
         self.order = {w: i for i, w in enumerate(self.known)}
 
+    def _prefixes(self) -> list[list[int]]:
+        """Ranks of the prefix words of each template."""
+        ranked = [sorted(self.order[w] for w in s) for s in self.sets]
+        return [r[: len(r) - need + 1] for r, need in zip(ranked, self.needed)]
+
+    def maybe(self, text: Column) -> Column:
+        """True for texts with a prefix word of some template: no other text can hold one."""
+        starts = {i for p in self._prefixes() for i in p}
+        by_first: dict[str, list[str]] = {}
+        for w in sorted(w for w, i in self.order.items() if i in starts):
+            by_first.setdefault(w[0], []).append(re.escape(w[1:]))
+        either = "|".join(f"{re.escape(c)}(?:{'|'.join(rest)})" for c, rest in by_first.items())
+        return text.rlike(f"(?i)(?:^|{_SEPARATORS[:-1]})(?:{either})(?:$|{_SEPARATORS[:-1]})")
+
+    def candidates(self, documents: DataFrame, key: tuple[str, ...], text: str) -> DataFrame:
+        """Texts that may hold a template: key, lines (distinct template words of each) and hits (places of template
+        words; none in a text of one line)."""
+        in_line = F.transform(
+            F.split(F.col(text), "\n"), lambda t: F.array_distinct(F.filter(words_of(t), lambda w: w.isin(self.known)))
+        )
+        at = F.transform(words_of(F.col(text)), lambda w, i: F.when(w.isin(self.known), F.struct(i.alias("at"), w.alias("word"))))
+        hits = F.when(F.contains(F.col(text), F.lit("\n")), F.filter(at, lambda x: x.isNotNull()))
+        return documents.where(self.maybe(F.col(text))).select(*key, in_line.alias("lines"), hits.alias("hits"))
+
     def lines(self, documents: DataFrame, key: tuple[str, ...], text: str) -> DataFrame:
         """Key, block (line number) and distinct template words of each line."""
         return documents.select(*key, F.posexplode(F.split(F.col(text), "\n")).alias("block", "line")).select(
@@ -125,12 +171,13 @@ class _Index:
         """Blocks (with ``words``) and templates that hold enough common words: the kept columns, ranks and the
         template's columns, once for each pair."""
         index = []
-        for n, (label, s, need, reach) in enumerate(zip(self.labels, self.sets, self.needed, self.reach)):
-            ranked = sorted(self.order[w] for w in s)
-            index += [(r, label, n, j, need, ranked, s, reach) for j, r in enumerate(ranked[: len(ranked) - need + 1])]
+        for n, (s, prefix) in enumerate(zip(self.sets, self._prefixes())):
+            own = (sorted(self.order[w] for w in s), s, self.reach[n], self.named[n], self.unless[n])
+            index += [(r, self.labels[n], n, j, self.needed[n], *own) for j, r in enumerate(prefix)]
         template_rows = blocks.sparkSession.createDataFrame(
             index,
-            "rank int, label string, template int, j int, need int, template_ranks array<int>, template_words array<string>, reach int",
+            "rank int, label string, template int, j int, need int, template_ranks array<int>, template_words array<string>, reach int, "
+            "named array<string>, unless array<string>",
         )
         starts, least = sorted({r[0] for r in index}), min(self.needed)
         in_order = F.array(*[F.lit(w) for w in sorted(self.order, key=self.order.get)])
@@ -138,7 +185,7 @@ class _Index:
             blocks.where(F.size("words") >= least)
             .where(F.exists("words", lambda w: w.isin([w for w, i in self.order.items() if i in set(starts)])))
             .select(
-                *kept,
+                *kept, "words",
                 F.array_sort(F.transform("words", lambda w: (F.array_position(in_order, w) - 1).cast("int"))).alias("ranks"),
             )
         )
@@ -148,41 +195,41 @@ class _Index:
         )
         common = F.array_intersect("ranks", "template_ranks")
         return (
-            ranked.select(*kept, "ranks", F.explode(placed).alias("p"))
-            .select(*kept, "ranks", F.col("p.rank").alias("rank"), F.col("p.i").alias("i"))
+            ranked.select(*kept, "words", "ranks", F.explode(placed).alias("p"))
+            .select(*kept, "words", "ranks", F.col("p.rank").alias("rank"), F.col("p.i").alias("i"))
             .join(template_rows, "rank")
             .where(
                 1 + F.least(F.size("ranks") - F.col("i") - 1, F.size("template_ranks") - F.col("j") - 1) >= F.col("need")
             )
             # A pair is met at each common word of both prefixes; the first one stands for it.
             .where((F.size(common) >= F.col("need")) & (F.array_min(common) == F.col("rank")))
+            .where(F.size(F.array_except("named", "words")) == 0)
         )
 
     def blocks(self, lines: DataFrame, key: tuple[str, ...]) -> DataFrame:
         common = F.size(F.array_intersect("ranks", "template_ranks"))
         return (
             self.pairs(lines, [*key, "block"])
+            .where(~F.arrays_overlap("unless", "words"))
             .select(*key, "block", "label", "template", (common / F.size("template_ranks")).alias("containment"))
             .distinct()
         )
 
-    def runs(self, documents: DataFrame, key: tuple[str, ...], text: str) -> DataFrame:
-        known = F.transform(
-            words_of(F.col(text)), lambda w, i: F.when(w.isin(self.known), F.struct(i.alias("at"), w.alias("word")))
-        )
-        texts = documents.where(F.contains(F.col(text), F.lit("\n"))).select(
-            *key, F.filter(known, lambda x: x.isNotNull()).alias("hits")
-        )
+    def runs(self, texts: DataFrame, key: tuple[str, ...]) -> DataFrame:
+        texts = texts.where(F.col("hits").isNotNull()).select(*key, "hits")
         pairs = self.pairs(texts.withColumn("words", F.array_distinct(F.col("hits.word"))), [*key, "hits"])
-        own = F.filter("hits", lambda x: F.array_contains(F.col("template_words"), x["word"]))
+        both = F.concat("template_words", "named", "unless")
+        own = F.filter("hits", lambda x: F.array_contains(both, x["word"]))
 
         def held(x: Column, i: Column) -> Column:
             near = F.filter(F.slice(F.col("own"), i + 1, F.col("reach")), lambda y: y["at"] < x["at"] + F.col("reach"))
-            return F.size(F.array_distinct(F.transform(near, lambda y: y["word"])))
+            words = F.array_distinct(F.transform(near, lambda y: y["word"]))
+            right = (F.size(F.array_except("named", words)) == 0) & ~F.arrays_overlap("unless", words)
+            return F.when(right, F.size(F.array_intersect("template_words", words))).otherwise(0)
 
         most = F.array_max(F.transform("own", held))
         return (
-            pairs.select(*key, "label", "template", "template_words", "need", "reach", own.alias("own"))
+            pairs.select(*key, "label", "template", "template_words", "need", "reach", "named", "unless", own.alias("own"))
             .select(*key, "label", "template", "need", most.alias("most"), F.size("template_words").alias("size"))
             .where(F.col("most") >= F.col("need"))
             .select(*key, "label", "template", (F.col("most") / F.col("size")).alias("containment"))
@@ -190,7 +237,7 @@ class _Index:
 
 
 def find_blocks(
-    documents: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = 0.8,
+    documents: DataFrame, templates: list[Template] = TEMPLATES, threshold: float = 0.8,
     key: tuple[str, ...] = ("doc_id",), text: str = "text",
 ) -> DataFrame:
     """Blocks that hold a template: the key columns, block (line number), label, template, containment."""
@@ -201,33 +248,35 @@ def find_blocks(
 
 
 def find_runs(
-    documents: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = 0.8,
+    documents: DataFrame, templates: list[Template] = TEMPLATES, threshold: float = 0.8,
     key: tuple[str, ...] = ("doc_id",), text: str = "text",
 ) -> DataFrame:
     """Texts of several lines in which a run of words holds a template: the key columns, label, template, and the
     containment of the best run."""
     index = _Index(templates, threshold)
     index.rank_by(index.lines(documents, key, text))
-    return index.runs(documents, key, text)
+    return index.runs(index.candidates(documents, key, text), key)
 
 
 def scan(
-    documents: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = 0.8,
+    documents: DataFrame, templates: list[Template] = TEMPLATES, threshold: float = 0.8,
     key: str = "doc_id", text: str = "text",
 ) -> DataFrame:
     """One row per document: id, n_words, places (of the phrases), labels and score of the templates that lines hold,
     and wrapped_labels and wrapped_score of those that runs of words across lines hold."""
     own = documents.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_text")).withColumn("_hash", F.xxhash64("_text"))
     rows = own.select(
-        key, "_hash", F.regexp_count("_text", F.lit(_WORDS)).cast("long").alias("n_words"),
+        key, "_hash", count_words(F.col("_text")).alias("n_words"),
         phrase_places(F.col("_text")).alias("places"),
     )
     index, keys = _Index(templates, threshold), (key, "_hash")
-    lines = index.lines(own, keys, "_text")
-    index.rank_by(lines)
+    index.rank_by(index.lines(own, keys, "_text"))
+    # The texts that are left are cut to words once; lines and runs are both read from that.
+    texts = materialise(index.candidates(own, keys, "_text"), "license-words")
+    lines = texts.select(*keys, F.posexplode("lines").alias("block", "words"))
     columns = [*keys, "label", "containment"]
     held = index.blocks(lines, keys).select(*columns, F.lit(False).alias("wrapped")).unionByName(
-        index.runs(own, keys, "_text").select(*columns, F.lit(True).alias("wrapped"))
+        index.runs(texts, keys).select(*columns, F.lit(True).alias("wrapped"))
     )
 
     def labels(wrapped: Column) -> Column:

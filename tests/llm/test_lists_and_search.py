@@ -18,7 +18,7 @@ def lowered(t):
 
 def license_texts():
     r = random.Random(6)
-    pool = [w for _, t in licenses.TEMPLATES for w in t.split()] + ["the", "of", "prose", "éa", "MIT", "license", "mit-license"]
+    pool = [w for t in licenses.TEMPLATES for w in t[1].split()] + ["the", "of", "prose", "éa", "MIT", "license", "mit-license", "lesser", "affero", "sa", "nc"]
     texts = [None, "", "...", "MIT LICENSE\nmit\tlicense mit. License", "Apache apache License", "general-public license", "x " * 30_000]
     for _ in range(300):
         own = r.choice(licenses.TEMPLATES)[1].split()
@@ -28,9 +28,15 @@ def license_texts():
     return texts
 
 
+def told(template, words):
+    """Whether the words name the template's license and no longer name."""
+    named, unless = [*template[2:], (), ()][:2]
+    return set(named) <= words and not set(unless) & words
+
+
 def test_license_scan_equals_plain_python(documents):
     texts = license_texts()
-    sets = [(label, set(re.findall(WORDS, lowered(t)))) for label, t in licenses.TEMPLATES]
+    sets = [(t, set(re.findall(WORDS, lowered(t[1])))) for t in licenses.TEMPLATES]
     got = licenses.scan(documents(texts)).orderBy("doc_id").collect()
     for row, text in zip(got, texts, strict=True):
         words = re.findall(WORDS, lowered(text))
@@ -41,10 +47,10 @@ def test_license_scan_equals_plain_python(documents):
         best = {}
         for line in (text or "").split("\n"):
             own = set(re.findall(WORDS, lowered(line)))
-            for label, t in sets:
+            for template, t in sets:
                 c = len(own & t)
-                if c >= math.ceil(0.8 * len(t) - 1e-9):
-                    best[label] = max(best.get(label, 0), c / len(t))
+                if c >= math.ceil(0.8 * len(t) - 1e-9) and told(template, own):
+                    best[template[0]] = max(best.get(template[0], 0), c / len(t))
         assert row["n_words"] == len(words)
         assert sorted((p["at"], p["label"]) for p in row["places"]) == places
         assert row["template_labels"] == sorted(best)
@@ -83,16 +89,48 @@ def test_license_runs_equal_plain_python(documents):
     got = licenses.scan(documents(texts)).orderBy("doc_id").collect()
     for row, text in zip(got, texts, strict=True):
         words, want = re.findall(WORDS, lowered(text)), {}
-        for label, t in licenses.TEMPLATES:
-            own = re.findall(WORDS, lowered(t))
-            reach, whole = math.ceil(len(own) / 0.8 - 1e-9), set(own)
-            c = max((len(whole & set(words[i : i + reach])) for i in range(len(words)) if words[i] in whole), default=0)
+        for template in licenses.TEMPLATES:
+            own = re.findall(WORDS, lowered(template[1]))
+            reach, whole, c = math.ceil(len(own) / 0.8 - 1e-9), set(own), 0
+            for i in range(len(words)):
+                near = set(words[i : i + reach])
+                if told(template, near) and words[i] in whole | set(template[2] if len(template) > 2 else ()):
+                    c = max(c, len(whole & near))
             if "\n" in (text or "") and c >= math.ceil(0.8 * len(whole) - 1e-9):
-                want[label] = max(want.get(label, 0), c / len(whole))
+                want[template[0]] = max(want.get(template[0], 0), c / len(whole))
         assert row["wrapped_labels"] == sorted(want)
         assert row["wrapped_score"] == max(want.values(), default=0.0)
 
 
+CONFUSABLE = [
+    ("Licensed under the GNU General Public License, version 3", ["gpl"]),
+    ("Licensed under the GNU Lesser General Public License", ["lgpl"]),
+    ("Licensed under the GNU Lesser General Public License, version 3", ["lgpl"]),
+    ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License", []),
+    ("Licensed under CC BY-NC 4.0", ["cc-by-nc"]), ("Licensed under CC BY-SA 4.0", ["cc-by-sa"]), ("Licensed under CC BY-NC-SA 4.0", []),
+    ("Released under the MIT License", ["mit"]), ("Released under the BSD License", []), ("Released under the Apache License", []),
+    ("This work is licensed under a Creative Commons Attribution 4.0 International License", ["cc-by"]),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", []),
+    ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", ["mit"]),
+]
+
+
+def test_a_sentence_of_one_license_has_no_other_label(documents):
+    texts = [t for t, _ in CONFUSABLE]
+    got = licenses.scan(documents(texts)).orderBy("doc_id").collect()
+    assert [r["template_labels"] for r in got] == [labels for _, labels in CONFUSABLE]
+    # The same over lines, with other words around that belong to templates.
+    wrapped = ["of the software and the terms\n" * 3 + t.replace(" ", "\n", 3) + "\nof the work" for t in texts]
+    got = licenses.scan(documents(wrapped)).orderBy("doc_id").collect()
+    assert [r["wrapped_labels"] for r in got] == [labels for _, labels in CONFUSABLE]
+
+
+def test_word_counts(documents):
+    texts = ["", "...", "a", " a", "a ", "-a-b-", "é ü", "x\x7fy", "a\nb\n"]
+    counted = documents(texts).select("doc_id", licenses.count_words(F.col("text")).alias("n")).orderBy("doc_id").collect()
+    assert [r["n"] for r in counted] == [len(re.findall(WORDS, t)) for t in texts]
+
+
 BLOCK, ALLOW = [("net", "/"), ("example.com", "/de/"), ("a.b.example.org", "/x")], [("example.net", "/en/"), ("org", "/fr/")]
 
 
