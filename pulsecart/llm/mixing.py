@@ -63,7 +63,7 @@ def targets(
     rows = rows.withColumn("_capped", capped)
     taken = F.sum(F.when(F.col("_capped"), F.col("_cap")).otherwise(0)).over(everything)
     free = F.sum(F.when(F.col("_capped"), 0).otherwise(F.col("_weight"))).over(everything)
-    dealt = ((F.col("_all") * share[0] - taken * share[1]).cast("double") * F.col("_weight")) / (free * share[1])
+    dealt = F.try_divide((F.col("_all") * share[0] - taken * share[1]).cast("double") * F.col("_weight"), free * share[1])
     target = F.when(F.col("_capped"), F.col("_cap").cast("double")).otherwise(dealt)
     return rows.withColumn("target", target).drop("_weight", "_cap", "_all", "_before", "_ahead", "_capped")
 
@@ -94,7 +94,7 @@ def sample(
     weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("turn") + 1).cast("int"))
     sources = targets(sums.withColumn("turn", turn), weight, share, most).select(
         "source", "source_size", "target",
-        F.coalesce(F.floor(F.col("target") / F.col("source_size") * UNITS), F.lit(0)).cast("bigint").alias("expected"),
+        F.coalesce(F.floor(F.try_divide("target", "source_size") * UNITS), F.lit(0)).cast("bigint").alias("expected"),
         offset(F.col("source"), seed).alias("offset"),
     )
     sources = materialise(sources, "sources")
