@@ -8,8 +8,11 @@ from pulsecart.operators import sales as SD
 from pulsecart.operators import search as S
 from pulsecart.functions import gender_label, price, within_days
 from pulsecart.plans.settings import AS_OF, SALE_DAY, SALE_WORD, TOLERANCE
+from pulsecart.schemas import USER_INFO
 from pulsecart.sources import adapters
+from pulsecart.sources.snapshot import BucketedSnapshot
 from pulsecart.sources.tables import read_table
+from pulsecart.workspace import materialise, run_folder
 
 PAGE_NUMBER, PAGE_SIZE = 2, 5
 
@@ -101,6 +104,14 @@ def sale_page(spark, sf):
     return SD.with_user(named.withColumn("sku_price", price("order_price")), _users(spark, sf), AS_OF)
 
 
+def sale_day_lookup(spark, sf):
+    """Sale details of one day, with their buyers looked up in a snapshot in buckets."""
+    snapshot = BucketedSnapshot(spark, run_folder(spark, "users"), USER_INFO, buckets=1024)
+    snapshot.write(_users(spark, sf), "users", 0)
+    sales = materialise(S.sales_of(_sales(spark, sf), SALE_DAY), "day")
+    return SD.with_user(sales, snapshot.of_batch(sales, "user_id"), AS_OF)
+
+
 def gmv_by_date(spark, sf):
     return SD.gross_value(_orders(spark, sf))
 
@@ -127,8 +138,7 @@ def sales_by_province(spark, sf):
 
 
 def sales_value_bands(spark, sf):
-    """Provinces with the legend band of their order count."""
-    """The widths follow from the largest province, so bands tell provinces apart at any size."""
+    """Provinces with the legend band of their order count. The widths follow from the largest province, so bands tell provinces apart at any size."""
     counts = _by_province(spark, sf).select("province", "orders")
     top = F.max("orders").over(Window.partitionBy())  # one row per province
     ranked = counts.withColumn("share", F.col("orders") / top * (SD.BANDS * SD.BAND_WIDTH))
@@ -144,6 +154,7 @@ QUERIES = {
     "sale_age_bands": sale_age_bands,
     "sale_by_keyword": sale_by_keyword,
     "sale_page": sale_page,
+    "sale_day_lookup": sale_day_lookup,
     "gmv_by_date": gmv_by_date,
     "gmv_by_hour": gmv_by_hour,
     "sales_by_province": sales_by_province,
@@ -206,6 +217,7 @@ SQL = {
           AND list_contains(regexp_split_to_array(lower(sku_name), '\\W+'), '{SALE_WORD}')""",
     "sale_page": f"""WITH {SALES} SELECT * FROM enriched ORDER BY dt, order_detail_id
         LIMIT {PAGE_SIZE} OFFSET {(PAGE_NUMBER - 1) * PAGE_SIZE}""",
+    "sale_day_lookup": f"WITH {SALES} SELECT * FROM enriched WHERE dt = '{SALE_DAY}'",
     "gmv_by_date": """SELECT strftime(o_orderdate, '%Y-%m-%d') AS create_date,
         sum(o_totalprice::DECIMAL(18, 2))::DOUBLE AS gmv, count(*) AS orders FROM orders GROUP BY 1""",
     "gmv_by_hour": """SELECT strftime(o_orderdate, '%Y-%m-%d') AS create_date,

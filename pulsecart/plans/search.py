@@ -8,7 +8,9 @@ from pulsecart.operators import search as S
 from pulsecart.plans.settings import BRAND, KEYWORD
 from pulsecart.sources import adapters
 from pulsecart.sources.index import hits
+from pulsecart.sources.postings import Postings
 from pulsecart.sources.tables import read_table
+from pulsecart.workspace import run_folder
 
 INDEX = "parts"
 OR_WORDS = "ring Bolt"
@@ -43,12 +45,24 @@ def search_match_any(spark, sf):
     return S.matching(_documents(spark, sf), match={"name": OR_WORDS}).select("_id", "name")
 
 
+def search_match_postings(spark, sf):
+    """The same from a stored inverted index, kept up over three batches: all parts with another part's name first,
+    then odd ones and even ones with their own."""
+    folder = run_folder(spark, "postings")
+    postings, parts = Postings(spark, folder), _documents(spark, sf)
+    odd = F.col("_id").cast("bigint") % 2 == 1
+    for batch, rows in enumerate((parts.withColumn("name", F.reverse("name")), parts.where(odd), parts.where(~odd))):
+        postings.upsert(rows, "name", "parts", batch)
+    return postings.matching(parts, OR_WORDS).select("_id", "name")
+
+
 QUERIES = {
     "search_terms_max": search_terms_max,
     "search_top_sizes": search_top_sizes,
     "search_total": search_total,
     "search_hits_page": search_hits_page,
     "search_match_any": search_match_any,
+    "search_match_postings": search_match_postings,
 }
 
 _FOUND = f"""WITH found AS (
@@ -67,3 +81,4 @@ SQL = {
     "search_match_any": """SELECT p_partkey::VARCHAR AS _id, p_name AS name FROM part
         WHERE list_has_any(regexp_split_to_array(lower(p_name), '\\W+'), ['ring', 'bolt'])""",
 }
+SQL["search_match_postings"] = SQL["search_match_any"]

@@ -28,10 +28,10 @@ from pulsecart.sources.topics import stream_topic
 from pulsecart.sinks.keyed_table import KeyedTable
 from pulsecart.sinks.outcomes import write_items
 from pulsecart.sinks.preview import PREVIEW_ROWS
-from pulsecart.streaming import alerts, arrivals, changes, daily_active, sales, users
+from pulsecart.streaming import alerts, arrivals, changes, daily_active, gmv, sales, users
 from pulsecart.streaming.fan_out import fan_out
 from pulsecart.streaming.runtime import drain, drain_to_files
-from pulsecart.workspace import run_folder
+from pulsecart.workspace import materialise, run_folder
 
 DELAY = "1 hour"
 
@@ -240,6 +240,35 @@ def stream_sale_arrival(spark, sf):
     return spark.read.schema(rows.schema).parquet(out)
 
 
+def _value_changes(orders: DataFrame) -> DataFrame:
+    """Every order is inserted; by its key it is also updated (a tenth more, two hours later) or deleted."""
+    amount = F.col("o_totalprice")
+    order = lambda money, hours: F.struct(
+        F.col("o_orderkey").cast("string").alias("id"),
+        F.date_format(F.col("o_orderdate") + F.make_dt_interval(hours=F.lit(hours)), adapters.TIME_FORMAT).alias("create_time"),
+        money.alias("total_amount"),
+    )
+    none, first, later = F.lit(None).cast(gmv.ORDER), order(amount, 0), order(F.round(amount * 1.1, 2), 2)
+    change = lambda before, after: F.struct(before.cast(gmv.ORDER).alias("before"), after.cast(gmv.ORDER).alias("after"))
+    key = F.col("o_orderkey")
+    more = F.when(key % 7 == 0, F.array(change(first, none))).when(key % 5 == 0, F.array(change(first, later)))
+    return orders.select(F.inline(F.concat(F.array(change(none, first)), F.coalesce(more, F.array().cast(f"array<struct<before:{gmv.ORDER},after:{gmv.ORDER}>>")))))
+
+
+def stream_gmv(spark, sf):
+    """Order value by hour from a stream of inserts, updates and deletes, over three batches with a restart after each.
+    Changes come in no order: some updates and deletes come batches before or after their insert."""
+    folder = run_folder(spark, "stream-gmv")
+    changes = materialise(_value_changes(read_table(spark, sf, "orders")), "order-changes")
+    table = gmv.value_table(spark, f"{folder}/table")
+    for n in range(SALE_SLICES):
+        _put(changes.where(F.pmod(F.xxhash64("before", "after"), F.lit(SALE_SLICES)) == n), f"{folder}/changes")
+        stream = spark.readStream.schema(changes.schema).parquet(f"{folder}/changes")
+        writer = gmv.gross_value_so_far(stream).writeStream.outputMode("update").foreachBatch(table.upsert_batches("gmv"))
+        drain(writer, f"{folder}/checkpoint")
+    return gmv.current_value(table)
+
+
 def bulk_outcomes(spark, sf):
     """Two bulk writes of event documents, some of them unfit: what became of each item."""
     number = F.col("event_id")
@@ -309,6 +338,7 @@ QUERIES = {
     "stream_sale_detail": stream_sale_detail,
     "stream_sale_detail_late": stream_sale_detail_late,
     "stream_sale_arrival": stream_sale_arrival,
+    "stream_gmv": stream_gmv,
     "bulk_outcomes": bulk_outcomes,
     "stream_sale_table": stream_sale_table,
     "stream_user_latest": stream_user_latest,
@@ -364,6 +394,12 @@ SQL = {
                d_id, l_partkey::VARCHAR AS d_sku_id, l_quantity::VARCHAR AS d_sku_num
         FROM b WHERE CASE WHEN arrived < ordered THEN broken = 0
                           ELSE arrived - ordered < INTERVAL {ARRIVAL_LIFE} END""",
+    "stream_gmv": """WITH final AS (
+          SELECT CASE WHEN o_orderkey % 5 = 0 THEN o_orderdate + INTERVAL 2 HOURS ELSE o_orderdate END AS created,
+                 CASE WHEN o_orderkey % 5 = 0 THEN round(o_totalprice * 1.1, 2) ELSE o_totalprice END AS amount
+          FROM orders WHERE o_orderkey % 7 <> 0)
+        SELECT strftime(created, '%Y-%m-%d') AS create_date, strftime(created, '%H') AS create_hour,
+               sum(amount::DECIMAL(18, 2))::DOUBLE AS gmv, count(*) AS orders FROM final GROUP BY 1, 2""",
     "bulk_outcomes": """WITH e AS (
           SELECT event_id, event_id % 2 AS batch,
                  CASE WHEN event_id % 101 = 0 THEN repeat('x', 600) WHEN event_type <> 'signup' THEN user_id::VARCHAR END AS id,

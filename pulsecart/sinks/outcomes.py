@@ -64,9 +64,9 @@ def write_items(
         last.join(known, same, "left").groupBy(outcome.alias("outcome")).agg(F.count("*").alias("items")), "outcomes"
     )  # before the write, which makes all keys known
     table.write(last, writer, batch_id, order, unique=True)
-    total = own.where(F.col(REASON).isNull()).agg(F.count("*").alias("items"))
-    replaced = total.join(stored.agg(F.coalesce(F.sum("items"), F.lit(0)).alias("kept"))).select(
-        F.lit(REPLACED).alias("outcome"), F.lit(None).cast("string").alias("reason"), (F.col("items") - F.col("kept")).alias("items")
+    counted = own.where(F.col(REASON).isNull()).agg(F.count("*").alias("items"))
+    replaced = counted.unionByName(stored.select((-F.col("items")).alias("items"))).agg(F.sum("items").alias("items")).select(
+        F.lit(REPLACED).alias("outcome"), F.lit(None).cast("string").alias("reason"), "items"
     )
     rejected = unfit.groupBy(F.lit(REJECTED).alias("outcome"), F.col(REASON).alias("reason")).agg(F.count("*").alias("items"))
     return (
