@@ -148,35 +148,39 @@ def judge(
         lists["named"] = hosts.where(listed_hosts).select(F.col("host").alias("key"))
     tests = {n: build_cascade(keys, universe, seed=100 * i) for i, (n, keys) in enumerate(lists.items())}
 
-    own = url_keys(F.col("_host"), F.col("_path"), lengths, depth)
-    out = pages.withColumns({"_host": host, "_path": path}).withColumn("_keys", own)
+    # Columns of its own have names that the pages do not have.
+    mark = "_"
+    while any(c.lower().startswith(mark) for c in pages.columns):
+        mark += "_"
+    own = url_keys(F.col(f"{mark}host"), F.col(f"{mark}path"), lengths, depth)
+    out = pages.withColumns({f"{mark}host": host, f"{mark}path": path}).withColumn(f"{mark}keys", own)
     for name in ("block", "allow", "named"):
         test = tests.get(name, Cascade([]))
         if test is not None:
-            out = out.withColumn(f"_{name}", F.filter("_keys", test.has))
+            out = out.withColumn(f"{mark}{name}", F.filter(f"{mark}keys", test.has))
         else:
-            out = _looked_up(out, lists[name], url, f"_{name}")
+            out = _looked_up(out, lists[name], url, mark, f"{mark}{name}")
 
     def ranked(found: str, verdict: str) -> Column:
         return F.transform(
-            F.col(found), lambda k: F.struct((-F.length(k)).alias("n"), k.alias("rule"), F.lit(verdict).alias("verdict"))
+            F.col(f"{mark}{found}"), lambda k: F.struct((-F.length(k)).alias("n"), k.alias("rule"), F.lit(verdict).alias("verdict"))
         )
 
-    best = F.array_min(F.concat(ranked("_block", "block"), ranked("_allow", "allow")))
-    otherwise = F.when(F.size("_named") > 0, "block").otherwise("allow")
+    best = F.array_min(F.concat(ranked("block", "block"), ranked("allow", "allow")))
+    otherwise = F.when(F.size(f"{mark}named") > 0, "block").otherwise("allow")
     return out.select(
-        *[F.col(c) for c in pages.columns if c not in ("host", "path", "rule", "verdict")],
-        host.alias("host"), path.alias("path"), best["rule"].alias("rule"),
+        *[F.col(f"`{c}`") for c in pages.columns if c not in ("host", "path", "rule", "verdict")],
+        F.col(f"{mark}host").alias("host"), F.col(f"{mark}path").alias("path"), best["rule"].alias("rule"),
         F.coalesce(best["verdict"], otherwise).alias("verdict"),
     )
 
 
-def _looked_up(pages: DataFrame, keys: DataFrame, url: str, out: str) -> DataFrame:
+def _looked_up(pages: DataFrame, keys: DataFrame, url: str, mark: str, out: str) -> DataFrame:
     """The same by joins, for a list too large for the plan: distinct urls, their keys, the list."""
-    rows = pages.select(F.col(url).alias("_url"), "_keys").distinct()
+    rows = pages.select(F.col(url).alias(f"{mark}url"), F.col(f"{mark}keys").alias("keys")).distinct()
     found = (
-        rows.select("_url", F.explode("_keys").alias("key")).join(keys, "key", "left_semi")
-        .groupBy("_url").agg(F.collect_set("key").alias(out))
+        rows.select(f"{mark}url", F.explode("keys").alias("key")).join(keys, "key", "left_semi")
+        .groupBy(f"{mark}url").agg(F.collect_set("key").alias(out))
     )
-    joined = pages.join(found, pages[url] == found["_url"], "left").drop("_url")
+    joined = pages.join(found, pages[url] == found[f"{mark}url"], "left").drop(f"{mark}url")
     return joined.withColumn(out, F.coalesce(out, F.array().cast("array<string>")))

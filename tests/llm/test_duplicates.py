@@ -253,6 +253,33 @@ def test_every_item_within_the_distance_is_found(size):
         assert found[d, n] == best
 
 
+def test_less_recall_takes_fewer_walks():
+    r = random.Random(2)
+    items = [(i, " ".join(words(r, 40, 400))) for i in range(30)]
+    few, many = (decontaminate.Index(items, recall=x) for x in (0.5, 0.998))
+    assert sum(len(g.walks) for g in few.groups) < sum(len(g.walks) for g in many.groups)
+    texts = [t for _, t in items]
+    assert {(d, n) for d, n, *_ in few.find(texts)} == {(i, i) for i in range(30)}  # what is unchanged is always found
+    for recall in (0, 1):
+        with pytest.raises(ValueError):
+            decontaminate.Index(items, recall=recall)
+
+
+def test_measured_recall_by_length():
+    """Edited copies among other words: at least 0.9 for every length, whatever is edited."""
+    rng = np.random.default_rng(4)
+    for size in (5, 7, 11, 16, 24, 48, 59, 100, 200):
+        items = [words(random.Random(f"{size} {i}"), size, 2000) for i in range(20)]
+        index, found, due = decontaminate.Index([(i, " ".join(t)) for i, t in enumerate(items)]), 0, 0
+        for i, item in enumerate(items):
+            for copy in decontaminate.edited(np.arange(size), size // 5, rng, 12):
+                own = [item[k] if k < size else "other" for k in copy.tolist()]
+                text = " ".join(["before"] * 9 + own + ["behind"] * 9)
+                due += 1
+                found += any(n == i for _, n, *_ in index.find([text]))
+        assert found >= 0.9 * due, (size, found, due)
+
+
 def test_no_items_and_no_documents(documents, make):
     none = make([], "item_id bigint, text string")
     assert decontaminate.find_items(documents(["a b c"]), none).count() == 0

@@ -164,6 +164,21 @@ def test_verdicts_equal_plain_python(make):
         assert (row["host"], row["path"], row["rule"], row["verdict"]) == plain_verdict(url), url
 
 
+CLASHES = ["_host", "_path", "_keys", "_block", "_allow", "_named", "__URL", "rest"]
+
+
+def test_columns_of_any_name_pass_through(make, monkeypatch):
+    pages = make([(i, u) for i, u in enumerate(url_samples())], "page_id bigint, url string")
+    pages = pages.withColumns({c: F.lit(f"own {c}") for c in CLASHES})
+    rules, named = "host string, path string", F.col("host").rlike(r"(^|[.-])ads([.-]|$)")
+    for bits in (urls.MOST_BITS, 0):
+        monkeypatch.setattr(urls, "MOST_BITS", bits)
+        got = urls.judge(pages, make(BLOCK * 2, rules), make(ALLOW, rules), named).orderBy("page_id").collect()
+        for row, url in zip(got, url_samples(), strict=True):
+            assert (row["host"], row["path"], row["rule"], row["verdict"]) == plain_verdict(url)
+            assert [row[c] for c in CLASHES] == [f"own {c}" for c in CLASHES]
+
+
 def test_a_list_too_large_for_the_plan_is_joined(make, monkeypatch):
     want = sorted(judged(make).collect(), key=lambda r: r["page_id"])
     monkeypatch.setattr(urls, "MOST_BITS", 0)

@@ -102,6 +102,12 @@ def test_no_language_is_left_out(make):
     assert [model.predict(spoken(x))[0] for x in LANGUAGES] == list(LANGUAGES)
 
 
+def test_numbers_that_look_like_letters_are_none(documents, language_model):
+    texts = ["²³", "½ ¼", "Ⅷ", "12", "_", "a²"]
+    got = language.identify(documents(texts), language_model).orderBy("doc_id").collect()
+    assert [r["language"]["lang"] == "und" for r in got] == [True] * 5 + [False]
+
+
 def test_a_long_text_is_read_whole(language_model):
     long = spoken("aa", 20_000) + " " + spoken("bb", 200_000)
     assert language_model.predict(long)[0] == "bb"
@@ -172,6 +178,22 @@ def test_a_long_name_takes_linear_time():
     assert time.process_time() - start < 20
 
 
+def test_joined_values_take_linear_time():
+    start = time.process_time()
+    doubled = 'a = "Zx81kQp0vw"\n' + "a = a + a\n" * 1000 + "password = a"
+    assert ("literal", 5, 15) in [(k, a, b) for a, b, k, _ in secrets.all_spans(doubled)]
+    longer = 'a = "Zx81kQp0vw"\n' + "".join(f'a = a + "p{i}Zx81"\n' for i in range(20_000)) + "password = a"
+    assert sum(s[2] == "literal" for s in secrets.all_spans(longer)) == 20_001
+    named = 'token = "Zx81kQp0vw"\n' + "token = token + token\n" * 20_000
+    assert len(secrets.all_spans(named)) > 20_000
+    assert time.process_time() - start < 20
+
+
+def test_a_name_bound_anew_leaves_earlier_values_alone():
+    source = 'k = "Zx81kQp0vw"\nm = k\nk = "Qv52mNr8tz"\nsecret_note = m'
+    assert [source[a:b] for a, b, kind, _ in secrets.all_spans(source) if kind == "literal"] == ["Zx81kQp0vw"]
+
+
 @pytest.mark.parametrize("source", ['title = "Zx81kQp0vw"', 'pass_key = "changeme"', "the key: of the door", "see http://x/y:z"])
 def test_no_literal_without_reason(source):
     assert [s for s in secrets.all_spans(source) if s[2] == "literal"] == []
