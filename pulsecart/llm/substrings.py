@@ -304,6 +304,8 @@ def find(documents: DataFrame, length: int = 100, key: str = "doc_id", text: str
         .option("path", run_folder(spark, "texts")).option("compression", "zstd").format("parquet").saveAsTable(name)
     )
     texts = spark.table(name)
+    # The files stay where they are, and this frame knows them; only the name goes from the catalog.
+    spark.sql(f"DROP TABLE {name}")
     layout = "hash bigint, doc bigint, window bigint, again boolean, asks boolean"
     anchored = texts.where(F.col("doc").isNotNull() & (F.octet_length("text") >= length)).mapInPandas(
         lambda f: _anchor_rows(f, length), layout
