@@ -1,6 +1,7 @@
 """Toxicity, language and secrets: held-out accuracy, brute force, and odd rows."""
 
 import hashlib
+import math
 import random
 import re
 import time
@@ -36,6 +37,51 @@ def test_toxicity_on_unseen_texts(documents, toxic_model):
     assert [r["toxicity"]["score"] >= 0.5 for r in got] == [i % 2 == 0 for i in range(60)]
 
 
+def test_scores_equal_direct_compression(documents, toxic_model):
+    """Scores follow from the lengths that zstandard gives with either dictionary, called word by word."""
+    import zstandard
+
+    def length(dictionary, word):
+        params = zstandard.ZstdCompressionParameters.from_level(
+            toxicity.LEVEL, source_size=len(toxicity.FILLER) + 8 * toxicity.LONGEST_WORD, dict_size=len(dictionary),
+            strategy=zstandard.STRATEGY_BTOPT, search_log=5, hash_log=10, chain_log=15,
+            format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0,
+        )
+        raw = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        raw.precompute_compress(compression_params=params)
+        window = f"{toxicity.FILLER} {toxicity.widened(word)} ".encode()
+        return len(zstandard.ZstdCompressor(dict_data=raw, compression_params=params).compress(window))
+
+    texts = [text(i % 2 == 0) for i in range(4)]
+    for row, t in zip(toxicity.score(documents(texts), toxic_model).orderBy("doc_id").collect(), texts, strict=True):
+        saved = [length(toxic_model.ordinary, w) - length(toxic_model.toxic, w) for w in toxicity.words_of(t)]
+        assert row["toxicity"]["best_advantage"] == max(saved) and row["toxicity"]["n_windows"] == len(saved)
+        assert row["toxicity"]["n_toxic_windows"] == sum(s >= toxic_model.threshold for s in saved)
+        features = [sum(s >= level for s in saved) for level in (1, 2, 3, 4, 5, 6, 8)]
+        x = [*map(math.log1p, features), *(math.log1p(1000 * f / (len(saved) + 1)) for f in features), max(*saved, 0)]
+        z = toxic_model.weights[0] + sum(a * b for a, b in zip(toxic_model.weights[1:], x))
+        assert row["toxicity"]["score"] == pytest.approx(1 / (1 + math.exp(-z)))
+
+
+def test_a_small_labelled_table_teaches_too(documents):
+    rows = [(text(i < 9), int(i < 9)) for i in range(60)]
+    model = toxicity.train([t for t, _ in rows], [y for _, y in rows])
+    got = toxicity.score(documents([text(i % 2 == 0) for i in range(40)]), model).orderBy("doc_id").collect()
+    assert sum((r["toxicity"]["score"] >= 0.5) == (i % 2 == 0) for i, r in enumerate(got)) >= 36
+
+
+def test_stems_of_unseen_words_and_scripts_without_spaces(documents):
+    tails = ["ung", "heit", "lich", "aber", "nach", "oder", "zehn"]
+    rows = []
+    for i in range(240):
+        stem = f" grubhe{RANDOM.choice(tails[:4])}{RANDOM.choice(tails)}" if i % 3 == 0 else ""
+        rows.append((text(False) + stem, int(i % 3 == 0)))
+    model = toxicity.train([t for t, _ in rows], [y for _, y in rows])
+    got = toxicity.score(documents([text(False) + " grubhezehnoder", text(False)]), model).orderBy("doc_id").collect()
+    assert [r["toxicity"]["score"] >= 0.5 for r in got] == [True, False]
+    assert toxicity.score(documents(["天地玄黄宇宙洪荒" * 40]), model).first()["toxicity"]["n_windows"] == 5
+
+
 def test_toxicity_of_odd_texts(documents, toxic_model):
     got = toxicity.score(documents(ODD), toxic_model).collect()
     assert len(got) == len(ODD) and all(0 <= r["toxicity"]["score"] < 0.5 for r in got)
