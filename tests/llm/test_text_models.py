@@ -231,7 +231,7 @@ def test_joined_values_take_linear_time():
     longer = 'a = "Zx81kQp0vw"\n' + "".join(f'a = a + "p{i}Zx81"\n' for i in range(20_000)) + "password = a"
     assert sum(s[2] == "literal" for s in secrets.all_spans(longer)) == 20_001
     named = 'token = "Zx81kQp0vw"\n' + "token = token + token\n" * 20_000
-    assert len(secrets.all_spans(named)) > 20_000
+    assert ("literal", 9, 19) in [(k, a, b) for a, b, k, _ in secrets.all_spans(named)]
     assert time.process_time() - start < 20
 
 
