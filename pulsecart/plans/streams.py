@@ -28,7 +28,8 @@ from pulsecart.sources.topics import stream_topic
 from pulsecart.sinks.keyed_table import KeyedTable
 from pulsecart.sinks.outcomes import write_items
 from pulsecart.sinks.preview import PREVIEW_ROWS
-from pulsecart.streaming import alerts, arrivals, changes, daily_active, gmv, sales, users
+from pulsecart.streaming import alerts, changes, daily_active, gmv, sales, users
+from pulsecart.streaming.arrival_batches import arrival_sink, arrivals_of
 from pulsecart.streaming.fan_out import fan_out
 from pulsecart.streaming.runtime import drain, drain_to_files
 from pulsecart.workspace import materialise, run_folder
@@ -230,14 +231,18 @@ def stream_sale_detail_late(spark, sf):
 def stream_sale_arrival(spark, sf):
     """The join by arrival, where a side is remembered from its last arrival on, over three batches."""
     folder = run_folder(spark, "stream-sales-arrival")
-    out = f"{folder}/rows"
+
+    def write(pairs, batch_id):
+        rows = pairs.select("o_id", "o_order_status", "o_user_id", "d_id", "d_sku_id", F.col("d_sku_num").cast("string").alias("d_sku_num"))
+        rows.write.mode("overwrite").parquet(f"{folder}/rows/batch={batch_id}")
+
+    sink = arrival_sink(spark, folder, write, ARRIVAL_LIFE, clock="transport")
     for _ in _sale_slices(spark, sf, folder):
         orders = adapters.order_info(_grown(spark, "orders", folder))
         details = adapters.order_detail_keys(_grown(spark, "lineitem", folder))
-        pairs = arrivals.arrival_pairs(orders, details, ARRIVAL_LIFE, clock="transport")
-        rows = pairs.select("o_id", "o_order_status", "o_user_id", "d_id", "d_sku_id", "d_sku_num")
-        drain(rows.writeStream.format("parquet").outputMode("append").option("path", out), f"{folder}/checkpoint")
-    return spark.read.schema(rows.schema).parquet(out)
+        drain(arrivals_of(orders, details).writeStream.foreachBatch(sink), f"{folder}/checkpoint")
+    schema = "o_id string, o_order_status string, o_user_id string, d_id string, d_sku_id string, d_sku_num string"
+    return spark.read.schema(f"{schema}, batch bigint").parquet(f"{folder}/rows").drop("batch")
 
 
 def _value_changes(orders: DataFrame) -> DataFrame:

@@ -2,12 +2,14 @@
 
 import random
 import time
+from pathlib import Path
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from feeds import Feed
+from pulsecart.streaming.arrival_batches import arrival_sink, arrivals_of
 from pulsecart.streaming.arrivals import arrival_pairs
 from pulsecart.streaming.runtime import drain, start
 from pulsecart.workspace import run_folder
@@ -49,12 +51,15 @@ class Join:
         self.orders.add(pd.DataFrame(orders, columns=["id", "order_status", "create_time", "user_id", "at"]))
         self.details.add(pd.DataFrame(details, columns=["id", "order_id", "sku", "at"]).astype({"sku": "int32"}))
 
-    def pairs(self):
+    def sides(self):
         def rows(feed, schema):
             read = self.spark.readStream.schema(schema).parquet(feed.folder)
             return read.withColumn("ingest_time", F.timestamp_seconds("at")).drop("at")
 
-        return arrival_pairs(rows(self.orders, ORDERS), rows(self.details, DETAILS), f"{KEEP} seconds", self.clock)
+        return rows(self.orders, ORDERS), rows(self.details, DETAILS)
+
+    def pairs(self):
+        return arrival_pairs(*self.sides(), f"{KEEP} seconds", self.clock)
 
     def writer(self):
         return self.pairs().writeStream.format("parquet").outputMode("append").option("path", f"{self.folder}/rows")
@@ -72,6 +77,19 @@ class Join:
         return self.found()
 
 
+class BatchJoin(Join):
+    """The same with window functions in each batch."""
+
+    def write(self, pairs, batch_id):
+        pairs.write.mode("overwrite").parquet(f"{self.folder}/rows/batch={batch_id}")
+
+    def sink(self):
+        return arrival_sink(self.spark, self.folder, self.write, f"{KEEP} seconds", self.clock)
+
+    def writer(self):
+        return arrivals_of(*self.sides()).writeStream.foreachBatch(self.sink())
+
+
 GOLDEN = [
     # A waits 180 s, as its set was refreshed at 90 s; the interval join would miss the pair.
     (0, "detail", "1", "A"), (90, "detail", "1", "B"), (180, "a order", "1", "o1"),
@@ -85,9 +103,10 @@ GOLDEN = [
 ]
 
 
+@pytest.mark.parametrize("form", [Join, BatchJoin])
 @pytest.mark.parametrize("cuts", [[], [95, 160]])
-def test_golden_arrivals(spark, tmp_path, cuts):
-    join = Join(spark, tmp_path)
+def test_golden_arrivals(spark, tmp_path, cuts, form):
+    join = form(spark, tmp_path)
     for low, high in zip([-1, *cuts], [*cuts, 1000]):
         join.batch([a for a in GOLDEN if low < a[0] <= high])
         found = join.run()
@@ -95,22 +114,24 @@ def test_golden_arrivals(spark, tmp_path, cuts):
     assert found == want == replay(GOLDEN)
 
 
-def test_random_arrivals_equal_the_replay(spark, tmp_path):
+@pytest.mark.parametrize("form", [Join, BatchJoin])
+def test_random_arrivals_equal_the_replay(spark, tmp_path, form):
     draw = random.Random(4)
     arrivals = []
     for n in range(60):
         for i in range(draw.randrange(1, 9)):
             kind = draw.choice(["a order", "detail", "detail"])
             arrivals.append((draw.randrange(600), kind, f"k{n}", f"{kind[0]}{n}-{i}"))
-    join = Join(spark, tmp_path)
+    join = form(spark, tmp_path)
     for low in (0, 200, 400):
         join.batch([a for a in arrivals if low <= a[0] < low + 200])
         found = join.run()
     assert found == replay(arrivals) and len(found) > 60
 
 
-def test_wall_clock_and_rows_without_an_order(spark, tmp_path):
-    join = Join(spark, tmp_path, clock="processing")
+@pytest.mark.parametrize("form", [Join, BatchJoin])
+def test_wall_clock_and_rows_without_an_order(spark, tmp_path, form):
+    join = form(spark, tmp_path, clock="processing")
     join.batch([(0, "detail", "1", "A"), (500, "detail", None, "N"), (900, "detail", "2", "B")])
     # A stream with timers of the wall clock never runs out of batches, so it is stopped.
     query = start(join.writer(), f"{join.folder}/checkpoint", "1 second")
@@ -130,3 +151,21 @@ def test_wall_clock_and_rows_without_an_order(spark, tmp_path):
 def test_unknown_clock(spark, tmp_path):
     with pytest.raises(ValueError):
         Join(spark, tmp_path, clock="sundial").run()
+
+
+def test_a_repeated_batch_gives_its_pairs_once(spark, tmp_path):
+    join = BatchJoin(spark, tmp_path, clock="transport")
+    rows = spark.createDataFrame(
+        [("1", 1, 0, None, ("A", 7)), ("2", 1, 0, None, ("B", 7)), ("1", 1, 60_000_000, None, ("A", 7))],
+        "order_id string, side int, arrived bigint, o struct<order_status:string,create_time:string,user_id:string>, d struct<id:string,sku:int>",
+    )
+    orders = spark.createDataFrame(
+        [("1", 0, 130_000_000, ("o1", "", "u"), None), ("2", 0, 130_000_000, ("o2", "", "u"), None)], rows.schema
+    )
+    sink = join.sink()
+    for batch, part in enumerate((rows, orders, rows.limit(0), rows.limit(0))):
+        sink(part, batch)
+        sink(part, batch)
+    # A was refreshed at 60 s by its second delivery, B has been forgotten; only the last two states are kept.
+    assert join.found() == [("o1", "A")]
+    assert sorted(p.name for p in Path(f"{join.folder}/state").iterdir()) == ["2", "3"]
