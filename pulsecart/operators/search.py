@@ -54,6 +54,24 @@ def page(found: DataFrame, order: Sequence[str | Column], number: int, size: int
     return slice_hits(found, order, (number - 1) * size, size)
 
 
+def after(found: DataFrame, order: Sequence[str], last: Sequence, size: int) -> DataFrame:
+    """The hits that follow a row, given by its values of the ``order`` columns, the last of them unique.
+
+    Instead of counting rows to skip, it asks for keys beyond the last one shown, so the first key reaches the
+    file scan and prunes the files of a table that is stored in this order. Ascending; nulls come first.
+    """
+    if len(order) != len(last):
+        raise ValueError("a value for each order column expected")
+    beyond = F.lit(False)
+    for name, value in reversed(list(zip(order, last))):
+        column = F.col(name)
+        more = column.isNotNull() if value is None else column > F.lit(value)
+        beyond = more | (column.eqNullSafe(F.lit(value)) & beyond)
+    if last[0] is not None:
+        beyond = (F.col(order[0]) >= F.lit(last[0])) & beyond
+    return found.filter(beyond).orderBy(*order).limit(size)
+
+
 def sales_of(sales: DataFrame, day: str | None = None, keyword: str | None = None) -> DataFrame:
     """Sale details of a day whose product name matches the keyword, if one is given."""
     found = sales.filter(F.col("dt") == (day or DEFAULT_SALE_DAY))

@@ -7,8 +7,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pulsecart.functions import day_before, day_text, within_days
 from pulsecart.operators import activity as A
 from pulsecart.plans.settings import DAY, TIE
+from pulsecart.sinks.first_seen import FirstSeen
 from pulsecart.sources import adapters
 from pulsecart.sources.tables import read_table
+from pulsecart.workspace import run_folder
 
 # Columns of the daily-active table that the events table can fill.
 FILLED = ["mid", "uid", "type", "logdate", "loghour", "ts"]
@@ -89,6 +91,15 @@ def dau_new_devices(spark, sf):
     return A.new_devices(_daily(spark, sf))
 
 
+def dau_new_devices_kept(spark, sf):
+    """The same from first days that are kept up over four batches, by the tens of days of a month, one of them late."""
+    first = FirstSeen(spark, run_folder(spark, "first-seen"))
+    tens = F.dayofmonth(F.to_date("logdate")) / 10
+    for batch, ten in enumerate((0, 2, 1, 3)):
+        first.merge(_daily(spark, sf).where(F.floor(tens) == ten), "daily", batch)
+    return first.new_devices()
+
+
 def dau_pct_change(spark, sf):
     return A.day_over_day(A.totals(_daily(spark, sf)))
 
@@ -115,6 +126,7 @@ QUERIES = {
     "dau_stage_counts": dau_stage_counts,
     "dau_kpis": dau_kpis,
     "dau_new_devices": dau_new_devices,
+    "dau_new_devices_kept": dau_new_devices_kept,
     "dau_pct_change": dau_pct_change,
     "dau_anti_seen": dau_anti_seen,
     "dau_previous_days": dau_previous_days,
@@ -183,3 +195,4 @@ SQL = {
     "dau_previous_days": f"""{_DAILY} SELECT DISTINCT logdate,
         strftime(logdate::DATE - 1, '%Y-%m-%d') AS previous FROM daily""",
 }
+SQL["dau_new_devices_kept"] = SQL["dau_new_devices"]

@@ -9,6 +9,7 @@ from pulsecart.plans.settings import BRAND, KEYWORD
 from pulsecart.sources import adapters
 from pulsecart.sources.index import hits
 from pulsecart.sources.postings import Postings
+from pulsecart.sources.ranked_pages import RankedPages
 from pulsecart.sources.tables import read_table
 from pulsecart.workspace import run_folder
 
@@ -56,7 +57,25 @@ def search_match_postings(spark, sf):
     return postings.matching(parts, OR_WORDS).select("_id", "name")
 
 
+DEEP_ORDER = ["l_shipdate", "l_orderkey", "l_linenumber"]
+DEEP_PAGE, DEEP_SIZE, DEEP_RANGES = 1000, 5, 16
+
+
+def search_deep_pages(spark, sf):
+    """A deep page of all order lines from places in ranges, and the one after it from the last key of that page."""
+    lines = read_table(spark, sf, "lineitem").select(*DEEP_ORDER, "l_partkey")
+    pages = RankedPages(spark, f"{run_folder(spark, 'pages')}/lines").write(lines, DEEP_ORDER, DEEP_RANGES)
+    shown = pages.page(DEEP_PAGE, DEEP_SIZE)
+    rows = shown.collect()  # one page
+    named = lambda rows, page: rows.select(F.lit(page).cast("int").alias("page"), *DEEP_ORDER[1:], "l_partkey")
+    if not rows:
+        return named(shown, DEEP_PAGE)
+    following = S.after(lines, DEEP_ORDER, [rows[-1][c] for c in DEEP_ORDER], DEEP_SIZE)
+    return named(shown, DEEP_PAGE).unionByName(named(following, DEEP_PAGE + 1))
+
+
 QUERIES = {
+    "search_deep_pages": search_deep_pages,
     "search_terms_max": search_terms_max,
     "search_top_sizes": search_top_sizes,
     "search_total": search_total,
@@ -81,4 +100,7 @@ SQL = {
     "search_match_any": """SELECT p_partkey::VARCHAR AS _id, p_name AS name FROM part
         WHERE list_has_any(regexp_split_to_array(lower(p_name), '\\W+'), ['ring', 'bolt'])""",
 }
+SQL["search_deep_pages"] = f"""SELECT ({DEEP_PAGE} + (n - 1) // {DEEP_SIZE})::INT AS page, l_orderkey, l_linenumber, l_partkey FROM (
+    SELECT *, row_number() OVER () AS n FROM (SELECT * FROM lineitem ORDER BY {", ".join(DEEP_ORDER)}
+    LIMIT {2 * DEEP_SIZE} OFFSET {(DEEP_PAGE - 1) * DEEP_SIZE}))"""
 SQL["search_match_postings"] = SQL["search_match_any"]
