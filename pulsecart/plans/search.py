@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pulsecart.operators import search as S
+from pulsecart.operators.sketches import merged_terms, term_sketches
 from pulsecart.plans.settings import BRAND, KEYWORD
 from pulsecart.sources import adapters
 from pulsecart.sources.index import hits
 from pulsecart.sources.postings import Postings
 from pulsecart.sources.ranked_pages import RankedPages
 from pulsecart.sources.tables import read_table
-from pulsecart.workspace import run_folder
+from pulsecart.workspace import materialise, run_folder
 
 INDEX = "parts"
 OR_WORDS = "ring Bolt"
@@ -57,6 +58,12 @@ def search_match_postings(spark, sf):
     return postings.matching(parts, OR_WORDS).select("_id", "name")
 
 
+def search_sizes_merged(spark, sf):
+    """The top sizes from one stored summary for each brand, merged; exact, as there are few sizes."""
+    sketches = materialise(term_sketches(_documents(spark, sf), ["brand"], "size"), "sketches")
+    return merged_terms(sketches, size=10).select(F.col("item").alias("size"), "doc_count")
+
+
 DEEP_ORDER = ["l_shipdate", "l_orderkey", "l_linenumber"]
 DEEP_PAGE, DEEP_SIZE, DEEP_RANGES = 1000, 5, 16
 
@@ -75,6 +82,7 @@ def search_deep_pages(spark, sf):
 
 
 QUERIES = {
+    "search_sizes_merged": search_sizes_merged,
     "search_deep_pages": search_deep_pages,
     "search_terms_max": search_terms_max,
     "search_top_sizes": search_top_sizes,
@@ -100,6 +108,7 @@ SQL = {
     "search_match_any": """SELECT p_partkey::VARCHAR AS _id, p_name AS name FROM part
         WHERE list_has_any(regexp_split_to_array(lower(p_name), '\\W+'), ['ring', 'bolt'])""",
 }
+SQL["search_sizes_merged"] = SQL["search_top_sizes"]
 SQL["search_deep_pages"] = f"""SELECT ({DEEP_PAGE} + (n - 1) // {DEEP_SIZE})::INT AS page, l_orderkey, l_linenumber, l_partkey FROM (
     SELECT *, row_number() OVER () AS n FROM (SELECT * FROM lineitem ORDER BY {", ".join(DEEP_ORDER)}
     LIMIT {2 * DEEP_SIZE} OFFSET {(DEEP_PAGE - 1) * DEEP_SIZE}))"""
