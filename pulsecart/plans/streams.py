@@ -236,7 +236,7 @@ def stream_sale_arrival(spark, sf):
         rows = pairs.select("o_id", "o_order_status", "o_user_id", "d_id", "d_sku_id", F.col("d_sku_num").cast("string").alias("d_sku_num"))
         rows.write.mode("overwrite").parquet(f"{folder}/rows/batch={batch_id}")
 
-    sink = arrival_sink(spark, folder, write, ARRIVAL_LIFE, clock="transport")
+    sink = arrival_sink(folder, write, ARRIVAL_LIFE, clock="transport")
     for _ in _sale_slices(spark, sf, folder):
         orders = adapters.order_info(_grown(spark, "orders", folder))
         details = adapters.order_detail_keys(_grown(spark, "lineitem", folder))

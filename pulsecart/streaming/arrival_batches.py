@@ -11,7 +11,7 @@ import time
 from collections.abc import Callable
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pulsecart.functions import seconds_in
 from pulsecart.schemas import JOIN_TOLERANCE
@@ -89,7 +89,6 @@ def _remembered(marked: DataFrame, keep: int, reached: int) -> DataFrame:
 
 
 def arrival_sink(
-    spark: SparkSession,
     folder: str,
     write: Callable[[DataFrame, int], None],
     keep: str = JOIN_TOLERANCE,

@@ -84,7 +84,7 @@ class BatchJoin(Join):
         pairs.write.mode("overwrite").parquet(f"{self.folder}/rows/batch={batch_id}")
 
     def sink(self):
-        return arrival_sink(self.spark, self.folder, self.write, f"{KEEP} seconds", self.clock)
+        return arrival_sink(self.folder, self.write, f"{KEEP} seconds", self.clock)
 
     def writer(self):
         return arrivals_of(*self.sides()).writeStream.foreachBatch(self.sink())
