@@ -26,6 +26,7 @@ from pulsecart.sinks.keyed_table import KeyedTable
 
 DAILY_ACTIVE = ", ".join(f"{c} {'bigint' if c == 'ts' else 'string'}" for c in DAILY_ACTIVE_COLUMNS)
 SEEN_FOR = "24 hours"
+SEEN_BUCKETS = 64
 
 
 def on_arrival(startup: DataFrame, keep: str = SEEN_FOR, salts: int = 1) -> DataFrame:
@@ -67,29 +68,53 @@ def earliest_so_far(startup: DataFrame, delay: str, tie: Sequence[str] = ()) ->
 
 
 def _first_batch_processor(columns: list[str], order: list[str], keep_ms: int, wall_clock: bool) -> StatefulProcessor:
+    def firsts(rows: pd.DataFrame) -> pd.DataFrame:
+        return rows.sort_values(order, kind="stable").drop_duplicates("mid")
+
     class FirstBatch(StatefulProcessor):
-        """State of one device and day: until when it counts as seen. Event time clears it by a timer; with the
-        wall clock, the state itself expires."""
+        """State of a day's devices in one bucket: until when each counts as seen. It is read and added to as a whole,
+        so a device costs no calls of its own. A timer at the earliest end clears what has run out."""
 
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.handle = handle
-            until = T.StructType([T.StructField("until", T.LongType())])
-            self.seen = handle.getValueState("seen", until, ttlDurationMs=keep_ms if wall_clock else None)
+            self.seen = handle.getListState("seen", "mid string, until bigint")
+
+        def now(self, timerValues) -> int:
+            return timerValues.getCurrentProcessingTimeInMs() if wall_clock else timerValues.getCurrentWatermarkInMs()
 
         def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-            best = None
-            for chunk in [] if self.seen.exists() else rows:
-                chunk = chunk if best is None else pd.concat([best, chunk])
-                best = chunk.sort_values(order, kind="stable").head(1)
-            if best is not None:
-                since = timerValues.getCurrentProcessingTimeInMs() if wall_clock else int(best["ts"].iloc[0])
-                self.seen.update((since + keep_ms,))
-                if not wall_clock:
-                    self.handle.registerTimer(since + keep_ms)
-                yield best[columns]
+            held = list(self.seen.get()) if self.seen.exists() else []
+            # By the wall clock a device is free when its time is up, by event time when its timer has fired.
+            known = [h for h in held if not wall_clock or h[1] > self.now(timerValues)]
+            mids = {mid for mid, _ in known}
+            parts, size, merged = [], 0, 0
+            for chunk in rows:
+                part = firsts(chunk[[m not in mids for m in chunk["mid"]]])
+                parts, size = [*parts, part], size + len(part)
+                if size > 2 * merged + 10_000:
+                    parts = [firsts(pd.concat(parts))]
+                    size = merged = len(parts[0])
+            best = firsts(pd.concat(parts))
+            if best.empty:
+                return
+            since = best["ts"].astype("int64") if not wall_clock else [self.now(timerValues)] * len(best)
+            new = [(mid, int(at) + keep_ms) for mid, at in zip(best["mid"], since)]
+            if len(known) < len(held):
+                self.seen.put(known + new)
+            else:
+                self.seen.appendList(new)
+            self.handle.registerTimer(min(until for _, until in new))
+            yield best[columns]
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-            self.seen.clear()
+            now, fired = self.now(timerValues), expiredTimerInfo.getExpiryTimeInMs()
+            held = list(self.seen.get()) if self.seen.exists() else []
+            left = [h for h in held if h[1] >= now and h[1] > fired]
+            if not left:
+                self.seen.clear()
+            elif len(left) < len(held):
+                self.seen.put(left)
+                self.handle.registerTimer(min(until for _, until in left))
             return iter([])
 
         def close(self) -> None:
@@ -99,7 +124,11 @@ def _first_batch_processor(columns: list[str], order: list[str], keep_ms: int, w
 
 
 def first_batch(
-    startup: DataFrame, tie: Sequence[str] = (), keep: str = "48 hours", clock: str = "event"
+    startup: DataFrame,
+    tie: Sequence[str] = (),
+    keep: str = "48 hours",
+    clock: str = "event",
+    buckets: int = SEEN_BUCKETS,
 ) -> DataFrame:
     """The earliest row of the first batch in which a device shows up on a day.
 
@@ -108,6 +137,9 @@ def first_batch(
     ``processing``, it counts from the batch, as a store with expiring keys does (for streams that are stopped:
     run over available data, such a stream does not end). Needs Python state, which
     :func:`seen_set` reads; :func:`first_batch_sink` gives the same rows from built-in operators.
+
+    The devices of a day share ``buckets`` groups of state, fixed by the first checkpoint. A batch reads the groups of
+    its devices: more buckets make a small batch cheaper and one of many devices dearer.
     """
     if clock not in ("event", "processing"):
         raise ValueError("clock must be event or processing")
@@ -116,7 +148,8 @@ def first_batch(
         rows = rows.withWatermark("event_time", keep)
     order = ["ts", *tie] if tie else ["ts", *[c for c in DAILY_ACTIVE_COLUMNS if c != "ts"]]
     keep_ms = seconds_in(keep) * 1000
-    return rows.groupBy(*DEVICE_DAY).transformWithStateInPandas(
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("mid"), F.lit(buckets)).cast("int"))
+    return rows.groupBy("logdate", "bucket").transformWithStateInPandas(
         statefulProcessor=_first_batch_processor(DAILY_ACTIVE_COLUMNS, order, keep_ms, clock == "processing"),
         outputStructType=T.StructType.fromDDL(DAILY_ACTIVE),
         outputMode="Append",
@@ -131,10 +164,7 @@ def seen_set(spark: SparkSession, checkpoint: str, as_of_ms: int | None = None)
     ``as_of_ms`` leaves out what has expired by then.
     """
     state = spark.read.format("statestore").option("stateVarName", "seen").load(checkpoint)
-    # State that expires by itself is stored with its time of expiry around the value.
-    expires = "ttlExpirationMs" in state.schema["value"].dataType.names
-    until = F.col("value.value.until" if expires else "value.until")
-    rows = state.select("key.mid", "key.logdate", until.alias("until"))
+    rows = state.select("list_element.mid", "key.logdate", "list_element.until")
     return rows if as_of_ms is None else rows.where(F.col("until") > as_of_ms)
 
 
