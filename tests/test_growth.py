@@ -25,3 +25,17 @@ def test_devices_of_a_day_share_groups_of_state(spark, tmp_path):
     assert {(r["mid"], r["uid"]) for r in got.collect()} == expected and got.count() == 302
     state = spark.read.format("statestore").option("stateVarName", "seen").load(f"{folder}/checkpoint")
     assert state.select("key").distinct().count() == 8
+
+
+def test_part_of_a_group_of_state_runs_out(spark, tmp_path):
+    feed, folder = Feed(tmp_path / "in"), run_folder(spark, "part")
+    feed.add(startups(("a", 1, T0), ("b", 2, T0 + 2 * HOUR), ("c", 3, T0 + 5 * HOUR)))
+    feed.add(startups(("z", 4, T0 + 2 * DAY + HOUR)))  # the watermark passes the end of a
+    feed.add(startups(("b", 5, T0 + DAY + 3 * HOUR), ("z", 6, T0 + 2 * DAY + 3 * HOUR)))  # and then that of b
+    rows = first_batch(spark, feed, folder, "24 hours", buckets=1)
+    assert sorted(r["uid"] for r in rows.collect()) == ["u1", "u2", "u3", "u4", "u5"]
+    seen = daily_active.seen_set(spark, f"{folder}/checkpoint")
+    assert {(r["mid"], r["logdate"], r["until"]) for r in seen.collect()} == {
+        ("c", "2024-01-15", T0 + DAY + 5 * HOUR), ("b", "2024-01-16", T0 + 2 * DAY + 3 * HOUR),
+        ("z", "2024-01-17", T0 + 3 * DAY + HOUR),
+    }
