@@ -31,7 +31,7 @@ from pulsecart.sinks.preview import PREVIEW_ROWS
 from pulsecart.streaming import alerts, changes, daily_active, gmv, sales, users
 from pulsecart.streaming.arrival_batches import arrival_sink, arrivals_of
 from pulsecart.streaming.fan_out import fan_out
-from pulsecart.streaming.runtime import drain, drain_to_files
+from pulsecart.streaming.runtime import ROWS_AT_ONCE, drain, drain_to_files
 from pulsecart.workspace import materialise, run_folder
 
 DELAY = "1 hour"
@@ -224,7 +224,8 @@ def stream_sale_detail_late(spark, sf):
         details = adapters.order_detail_keys(_grown(spark, "lineitem", folder))
         pairs = sales.live_pairs(orders, details, TOLERANCE, delay="60 days")
         rows = wide_rows(with_product_fields(pairs, read_table(spark, sf, "part")))
-        drain(rows.writeStream.format("parquet").outputMode("append").option("path", out), f"{folder}/checkpoint")
+        writer = rows.writeStream.format("parquet").outputMode("append").option("path", out)
+        drain(writer, f"{folder}/checkpoint", ROWS_AT_ONCE)
     return spark.read.schema(rows.schema).parquet(out)
 
 

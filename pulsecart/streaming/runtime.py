@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator, Mapping
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from pulsecart.workspace import run_folder
@@ -11,30 +14,56 @@ from pulsecart.workspace import run_folder
 TRIGGER = "5 seconds"
 
 
+# Settings of a stream whose rows all come with the batch of their input: inner joins, and aggregates in update mode.
+# Old state goes with the next batch that has rows, not with a batch of its own, and is not counted at every change.
+ROWS_AT_ONCE = {
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+    "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
+}
+
+
+@contextmanager
+def _set(spark: SparkSession, settings: Mapping[str, str]) -> Iterator[None]:
+    """Settings of the session meanwhile; a stream keeps those it was started with."""
+    before = {key: spark.conf.get(key, None) for key in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def start(
-    writer: DataStreamWriter, checkpoint: str, trigger: str | None = TRIGGER
+    writer: DataStreamWriter,
+    checkpoint: str,
+    trigger: str | None = TRIGGER,
+    settings: Mapping[str, str] | None = None,
 ) -> StreamingQuery:
-    """Start a stream whose progress and state live in ``checkpoint``.
+    """Start a stream whose progress and state live in ``checkpoint``, with settings of its own if any are given.
 
     With ``trigger=None`` it takes what is there and stops.
     """
     writer = writer.option("checkpointLocation", checkpoint)
-    if trigger is None:
-        return writer.trigger(availableNow=True).start()
-    return writer.trigger(processingTime=trigger).start()
+    writer = writer.trigger(availableNow=True) if trigger is None else writer.trigger(processingTime=trigger)
+    with _set(SparkSession.active(), settings or {}):
+        return writer.start()
 
 
-def drain(writer: DataStreamWriter, checkpoint: str) -> StreamingQuery:
+def drain(
+    writer: DataStreamWriter, checkpoint: str, settings: Mapping[str, str] | None = None
+) -> StreamingQuery:
     """Run a stream over all available data and wait for its end."""
-    query = start(writer, checkpoint, trigger=None)
+    query = start(writer, checkpoint, trigger=None, settings=settings)
     query.awaitTermination()
     return query
 
 
-def drain_to_files(df: DataFrame, label: str) -> DataFrame:
+def drain_to_files(df: DataFrame, label: str, settings: Mapping[str, str] | None = None) -> DataFrame:
     """Run an append-mode stream over all available data into files and read them."""
     spark = df.sparkSession
     folder = run_folder(spark, label)
     writer = df.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/rows")
-    drain(writer, f"{folder}/checkpoint")
+    drain(writer, f"{folder}/checkpoint", settings)
     return spark.read.schema(df.schema).parquet(f"{folder}/rows")

@@ -4,7 +4,7 @@ import pandas as pd
 
 from feeds import Feed
 from pulsecart.streaming import daily_active
-from pulsecart.streaming.runtime import drain
+from pulsecart.streaming.runtime import ROWS_AT_ONCE, drain
 from pulsecart.workspace import run_folder
 from test_streams import DAY, HOUR, T0, as_startup, raw_stream, startups
 
@@ -39,3 +39,15 @@ def test_part_of_a_group_of_state_runs_out(spark, tmp_path):
         ("c", "2024-01-15", T0 + DAY + 5 * HOUR), ("b", "2024-01-16", T0 + 2 * DAY + 3 * HOUR),
         ("z", "2024-01-17", T0 + 3 * DAY + HOUR),
     }
+
+
+def test_a_stream_of_pairs_has_no_batches_without_rows(spark, tmp_path):
+    folder, feed = run_folder(spark, "pairs"), Feed(tmp_path / "in")
+    feed.add(startups(("a", 1, T0))).add(startups(("a", 2, T0 + 9 * DAY)))
+    rows = daily_active.earliest_so_far(as_startup(raw_stream(spark, feed.folder)), "1 hour", ["tie"])
+    sizes = []
+    writer = rows.writeStream.outputMode("update").foreachBatch(lambda batch, _: sizes.append(batch.count()))
+    key = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(key)
+    drain(writer, f"{folder}/checkpoint", ROWS_AT_ONCE)
+    assert sizes == [1, 1] and spark.conf.get(key) == before
