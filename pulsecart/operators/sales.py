@@ -55,17 +55,14 @@ def pairs_and_alone(
 ) -> DataFrame:
     """The full outer join of a batch: pairs, and rows of either side without a partner.
 
-    Put together from joins that can be split on a hot order, which a full outer join cannot.
+    Put together from joins that can be split on a hot order, which a full outer join cannot. One outer join on the
+    details gives the pairs and the details alone, so whole details are shuffled once.
     """
     columns = [f"o_{c}" for c in _ORDER_FIELDS] + [f"d_{c}" for c in details.columns]
-    pairs = pair_within(orders, details, tolerance).select(*columns)
-    alone = [
-        _marked(_orders_alone(orders, details, tolerance).select(*_ORDER_FIELDS), "o_"),
-        _details_alone(orders, details, tolerance),
-    ]
-    for side in alone:
-        pairs = pairs.unionByName(side, allowMissingColumns=True)
-    return pairs
+    left, right = _marked(details, "d_"), _marked(orders.select(*_ORDER_FIELDS), "o_")
+    met = left.join(right, within_tolerance(tolerance), "left").select(*columns)
+    alone = _marked(_orders_alone(orders, details, tolerance).select(*_ORDER_FIELDS), "o_")
+    return met.unionByName(alone, allowMissingColumns=True)
 
 
 def wide_rows(pairs: DataFrame) -> DataFrame:

@@ -1,8 +1,12 @@
 """Work that must not grow with the number of keys, batches or reads of a batch."""
 
+import re
+
 import pandas as pd
 
 from feeds import Feed
+from pulsecart.functions import time_of
+from pulsecart.operators import sales as SD
 from pulsecart.streaming import daily_active
 from pulsecart.streaming.runtime import ROWS_AT_ONCE, drain
 from pulsecart.workspace import run_folder
@@ -51,3 +55,19 @@ def test_a_stream_of_pairs_has_no_batches_without_rows(spark, tmp_path):
     before = spark.conf.get(key)
     drain(writer, f"{folder}/checkpoint", ROWS_AT_ONCE)
     assert sizes == [1, 1] and spark.conf.get(key) == before
+
+
+def test_whole_details_are_read_once_for_the_pairs_and_the_details_alone(spark, tmp_path):
+    folder = str(tmp_path)
+    spark.createDataFrame(
+        [("1", "s", "2024-01-01 00:00:00", "u", 0), ("1", "s", "2024-01-01 00:00:00", "u", 50), ("2", "s", "x", "u", 0),
+         (None, "s", "x", "u", 0)],
+        "id string, order_status string, create_time string, user_id string, at bigint",
+    ).withColumn("ingest_time", time_of("at")).drop("at").write.parquet(f"{folder}/o")
+    spark.createDataFrame([("a", "1", 10), ("a", "1", 10), ("b", "1", 999_000), ("c", None, 0)], "id string, order_id string, at bigint").withColumn(
+        "ingest_time", time_of("at")).drop("at").write.parquet(f"{folder}/d")
+    got = SD.pairs_and_alone(spark.read.parquet(f"{folder}/o"), spark.read.parquet(f"{folder}/d"), "30 seconds")
+    rows = sorted(((r["o_id"], r["d_id"]) for r in got.collect()), key=str)
+    assert rows == sorted([("1", "a")] * 4 + [("2", None), (None, None), (None, "b"), (None, "c")], key=str)
+    scans = re.findall(r"FileScan parquet \[([^]]*)\][^\n]*?/d\]", got._jdf.queryExecution().optimizedPlan().toString() + got._jdf.queryExecution().sparkPlan().toString())
+    assert sum("id#" in re.sub("order_id#", "", s) for s in scans) == 1 and len(scans) == 2
