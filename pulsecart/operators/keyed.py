@@ -45,6 +45,25 @@ def with_generated_ids(df: DataFrame, id_column: str, *source: str) -> DataFrame
     return df.filter(F.col(id_column).isNotNull()).unionByName(named.drop("_content"))
 
 
+def last_with_ids(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], id_column: str, *source: str
+) -> DataFrame:
+    """:func:`last_by` after :func:`with_generated_ids`, with the same ids, from one pass over the rows.
+
+    The rows of a micro-batch are computed anew for every read of them, state and all, so they are read once.
+    """
+    keys, order = list(keys), list(order)
+    content = F.sha2(F.concat_ws("|", *[F.lit(x) for x in source], F.to_json(F.struct("*"))), 256)
+    alone = F.when(F.col(id_column).isNull(), content)
+    rest = [c for c in df.columns if c not in keys and c not in order]
+    row = [F.max(F.struct(*order, *rest)).alias("_row")] if order or rest else []
+    last = df.withColumn("_content", alone).groupBy(*keys, "_content").agg(*row, F.count("*").alias("_n"))
+    number = F.sequence(F.lit(1).cast("bigint"), F.when(F.col("_content").isNull(), F.lit(1)).otherwise(F.col("_n")))
+    named = F.coalesce(id_column, F.concat_ws("-", "_content", F.col("_number").cast("string")))
+    columns = [F.col(c) if c in keys else F.col(f"_row.`{c}`").alias(c) for c in df.columns]
+    return last.withColumn("_number", F.explode(number)).withColumn(id_column, named).select(*columns)
+
+
 def upsert(base: DataFrame, changes: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``base`` with the rows of ``changes`` put in by key; ``changes`` has one row per key.
 

@@ -302,7 +302,7 @@ def stream_sale_table(spark, sf):
     folder = run_folder(spark, "stream-sale-table")
     table = sales.sale_table(spark, f"{folder}/table", part_length=7)
     sink = sales.enriching_sink(table, lambda: _users(spark, sf), AS_OF, "sales")
-    drain(_live_sales(spark, sf).writeStream.foreachBatch(sink), f"{folder}/checkpoint")
+    drain(_live_sales(spark, sf).writeStream.foreachBatch(sink), f"{folder}/checkpoint", ROWS_AT_ONCE)
     return table.read()
 
 

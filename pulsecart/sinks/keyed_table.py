@@ -9,7 +9,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from pulsecart.operators.keyed import last_by, with_generated_ids
+from pulsecart.operators.keyed import last_by, last_with_ids, with_generated_ids
 
 _PART, _WRITE = "_part", "_write"
 _WHOLE = "all"
@@ -63,9 +63,14 @@ class KeyedTable:
         done = f"{self.path}/batches/{writer}/{batch_id:012d}"
         if self._exists(done):
             return False
-        if isinstance(self.schema[self.keys[0]].dataType, T.StringType):
-            rows = with_generated_ids(rows, self.keys[0], writer, str(batch_id))
-        self._append(rows if unique else last_by(rows, self.row_keys(), order))
+        named = isinstance(self.schema[self.keys[0]].dataType, T.StringType)
+        source = (self.keys[0], writer, str(batch_id))
+        if unique:
+            self._append(with_generated_ids(rows, *source) if named else rows)
+        elif named:
+            self._append(last_with_ids(rows, self.row_keys(), order, *source))
+        else:
+            self._append(last_by(rows, self.row_keys(), order))
         self._touch(done)
         return True
 

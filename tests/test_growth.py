@@ -7,6 +7,8 @@ import pandas as pd
 from feeds import Feed
 from pulsecart.functions import time_of
 from pulsecart.operators import sales as SD
+from pulsecart.operators.keyed import with_generated_ids
+from pulsecart.sinks.keyed_table import KeyedTable
 from pulsecart.streaming import daily_active
 from pulsecart.streaming.runtime import ROWS_AT_ONCE, drain
 from pulsecart.workspace import run_folder
@@ -71,3 +73,22 @@ def test_whole_details_are_read_once_for_the_pairs_and_the_details_alone(spark,
     assert rows == sorted([("1", "a")] * 4 + [("2", None), (None, None), (None, "b"), (None, "c")], key=str)
     scans = re.findall(r"FileScan parquet \[([^]]*)\][^\n]*?/d\]", got._jdf.queryExecution().optimizedPlan().toString() + got._jdf.queryExecution().sparkPlan().toString())
     assert sum("id#" in re.sub("order_id#", "", s) for s in scans) == 1 and len(scans) == 2
+
+
+def test_a_batch_is_read_once_for_a_keyed_table(spark):
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(rows):
+        for part in rows:
+            reads.add(len(part))
+            yield part
+
+    layout = "id string, dt string, n int"
+    data = [("a", "2024-01-01", 1), ("a", "2024-01-01", 2), (None, "2024-01-01", 3), (None, "2024-01-01", 3), (None, "2024-01-02", 4)]
+    table = KeyedTable(spark, run_folder(spark, "once"), layout, ["id"], day_column="dt")
+    batch = spark.createDataFrame(data, layout).coalesce(1).mapInPandas(seen, layout)
+    assert table.write(batch, "w", 0, ["n"]) and reads.value == len(data)
+    got = table.read().collect()
+    assert sorted((r["dt"], r["n"]) for r in got) == [("2024-01-01", 2), ("2024-01-01", 3), ("2024-01-01", 3), ("2024-01-02", 4)]
+    whole = with_generated_ids(spark.createDataFrame(data, layout), "id", "w", "0")
+    assert {r["id"] for r in got} == {r["id"] for r in whole.collect()}
