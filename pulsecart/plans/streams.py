@@ -199,7 +199,7 @@ def _users(spark: SparkSession, sf: str) -> DataFrame:
 def stream_sale_detail(spark, sf):
     """Two-stream join with the buyer looked up in the stream, into plain files."""
     enriched = with_user(_live_sales(spark, sf), _users(spark, sf), AS_OF)
-    return drain_to_files(enriched, "stream-sales")
+    return drain_to_files(enriched, "stream-sales", ROWS_AT_ONCE)
 
 
 def _sale_slices(spark: SparkSession, sf: str, folder: str, shift_days: int = 0):
