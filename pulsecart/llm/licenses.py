@@ -26,7 +26,8 @@ may therefore name words that a block or run must hold besides (those that tell
 not hold (those of a license whose name contains its own). Where one line holds both such licenses, the longer name
 counts, and the shorter one is left to the phrases.
 
-Texts without any of the prefix words are passed over before they are cut to words.
+Each text is cut to words once. Of these only the template words are kept, by line and by place; they are counted
+for the order, and lines and runs are both read from them. Texts without any of the prefix words are passed over.
 
 Fixed phrases are found besides, as consecutive words of the whole text.
 
@@ -76,9 +77,14 @@ TEMPLATES = [
 Template = tuple  # label and sentence, then words that must stand with it, and words that must not
 
 
-def words_of(text: Column) -> Column:
-    """Words of a text in order, A-Z lowered."""
-    return F.filter(F.split(F.translate(text, _UPPER, _LOWER), _SEPARATORS), lambda w: w != "")
+def lowered(text: Column) -> Column:
+    """A-Z lowered; other letters stay. A text of ASCII characters only goes by the function for those."""
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
+
+
+def words_in(low: Column) -> Column:
+    """Words of a lowered text in order."""
+    return F.array_remove(F.split(low, _SEPARATORS), "")
 
 
 def count_words(text: Column) -> Column:
@@ -88,11 +94,17 @@ def count_words(text: Column) -> Column:
     return F.length(F.rtrim(each, F.lit(marks))).cast("long")
 
 
-def phrase_places(text: Column, phrases: dict[str, str] = PHRASES) -> Column:
-    """All places of the phrases: an array of word number and label. Only a text that has a phrase
-    is turned into words."""
+def has_phrase(low: Column, phrases: dict[str, str] = PHRASES) -> Column:
+    """True for lowered texts that may have a phrase."""
     ends = "|".join(p.rpartition(" ")[0].rpartition(" ")[2] + _SEPARATORS + p.rpartition(" ")[2] for p in phrases)
-    words = words_of(text)
+    any_last = F.lit(False)
+    for last in sorted({p.rpartition(" ")[2] for p in phrases}):
+        any_last = any_last | F.contains(low, F.lit(last))
+    return any_last & low.rlike(f"(?:{ends})")
+
+
+def places_in(words: Column, phrases: dict[str, str] = PHRASES) -> Column:
+    """All places of the phrases among the words: an array of word number and label; none for null."""
     none = F.array().cast("array<struct<at:int,label:string>>")
 
     def places(phrase: str, label: str) -> Column:
@@ -107,7 +119,7 @@ def phrase_places(text: Column, phrases: dict[str, str] = PHRASES) -> Column:
         found = F.filter(F.transform(words, here), lambda i: i.isNotNull())
         return F.transform(found, lambda i: F.struct(i.cast("int").alias("at"), F.lit(label).alias("label")))
 
-    return F.when(text.rlike(f"(?i)(?:{ends})"), F.concat(*[places(p, n) for p, n in phrases.items()])).otherwise(none)
+    return F.coalesce(F.concat(*[places(p, n) for p, n in phrases.items()]), none)
 
 
 class _Index:
@@ -134,30 +146,33 @@ class _Index:
         ranked = [sorted(self.order[w] for w in s) for s in self.sets]
         return [r[: len(r) - need + 1] for r, need in zip(ranked, self.needed)]
 
-    def maybe(self, text: Column) -> Column:
-        """True for texts with a prefix word of some template: no other text can hold one."""
-        starts = {i for p in self._prefixes() for i in p}
-        by_first: dict[str, list[str]] = {}
-        for w in sorted(w for w, i in self.order.items() if i in starts):
-            by_first.setdefault(w[0], []).append(re.escape(w[1:]))
-        either = "|".join(f"{re.escape(c)}(?:{'|'.join(rest)})" for c, rest in by_first.items())
-        return text.rlike(f"(?i)(?:^|{_SEPARATORS[:-1]})(?:{either})(?:$|{_SEPARATORS[:-1]})")
-
-    def candidates(self, documents: DataFrame, key: tuple[str, ...], text: str) -> DataFrame:
-        """Texts that may hold a template: key, lines (distinct template words of each) and hits (places of template
-        words; none in a text of one line)."""
-        in_line = F.transform(
-            F.split(F.col(text), "\n"), lambda t: F.array_distinct(F.filter(words_of(t), lambda w: w.isin(self.known)))
-        )
-        at = F.transform(words_of(F.col(text)), lambda w, i: F.when(w.isin(self.known), F.struct(i.alias("at"), w.alias("word"))))
-        hits = F.when(F.contains(F.col(text), F.lit("\n")), F.filter(at, lambda x: x.isNotNull()))
-        return documents.where(self.maybe(F.col(text))).select(*key, in_line.alias("lines"), hits.alias("hits"))
-
-    def lines(self, documents: DataFrame, key: tuple[str, ...], text: str) -> DataFrame:
-        """Key, block (line number) and distinct template words of each line."""
-        return documents.select(*key, F.posexplode(F.split(F.col(text), "\n")).alias("block", "line")).select(
-            *key, "block", F.array_distinct(F.filter(words_of(F.col("line")), lambda w: w.isin(self.known))).alias("words")
+    def cut(self, documents: DataFrame, key: tuple[str, ...], text: str) -> DataFrame:
+        """Texts cut to words: key, n_words, places (of the phrases), lines (distinct template words of each) and hits
+        (places of template words; none in a text of one line).
+
+        Each step is read more than once by the next, so that Spark takes it once for a text.
+        """
+        known = lambda w: w.isin(self.known)
+        low = documents.select(*key, lowered(F.col(text)).alias("low"))
+        by_line = low.select(*key, has_phrase(F.col("low")).alias("named"), F.transform(F.split("low", "\n"), words_in).alias("by_line"))
+        in_order = by_line.select(*key, "named", "by_line", F.flatten("by_line").alias("words"))
+        at = F.transform("words", lambda w, i: F.when(known(w), F.struct(i.alias("at"), w.alias("word"))))
+        found = in_order.select(
+            *key, F.size("words").cast("long").alias("n_words"), F.when(F.col("named"), F.col("words")).alias("words"),
+            F.transform("by_line", lambda own: F.array_distinct(F.filter(own, known))).alias("lines"),
+            F.when(F.size("by_line") > 1, F.filter(at, lambda x: x.isNotNull())).alias("hits"),
         )
+        return found.select(*key, "n_words", places_in(F.col("words")).alias("places"), "lines", "hits")
+
+    def texts(self, cut: DataFrame) -> DataFrame:
+        """Cut texts with a prefix word of some template: no other text can hold one."""
+        starts = {i for p in self._prefixes() for i in p}
+        prefix = [w for w, i in self.order.items() if i in starts]
+        return cut.where(F.exists("lines", lambda own: F.exists(own, lambda w: w.isin(prefix))))
+
+    def lines(self, cut: DataFrame, key: tuple[str, ...]) -> DataFrame:
+        """Key, block (line number) and distinct template words of each line of cut texts."""
+        return cut.select(*key, F.posexplode("lines").alias("block", "words"))
 
     def rank_by(self, blocks: DataFrame) -> None:
         """Order the words by the number of blocks that hold them, rarest first."""
@@ -227,11 +242,11 @@ class _Index:
             right = (F.size(F.array_except("named", words)) == 0) & ~F.arrays_overlap("unless", words)
             return F.when(right, F.size(F.array_intersect("template_words", words))).otherwise(0)
 
-        most = F.array_max(F.transform("own", held))
+        # As rows of their own: a condition on them would be pushed below, and try all runs of a text again for each word.
+        most = F.filter(F.array(F.array_max(F.transform("own", held))), lambda n: n >= F.col("need"))
         return (
             pairs.select(*key, "label", "template", "template_words", "need", "reach", "named", "unless", own.alias("own"))
-            .select(*key, "label", "template", "need", most.alias("most"), F.size("template_words").alias("size"))
-            .where(F.col("most") >= F.col("need"))
+            .select(*key, "label", "template", F.size("template_words").alias("size"), F.explode(most).alias("most"))
             .select(*key, "label", "template", (F.col("most") / F.col("size")).alias("containment"))
         )
 
@@ -242,7 +257,7 @@ def find_blocks(
 ) -> DataFrame:
     """Blocks that hold a template: the key columns, block (line number), label, template, containment."""
     index = _Index(templates, threshold)
-    lines = index.lines(documents, key, text)
+    lines = index.lines(index.cut(documents, key, text), key)
     index.rank_by(lines)
     return index.blocks(lines, key)
 
@@ -254,8 +269,9 @@ def find_runs(
     """Texts of several lines in which a run of words holds a template: the key columns, label, template, and the
     containment of the best run."""
     index = _Index(templates, threshold)
-    index.rank_by(index.lines(documents, key, text))
-    return index.runs(index.candidates(documents, key, text), key)
+    cut = index.cut(documents, key, text)
+    index.rank_by(index.lines(cut, key))
+    return index.runs(index.texts(cut), key)
 
 
 def scan(
@@ -265,15 +281,13 @@ def scan(
     """One row per document: id, n_words, places (of the phrases), labels and score of the templates that lines hold,
     and wrapped_labels and wrapped_score of those that runs of words across lines hold."""
     own = documents.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_text")).withColumn("_hash", F.xxhash64("_text"))
-    rows = own.select(
-        key, "_hash", count_words(F.col("_text")).alias("n_words"),
-        phrase_places(F.col("_text")).alias("places"),
-    )
     index, keys = _Index(templates, threshold), (key, "_hash")
-    index.rank_by(index.lines(own, keys, "_text"))
-    # The texts that are left are cut to words once; lines and runs are both read from that.
-    texts = materialise(index.candidates(own, keys, "_text"), "license-words")
-    lines = texts.select(*keys, F.posexplode("lines").alias("block", "words"))
+    # Texts are cut to words once; rows, order, lines and runs are all read from that.
+    cut = materialise(index.cut(own, keys, "_text"), "license-words")
+    rows = cut.select(*keys, "n_words", "places")
+    index.rank_by(index.lines(cut, keys))
+    texts = index.texts(cut)
+    lines = index.lines(texts, keys)
     columns = [*keys, "label", "containment"]
     held = index.blocks(lines, keys).select(*columns, F.lit(False).alias("wrapped")).unionByName(
         index.runs(texts, keys).select(*columns, F.lit(True).alias("wrapped"))

@@ -228,3 +228,12 @@ def test_top_k_of_small_tables(make):
     assert search.top_k(make([], schema), F.col("vec_id") == 1).count() == 0
     two = search.top_k(make([(1, [1.0]), (2, [2.0])], schema), F.col("vec_id") == 1).collect()
     assert [tuple(r) for r in two] == [(1, 1, 2, 1024 * 2048)]
+
+
+def test_texts_are_read_once_and_runs_are_tried_once(spark, documents, tmp_path):
+    folder = str(tmp_path / "texts")
+    documents([MIT, "prose " + GPL, "an MIT\nlicense", ISC.upper()]).write.parquet(folder)
+    stored = spark.read.parquet(folder)
+    assert not [f for f in licenses.scan(stored).inputFiles() if folder in f]
+    plan = licenses.find_runs(stored)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_max(transform(") == 1
