@@ -34,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -166,25 +167,36 @@ def _hash_of(raw: np.ndarray, first: np.ndarray, length: int) -> np.ndarray:
 def repeats(fragments: list[bytes], docs: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Window starts, as doc and place, that repeat an earlier window of these fragments."""
     sizes = np.array([len(f) for f in fragments])
-    raw = np.frombuffer(b"\0".join(fragments) + b"\0", dtype=np.uint8).astype(np.int64)
+    raw = np.frombuffer(b"\0".join(fragments) + b"\0\0", dtype=np.uint8)
     ends = np.cumsum(sizes + 1) - 1
-    text = raw + 2
+    text = raw.astype(np.int64) + 2
     text[ends] = 1
-    text = np.append(text, 0)
+    text[-1] = 0
     owner = np.repeat(np.arange(len(fragments)), sizes + 1)
     inner = np.arange(len(owner)) - np.repeat(ends - sizes, sizes + 1)
     room = np.append(sizes[owner] - inner, 0)
     sa = suffix_array(text)
-    shared = common_prefixes(text, sa, room)[sa] >= length
+    # Within the room there are bytes only, no marks.
+    shared = common_prefixes(raw, sa, room)[sa] >= length
     # Sets of suffixes that share a prefix of the length.
     label = np.cumsum(~shared)
     in_set = shared | np.append(shared[1:], False)
     at = sa[in_set]
     label = label[in_set]
     doc, place = docs[owner[at]], starts[owner[at]] + inner[at]
-    order = np.lexsort((place, doc, label))
-    later = np.append(False, label[order][1:] == label[order][:-1])
-    return doc[order][later], place[order][later]
+    if not len(at):
+        return doc, place
+    # The earliest of each set by doc and place; the sets follow each other.
+    fresh = np.append(True, label[1:] != label[:-1])
+    first = np.flatnonzero(fresh)
+    group = np.cumsum(fresh) - 1
+    leads = doc == np.minimum.reduceat(doc, first)[group]
+    reach = np.where(leads, place, np.iinfo(np.int64).max)
+    leads &= place == np.minimum.reduceat(reach, first)[group]
+    one = np.flatnonzero(leads)
+    later = np.ones(len(at), dtype=bool)
+    later[one[np.append(True, group[one][1:] != group[one][:-1])]] = False
+    return doc[later], place[later]
 
 
 def _runs(docs: np.ndarray, lows: np.ndarray, highs: np.ndarray) -> pd.DataFrame:
@@ -202,7 +214,7 @@ def _runs(docs: np.ndarray, lows: np.ndarray, highs: np.ndarray) -> pd.DataFrame
     return pd.DataFrame({"doc": d[first], "low": lo[first], "high": np.maximum.reduceat(hi + shift, first) - shift[first]})
 
 
-def _removals(frames: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
+def _removals(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pd.DataFrame]:
     """From fragments sorted by hash, fragment, doc and start: ranges of bytes to remove. Ranges with a key are windows
     of crowded hashes, to be removed if an equal key is earlier."""
     block, own, size, open_hash, last = [], [], 0, None, None
@@ -236,8 +248,8 @@ def _removals(frames: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFr
             size += sum(len(f) for f, _, _ in own)
         own.clear()
 
-    for frame in frames:
-        for h, f, d, s, n, crowded in zip(*(frame[c].tolist() for c in ("hash", "fragment", "doc", "start", "bytes", "crowded"))):
+    for batch in batches:
+        for h, f, d, s, n, crowded in zip(*(batch.column(c).to_numpy(zero_copy_only=False).tolist() for c in ("hash", "fragment", "doc", "start", "bytes", "crowded"))):
             if f is None or (h == open_hash and f == last):
                 whole.append((d, s, s + n))
                 continue
@@ -270,6 +282,13 @@ def _removals(frames: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFr
         yield opened()
 
 
+def _removal_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """:func:`_removals` on Arrow batches: fragments are many and short, and frames of them are dear."""
+    layout = pa.schema([("doc", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("key", pa.binary())])
+    for found in _removals(batches, length):
+        yield pa.RecordBatch.from_pandas(found, schema=layout, preserve_index=False)
+
+
 def _crowded(found: DataFrame, length: int) -> DataFrame:
     """Anchor hashes whose fragments may be more than ``SHARD`` bytes together, equal ones included.
 
@@ -326,7 +345,7 @@ def find(documents: DataFrame, length: int = 100, key: str = "doc_id", text: str
     )
     removed = materialise(
         _dealt(fragments, _crowded(found, length))
-        .mapInPandas(lambda f: _removals(f, length), "doc bigint, low bigint, high bigint, key binary"),
+        .mapInArrow(lambda f: _removal_rows(f, length), "doc bigint, low bigint, high bigint, key binary"),
         "removals",
     )
     earlier = F.row_number().over(Window.partitionBy("key").orderBy("doc", "low"))

@@ -85,19 +85,39 @@ def _induce(s: np.ndarray, smaller: np.ndarray, sizes: np.ndarray, lms: np.ndarr
 
 def _doubled(s: np.ndarray) -> np.ndarray:
     """Suffix array by prefix doubling, for strings of many names whose buckets are too small for
-    whole-bucket steps."""
+    whole-bucket steps. Only places that still share their rank with others are sorted again."""
     n, width = len(s), 1
-    rank = np.unique(s, return_inverse=True)[1]
+    order = np.argsort(s)
+    fresh = np.append(True, s[order][1:] != s[order][:-1])
+    rank = np.empty(n, dtype=np.int64)  # the first place in order of those with equal prefixes
+    rank[order] = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
+    slots = np.arange(n)
     while True:
-        behind = np.zeros(n, dtype=np.int64)
-        behind[: n - width] = rank[width:] + 1 if width < n else 0
-        key = rank * (n + 1) + behind
-        order = np.argsort(key, kind="stable")
-        new = np.empty(n, dtype=np.int64)
-        new[order] = np.cumsum(np.append(0, key[order][1:] != key[order][:-1]))
-        rank, width = new, width * 2
-        if rank[order[-1]] == n - 1 or width >= n:
+        slots = slots[~fresh | ~np.append(fresh[1:], True)]
+        if not len(slots):
             return order
+        places = order[slots]
+        ahead = places + width
+        behind = np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
+        key = rank[places] * (n + 1) + behind
+        by = np.argsort(key)
+        places, key = places[by], key[by]
+        fresh = np.append(True, key[1:] != key[:-1])
+        order[slots] = places
+        rank[places] = slots[np.maximum.accumulate(np.where(fresh, np.arange(len(slots)), 0))]
+        width *= 2
+
+
+def _packed(s: np.ndarray) -> tuple[np.ndarray, int]:
+    """At each place as many of the next numbers as fit into 64 bits, the nearest lowest, and how many."""
+    most = int(s.max(initial=0))
+    step = 8 if most < 1 << 8 else 4 if most < 1 << 16 else 1
+    packed = s.astype(np.uint64)
+    have = 1
+    while have < step:
+        packed[:-have] |= packed[have:] << np.uint64(have * (64 // step))
+        have *= 2
+    return packed, step
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
@@ -106,6 +126,8 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     sizes = np.bincount(s)
     if n < 64 or n < 64 * np.count_nonzero(sizes):
         return _doubled(s)
+    if len(sizes) <= 1 << 16:
+        s = s.astype(np.uint16)  # short numbers are sorted by their digits
     smaller = _small_types(s)
     lms = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
     sa = _induce(s, smaller, sizes, lms)
@@ -118,14 +140,16 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     length = following - np.arange(n) + 1
     a, b = ordered[:-1], ordered[1:]
     same = length[a] == length[b]
-    left = np.flatnonzero(same)
-    for i in range(int(length[ordered].max()) if len(ordered) else 0):
-        left = left[length[a[left]] > i]
-        if not len(left):
-            break
-        fits = s[a[left] + i] == s[b[left] + i]
+    left, i = np.flatnonzero(same), 0
+    packed, step = _packed(s)
+    # Of the last numbers of a substring those that are its own.
+    own = np.array([(1 << (64 // step * k)) - 1 for k in range(step + 1)], dtype=np.uint64)
+    while len(left):
+        rest = length[a[left]] - i
+        fits = (packed[a[left] + i] ^ packed[b[left] + i]) & own[np.minimum(rest, step)] == 0
         same[left[~fits]] = False
-        left = left[fits]
+        left = left[fits & (rest > step)]
+        i += step
     name = np.cumsum(np.append(0, ~same)) if len(ordered) else np.zeros(0, dtype=np.int64)
     if len(ordered) and name[-1] < len(ordered) - 1:
         names = np.zeros(n, dtype=np.int64)
@@ -152,13 +176,19 @@ def common_prefixes(raw: np.ndarray, sa: np.ndarray, room: np.ndarray) -> np.nda
     reducible[at] = (limit[at - 1] > 0) & (before[at - 1] == before[at] - 1) & (raw[at - 1] == raw[before[at] - 1])
     common = np.zeros(n, dtype=np.int64)
     left, i = np.flatnonzero(~reducible & (limit > 0)), 0
+    packed, step = _packed(raw)
+    bits = 64 // step
     while len(left):
-        fits = raw[left + i] == raw[before[left] + i]
-        common[left[~fits]] = i
+        differs = packed[left + i] ^ packed[before[left] + i]
+        fits = differs == 0
+        lowest = differs[~fits]
+        lowest &= ~lowest + np.uint64(1)
+        ends = left[~fits]
+        common[ends] = np.minimum(i + np.log2(lowest.astype(np.float64)).astype(np.int64) // bits, limit[ends])
         left = left[fits]
-        i += 1
-        full = limit[left] == i
-        common[left[full]] = i
+        i += step
+        full = limit[left] <= i
+        common[left[full]] = limit[left[full]]
         left = left[~full]
     # Behind an irreducible place the common prefix shrinks by one with each character.
     places = np.arange(n)

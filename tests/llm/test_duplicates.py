@@ -285,3 +285,36 @@ def test_no_items_and_no_documents(documents, make):
     assert decontaminate.find_items(documents(["a b c"]), none).count() == 0
     assert decontaminate.find_items(documents([]).limit(0), make([(1, "a b")], "item_id bigint, text string")).count() == 0
 
+
+
+def test_prefix_doubling_sorts_shared_places_only(monkeypatch):
+    r = np.random.default_rng(3)
+    s = np.concatenate([np.append(1, r.permutation(4000) + 2), np.full(600, 1), [0]]).astype(np.int64)
+    sizes, argsort = [], np.argsort
+    monkeypatch.setattr(suffixes.np, "argsort", lambda x, **k: sizes.append(len(x)) or argsort(x, **k))
+    got = suffixes._doubled(s)
+    assert got.tolist() == sorted(range(len(s)), key=lambda i: s[i:].tolist())
+    assert sum(sizes) < 3 * len(s)
+
+
+def test_long_common_prefixes_are_compared_by_words(monkeypatch):
+    r = np.random.default_rng(4)
+    own = r.integers(2, 200, 3000)
+    s = np.concatenate([own, [1], own, [1, 0]])
+    steps, flatnonzero = [], np.flatnonzero
+    sa = suffixes.suffix_array(s)
+    room = np.concatenate([np.arange(3000, -1, -1), np.arange(3000, -1, -1), [0]])
+
+    class Counted(np.ndarray):
+        def __getitem__(self, at):
+            steps.append(1)
+            return super().__getitem__(at)
+
+    common = suffixes.common_prefixes(s.view(Counted), sa, room)
+    rank = np.argsort(sa)
+    for i in (0, 5, 2999, 3001, 3500):
+        before = sa[rank[i] - 1]
+        most = min(room[i], room[before])
+        equal = next((k for k in range(most) if s[i + k] != s[before + k]), most)
+        assert common[i] == equal
+    assert len(steps) < 2000
