@@ -31,7 +31,7 @@ from pulsecart.sinks.preview import PREVIEW_ROWS
 from pulsecart.streaming import alerts, changes, daily_active, gmv, sales, users
 from pulsecart.streaming.arrival_batches import arrival_sink, arrivals_of
 from pulsecart.streaming.fan_out import fan_out
-from pulsecart.streaming.runtime import ROWS_AT_ONCE, drain, drain_to_files
+from pulsecart.streaming.runtime import ROWS_AT_ONCE, UNCOUNTED, drain, drain_to_files
 from pulsecart.workspace import materialise, run_folder
 
 DELAY = "1 hour"
@@ -50,7 +50,7 @@ def _dau_table(spark: SparkSession, startup: DataFrame, folder: str) -> DataFram
     table = daily_active.daily_active_table(spark, f"{folder}/table")
     rows = daily_active.earliest_so_far(startup, DELAY, TIE)
     writer = rows.writeStream.outputMode("update").foreachBatch(table.upsert_batches("startup"))
-    drain(writer, f"{folder}/checkpoint")
+    drain(writer, f"{folder}/checkpoint", UNCOUNTED)
     return table.read(columns=FILLED)
 
 
@@ -93,7 +93,7 @@ def stream_dau_batches(spark, sf):
 def stream_dau_state(spark, sf):
     """The first rows with Python state, in one batch."""
     rows = daily_active.first_batch(_startup(spark, sf), TIE)
-    return drain_to_files(rows, "stream-dau-state").select(*FILLED)
+    return drain_to_files(rows, "stream-dau-state", UNCOUNTED).select(*FILLED)
 
 
 def stream_seen_set(spark, sf):
@@ -101,7 +101,7 @@ def stream_seen_set(spark, sf):
     folder = run_folder(spark, "stream-seen")
     rows = daily_active.first_batch(_startup(spark, sf), TIE, SEEN_FOR)
     writer = rows.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/rows")
-    drain(writer, f"{folder}/checkpoint")
+    drain(writer, f"{folder}/checkpoint", UNCOUNTED)
     _, last = _reach(spark, sf, "events", "ts")
     return daily_active.seen_set(spark, f"{folder}/checkpoint", (last or 0) // 1000)
 

@@ -27,6 +27,7 @@ from pulsecart.sinks.keyed_table import KeyedTable
 DAILY_ACTIVE = ", ".join(f"{c} {'bigint' if c == 'ts' else 'string'}" for c in DAILY_ACTIVE_COLUMNS)
 SEEN_FOR = "24 hours"
 SEEN_BUCKETS = 64
+SEEN_TOGETHER = 10_000
 
 
 def on_arrival(startup: DataFrame, keep: str = SEEN_FOR, salts: int = 1) -> DataFrame:
@@ -73,17 +74,25 @@ def _first_batch_processor(columns: list[str], order: list[str], keep_ms: int, w
 
     class FirstBatch(StatefulProcessor):
         """State of a day's devices in one bucket: until when each counts as seen. It is read and added to as a whole,
-        so a device costs no calls of its own. A timer at the earliest end clears what has run out."""
+        and the devices of a batch are one entry (of ``SEEN_TOGETHER`` at most), so a device costs neither a call nor an
+        entry of its own. A timer at the earliest end clears what has run out."""
 
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.handle = handle
-            self.seen = handle.getListState("seen", "mid string, until bigint")
+            self.seen = handle.getListState("seen", "mids array<string>, untils array<bigint>")
+
+        def held(self) -> list[tuple[str, int]]:
+            return [device for mids, untils in self.seen.get() for device in zip(mids, untils)] if self.seen.exists() else []
+
+        def entries(self, devices: list[tuple[str, int]]) -> list[tuple[list[str], list[int]]]:
+            parts = (devices[i : i + SEEN_TOGETHER] for i in range(0, len(devices), SEEN_TOGETHER))
+            return [([mid for mid, _ in part], [until for _, until in part]) for part in parts]
 
         def now(self, timerValues) -> int:
             return timerValues.getCurrentProcessingTimeInMs() if wall_clock else timerValues.getCurrentWatermarkInMs()
 
         def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-            held = list(self.seen.get()) if self.seen.exists() else []
+            held = self.held()
             # By the wall clock a device is free when its time is up, by event time when its timer has fired.
             known = [h for h in held if not wall_clock or h[1] > self.now(timerValues)]
             mids = {mid for mid, _ in known}
@@ -100,20 +109,20 @@ def _first_batch_processor(columns: list[str], order: list[str], keep_ms: int, w
             since = best["ts"].astype("int64") if not wall_clock else [self.now(timerValues)] * len(best)
             new = [(mid, int(at) + keep_ms) for mid, at in zip(best["mid"], since)]
             if len(known) < len(held):
-                self.seen.put(known + new)
+                self.seen.put(self.entries(known + new))
             else:
-                self.seen.appendList(new)
+                self.seen.appendList(self.entries(new))
             self.handle.registerTimer(min(until for _, until in new))
             yield best[columns]
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
             now, fired = self.now(timerValues), expiredTimerInfo.getExpiryTimeInMs()
-            held = list(self.seen.get()) if self.seen.exists() else []
+            held = self.held()
             left = [h for h in held if h[1] >= now and h[1] > fired]
             if not left:
                 self.seen.clear()
             elif len(left) < len(held):
-                self.seen.put(left)
+                self.seen.put(self.entries(left))
                 self.handle.registerTimer(min(until for _, until in left))
             return iter([])
 
@@ -164,7 +173,8 @@ def seen_set(spark: SparkSession, checkpoint: str, as_of_ms: int | None = None)
     ``as_of_ms`` leaves out what has expired by then.
     """
     state = spark.read.format("statestore").option("stateVarName", "seen").load(checkpoint)
-    rows = state.select("list_element.mid", "key.logdate", "list_element.until")
+    entries = state.select("key.logdate", F.col("list_element.mids").alias("mid"), F.col("list_element.untils").alias("until"))
+    rows = entries.select("logdate", F.inline(F.arrays_zip("mid", "until"))).select("mid", "logdate", "until")
     return rows if as_of_ms is None else rows.where(F.col("until") > as_of_ms)
 
 

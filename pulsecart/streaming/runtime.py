@@ -2,39 +2,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
-from contextlib import contextmanager
+from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
+from pulsecart.session import with_settings
 from pulsecart.workspace import run_folder
 
 # Fixed value: micro-batch interval.
 TRIGGER = "5 seconds"
 
 
+# Setting of a stream with much state: its rows are not counted at every change, which would look each of them up.
+UNCOUNTED = {"spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false"}
 # Settings of a stream whose rows all come with the batch of their input: inner joins, and aggregates in update mode.
 # Old state goes with the next batch that has rows, not with a batch of its own, and is not counted at every change.
 ROWS_AT_ONCE = {
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
-    "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
+    **UNCOUNTED,
 }
 
 
-@contextmanager
-def _set(spark: SparkSession, settings: Mapping[str, str]) -> Iterator[None]:
-    """Settings of the session meanwhile; a stream keeps those it was started with."""
-    before = {key: spark.conf.get(key, None) for key in settings}
-    try:
-        for key, value in settings.items():
-            spark.conf.set(key, value)
-        yield
-    finally:
-        for key, value in before.items():
-            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
-
-
 def start(
     writer: DataStreamWriter,
     checkpoint: str,
@@ -47,7 +36,7 @@ def start(
     """
     writer = writer.option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if trigger is None else writer.trigger(processingTime=trigger)
-    with _set(SparkSession.active(), settings or {}):
+    with with_settings(SparkSession.active(), settings or {}):
         return writer.start()
 
 

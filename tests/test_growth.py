@@ -92,3 +92,14 @@ def test_a_batch_is_read_once_for_a_keyed_table(spark):
     assert sorted((r["dt"], r["n"]) for r in got) == [("2024-01-01", 2), ("2024-01-01", 3), ("2024-01-01", 3), ("2024-01-02", 4)]
     whole = with_generated_ids(spark.createDataFrame(data, layout), "id", "w", "0")
     assert {r["id"] for r in got} == {r["id"] for r in whole.collect()}
+
+
+def test_devices_of_a_batch_are_one_entry_of_state(spark, tmp_path):
+    feed, folder = Feed(tmp_path / "in"), run_folder(spark, "entries")
+    first_batch(spark, feed.add(startups(*[(f"m{i}", i, T0) for i in range(300)])), folder, buckets=8)
+    first_batch(spark, feed.add(startups(("m1", 9000, T0), ("new", 9001, T0), (None, 9002, T0))), folder, buckets=8)
+    state = spark.read.format("statestore").option("stateVarName", "seen").load(f"{folder}/checkpoint")
+    assert 9 <= state.count() <= 10
+    seen = daily_active.seen_set(spark, f"{folder}/checkpoint")
+    assert seen.columns == ["mid", "logdate", "until"]
+    assert sorted(str(r["mid"]) for r in seen.collect()) == sorted(["None", "new", *(f"m{i}" for i in range(300))])
