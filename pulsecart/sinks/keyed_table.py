@@ -10,6 +10,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from pulsecart.operators.keyed import last_by, last_with_ids, with_generated_ids
+from pulsecart.session import with_settings
 
 _PART, _WRITE = "_part", "_write"
 _WHOLE = "all"
@@ -65,12 +66,15 @@ class KeyedTable:
             return False
         named = isinstance(self.schema[self.keys[0]].dataType, T.StringType)
         source = (self.keys[0], writer, str(batch_id))
-        if unique:
-            self._append(with_generated_ids(rows, *source) if named else rows)
-        elif named:
-            self._append(last_with_ids(rows, self.row_keys(), order, *source))
-        else:
-            self._append(last_by(rows, self.row_keys(), order))
+        # Streams with state turn adaptive plans off for their batches; what is made of a batch can have them. Without
+        # them Spark drops the rebalancing, and every task writes a file for every day.
+        with with_settings(rows.sparkSession, {"spark.sql.adaptive.enabled": "true"}):
+            if unique:
+                self._append(with_generated_ids(rows, *source) if named else rows)
+            elif named:
+                self._append(last_with_ids(rows, self.row_keys(), order, *source))
+            else:
+                self._append(last_by(rows, self.row_keys(), order))
         self._touch(done)
         return True
 

@@ -103,3 +103,14 @@ def test_devices_of_a_batch_are_one_entry_of_state(spark, tmp_path):
     seen = daily_active.seen_set(spark, f"{folder}/checkpoint")
     assert seen.columns == ["mid", "logdate", "until"]
     assert sorted(str(r["mid"]) for r in seen.collect()) == sorted(["None", "new", *(f"m{i}" for i in range(300))])
+
+
+def test_a_batch_of_a_stream_with_state_puts_few_files_into_a_day(spark, tmp_path):
+    folder, feed = run_folder(spark, "files"), Feed(tmp_path / "in")
+    feed.add(startups(*[(f"m{i}", i, T0 + i % 2 * DAY) for i in range(300)]))
+    table = daily_active.daily_active_table(spark, f"{folder}/table")
+    rows = daily_active.earliest_so_far(as_startup(raw_stream(spark, feed.folder)), "1 hour", ["tie"])
+    writer = rows.writeStream.outputMode("update").foreachBatch(table.upsert_batches("w"))
+    drain(writer, f"{folder}/checkpoint", {"spark.sql.shuffle.partitions": "8"})
+    files = spark.read.parquet(f"{folder}/table/rows").inputFiles()
+    assert len(files) == 2 and table.read().count() == 300
