@@ -36,9 +36,11 @@ from pyspark.sql import functions as F
 
 from pulsecart.llm.common import small_batches
 from pulsecart.llm.components import components
-from pulsecart.workspace import materialise
+from pulsecart.workspace import materialise, write_tasks
 
 TOKENS, TREES, SMALL, DEEPEST, OWN_GROUP = 64, 8, 800, 4, 256
+#: Documents to a task, and rows of nodes of one document on average: by these the files of a step are few.
+EACH, NODES = 20_000, 8
 _MARGIN = 0.2
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x100000001B3
@@ -121,7 +123,7 @@ def _children(node: Column, similarity: float) -> Column:
     return F.when(second, F.array_distinct(F.array(child(1), child(2)))).otherwise(F.array(child(1)))
 
 
-def _nodes(points: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame | None]:
+def _nodes(points: DataFrame, similarity: float, tasks: int) -> tuple[DataFrame, DataFrame | None]:
     """Rows of doc and node for all nodes of 2 to SMALL documents and for blocks of larger ones; and
     rows of doc, node and size for the larger ones, if there are any."""
     roots = F.array(*[F.xxhash64(F.lit("tree"), F.lit(t)) for t in range(TREES)])
@@ -129,9 +131,9 @@ def _nodes(points: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame |
     ended, large = [], None
     for depth in range(1, DEEPEST + 1):
         below = active.select("doc", F.explode(_children(F.col("node"), similarity)).alias("node")).distinct()
-        below = materialise(below, "nodes")
+        below = materialise(below, "nodes", tasks)
         sizes = below.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
-        sized = materialise(below.join(sizes, "node"), "sized-nodes")
+        sized = materialise(below.join(sizes, "node"), "sized-nodes", tasks)
         ended.append(sized.where(F.col("size") <= SMALL).select("doc", "node"))
         large = sized.where(F.col("size") > SMALL)
         if large.isEmpty():
@@ -276,39 +278,41 @@ def classes(
     """One row per document: the id, n_shingles, component_id and kept."""
     spark = documents.sparkSession
     features = materialise(_features(documents, words, key, text), "shingle-features")
+    tasks = write_tasks(spark, features.count(), EACH)
     first = features.where("doc is not null and n_shingles > 0").groupBy("print").agg(F.min("doc").alias("rep"))
-    first = materialise(first, "first-of-class")  # read anew, so that the join can split a hot class
+    first = materialise(first, "first-of-class", tasks)  # read anew, so that the join can split a hot class
     members = materialise(
         features.join(first, "print", "left").select(
             "doc", "n_shingles", "rep", F.when(F.col("doc") == F.col("rep"), F.col("tokens")).alias("tokens")
         ),
-        "shingle-classes",
+        "shingle-classes", tasks,
     )
     points = members.where("tokens is not null").select(F.col("doc").cast("bigint").alias("doc"), "tokens")
-    nodes, large = _nodes(points, percent / 100)
+    nodes, large = _nodes(points, percent / 100, tasks)
     marks = points.select("doc", _packed(F.col("tokens")).alias("marks"))
     least = int((percent / 100 - _MARGIN) * TOKENS)
     texts = documents.select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text")).where(F.length("text") > 0)
 
-    def links(nodes: DataFrame) -> DataFrame:
+    def links(nodes: DataFrame, tasks: int) -> DataFrame:
         placed = nodes.join(marks, "doc").repartition("node").sortWithinPartitions("node")
         groups = materialise(
             placed.select("node", "doc", "marks").mapInPandas(lambda f: _groups(f, least), "group bigint, doc bigint").distinct(),
-            "groups",
+            "groups", tasks,
         )
         # Groups grow with the documents, so they are never broadcast, however small they look here.
         gathered = groups.hint("merge").join(texts, "doc").repartition("group").sortWithinPartitions("group", "doc")
         confirmed = gathered.select("group", "doc", "text").mapInPandas(
             lambda f: _confirmed(f, words, percent), "u bigint, v bigint"
         )
-        return materialise(confirmed, "links")
+        return materialise(confirmed, "links", write_tasks(spark, groups.count(), EACH))
 
-    first_links = links(nodes)
+    first_links = links(nodes, tasks)
     found = components(first_links)
     if large is not None:
-        across = materialise(_across(large, found), "across")
-        if not across.isEmpty():
-            found = components(first_links.union(links(across)))
+        across = materialise(_across(large, found), "across")  # may have many more rows than there are documents
+        rows = across.count()
+        if rows:
+            found = components(first_links.union(links(across, write_tasks(spark, rows, NODES * EACH))))
     kind = documents.schema[key].dataType
     joined = members.join(found, members["rep"] == found["node"], "left")
     component = F.when(F.col("doc").isNotNull(), F.coalesce(F.col("component").cast(kind), F.col("rep"), F.col("doc")))

@@ -31,13 +31,24 @@ def run_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def write_tasks(spark: SparkSession, rows: int, each: int) -> int:
+    """Tasks that write ``rows`` rows, about ``each`` of them in a file, and two for each core at least."""
+    return max(2 * spark.sparkContext.defaultParallelism, -(-rows // each))
+
+
+def materialise(df: DataFrame, label: str, tasks: int | None = None) -> DataFrame:
     """Write an intermediate result to the shared folder and read it back.
 
     This cuts lineage in a way that survives lost executors. It also gives Spark the true size of
     the result, so a later join is broadcast only when the written files are below
     ``spark.sql.autoBroadcastJoinThreshold`` and is a shuffled join otherwise.
+
+    With ``tasks``, more partitions than that are written by so many tasks, one partition after
+    another. Every file costs its executor child processes on a local folder (Hadoop sets rights by
+    them), and the open files of the next step.
     """
+    if tasks is not None:
+        df = df.coalesce(tasks)
     path = run_folder(df.sparkSession, label)
     df.write.mode("error").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,11 +1,13 @@
 """Near-duplicates, repeated substrings and benchmark items against brute force."""
 
+import os
 import random
 import re
 
 import numpy as np
 import pytest
 
+from pulsecart import workspace
 from pulsecart.llm import decontaminate, neardup, substrings, suffixes
 
 ODD = [None, "", " \t\n", "one", "one", "one two", "One  TWO", "a b c d e f g", "w " * 30_000]
@@ -72,6 +74,27 @@ def test_near_duplicates_of_odd_rows(make):
     assert neardup.classes(make([], "doc_id bigint, text string")).count() == 0
 
 
+def test_steps_write_few_files(spark, documents, monkeypatch):
+    """Two for each core here, also where shuffles have many partitions that are not put together."""
+    folders, made = [], workspace.run_folder
+    monkeypatch.setattr(workspace, "run_folder", lambda s, label: folders.append((label, made(s, label))) or folders[-1][1])
+    monkeypatch.setattr(neardup, "SMALL", 20)
+    texts, changed = near_texts(), {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in changed}
+    try:
+        for name, value in changed.items():
+            spark.conf.set(name, value)
+        got = neardup.classes(documents(texts, first=0), words=4, percent=80).orderBy("doc_id").collect()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert [r["component_id"] for r in got] == plain_components(texts, 4, 80)[1]
+    most = 2 * spark.sparkContext.defaultParallelism
+    assert most < 40 and {"edges", "labels", "links", "groups", "nodes"} <= {label for label, _ in folders}
+    files = [(len([f for f in os.listdir(folder) if f.endswith(".parquet")]), label) for label, folder in folders if label != "across"]
+    assert max(files)[0] <= most, files
+
+
 def test_suffix_array_and_common_prefixes():
     r = random.Random(3)
     for _ in range(150):
