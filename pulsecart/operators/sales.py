@@ -35,10 +35,17 @@ def pair_within(
     For batches and, with both sides watermarked, for streams. In a batch, an order with very many
     details is split by the adaptive skew join. A stream cannot do that: there ``salts`` spreads
     the details of every order over that many tasks, at the price of as many copies of the orders.
+
+    Where both sides have a column ``held``, two held rows met in an earlier batch and are no pair.
     """
-    left = _marked(orders.select(*_ORDER_FIELDS), "o_")
+    held = "held" in orders.columns and "held" in details.columns
+    if held and how != "inner":
+        raise ValueError("held rows that met before would count as unmatched in an outer join")
+    left = _marked(orders.select(*_ORDER_FIELDS, *["held"] * held), "o_")
     right = _marked(details, "d_")
     condition = within_tolerance(tolerance)
+    if held:
+        condition = condition & ~(F.col("o_held") & F.col("d_held"))
     if salts == 1:
         return left.join(right, condition, how)
     if how != "inner":

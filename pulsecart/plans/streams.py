@@ -32,6 +32,7 @@ from pulsecart.streaming import alerts, changes, daily_active, gmv, sales, users
 from pulsecart.streaming.arrival_batches import arrival_sink, arrivals_of
 from pulsecart.streaming.fan_out import fan_out
 from pulsecart.streaming.runtime import ROWS_AT_ONCE, UNCOUNTED, drain, drain_to_files
+from pulsecart.streaming.sale_batches import both_sides, holding_sink
 from pulsecart.workspace import materialise, run_folder
 
 DELAY = "1 hour"
@@ -216,17 +217,23 @@ def _sale_slices(spark: SparkSession, sf: str, folder: str, shift_days: int = 0)
 
 def stream_sale_detail_late(spark, sf):
     """The join over three batches, with a restart after each, and details up to 20 days later than orders. The
-    delay covers that and the tolerance, so no row is too late and older state goes."""
+    delay covers that and the tolerance, so no row is too late and older rows are not held."""
     folder = run_folder(spark, "stream-sales-late")
-    out = f"{folder}/rows"
+    out, delay = f"{folder}/rows", "60 days"
+
+    def pair(orders, details, batch_id):
+        pairs = sales.live_pairs(orders, details, TOLERANCE, delay=delay)
+        rows = wide_rows(with_product_fields(pairs, read_table(pairs.sparkSession, sf, "part")))
+        rows.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    sink = holding_sink(folder, pair, adapters.order_info, adapters.order_detail_keys, TOLERANCE, delay)
     for _ in _sale_slices(spark, sf, folder, shift_days=20):
-        orders = adapters.order_info(_grown(spark, "orders", folder))
-        details = adapters.order_detail_keys(_grown(spark, "lineitem", folder))
-        pairs = sales.live_pairs(orders, details, TOLERANCE, delay="60 days")
-        rows = wide_rows(with_product_fields(pairs, read_table(spark, sf, "part")))
-        writer = rows.writeStream.format("parquet").outputMode("append").option("path", out)
-        drain(writer, f"{folder}/checkpoint", ROWS_AT_ONCE)
-    return spark.read.schema(rows.schema).parquet(out)
+        orders = _grown(spark, "orders", folder).select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate")
+        details = _grown(spark, "lineitem", folder).select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_shipdate")
+        rows = both_sides(orders, details, "o_orderdate", "l_shipdate")
+        drain(rows.writeStream.foreachBatch(sink), f"{folder}/checkpoint")
+    schema = "order_detail_id string, order_id string, order_status string, create_time string, user_id string, sku_id string, sku_price double, sku_name string, dt string"
+    return spark.read.schema(f"{schema}, batch bigint").parquet(out).drop("batch")
 
 
 def stream_sale_arrival(spark, sf):
